@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash
 
 QUERIES = {
+    "op7_simhash": simhash.op7_simhash,
     "op9_packing": packing.op9_packing,
 }
 
