@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import decontaminate, langid, materialise, packing, simhash
 
 QUERIES = {
+    "op2_language": langid.op2_language,
+    "op5_training_order": materialise.op5_training_order,
     "op7_simhash": simhash.op7_simhash,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_packing": packing.op9_packing,
 }
 
