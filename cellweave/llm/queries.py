@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, materialise, packing, simhash
+from . import decontaminate, fertility, kdtree, langid, materialise, packing, simhash, weaklabel
 
 QUERIES = {
     "op2_language": langid.op2_language,
+    "op4_fertility": fertility.op4_fertility,
     "op5_training_order": materialise.op5_training_order,
+    "op6_kd_tree": kdtree.op6_kd_tree,
     "op7_simhash": simhash.op7_simhash,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_packing": packing.op9_packing,
+    "op10_weak_label": weaklabel.op10_weak_label,
 }
 
 ORACLE_SQL: dict[str, str] = {}
