@@ -34,6 +34,13 @@ def repeated(words: common.Words, hashes: np.ndarray, size: int = 5) -> np.ndarr
     return common.covered(at[again], size, len(hashes))
 
 
+def distinct_words(words: common.Words) -> np.ndarray:
+    """Different words of each text."""
+    h = np.sort(words.hashes() & np.uint64((1 << 40) - 1) | words.text.astype(np.uint64) << np.uint64(40))
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    return np.bincount((h[new] >> np.uint64(40)).astype(np.int64), minlength=len(words.count))
+
+
 def duplicate_lines(text: bytes) -> tuple[int, int]:
     """Lines with a word, and those of them that equal an earlier line."""
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]

@@ -20,7 +20,7 @@ from . import common, textstats
 #: Rows, about, on which the scorer is fitted.
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 17
-LABELLERS = ("capitals", "exclamation", "symbols", "length", "dup_lines", "repeats", "word_length", "digits", "letters", "line_ends")
+LABELLERS = ("capitals", "exclamation", "symbols", "marks", "length", "dup_lines", "repeats", "variety", "word_length", "digits", "letters", "line_ends")
 
 _UPPER, _LOWER, _DIGIT, _END, _SHOUT = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -42,7 +42,10 @@ def votes(texts: list[bytes], words: common.Words) -> np.ndarray:
     lines = np.array([textstats.duplicate_lines(t) for t in texts], np.int64).reshape(-1, 2)
     dup = lines[:, 1] / np.maximum(lines[:, 0], 1)
     again = textstats.per_text_words(words, textstats.repeated(words, words.hashes())) / n
+    variety = textstats.distinct_words(words) / n
     mean = chars / n
+    last = b[words.end - 1] if len(words.end) else b[:0]
+    marks = textstats.per_text_words(words, textstats._SYMBOL[last]) / n
     newline = np.flatnonzero(b == 10)
     before = b[newline - 1] if len(newline) else b[:0]
     ended = np.zeros(len(b), bool)
@@ -50,16 +53,19 @@ def votes(texts: list[bytes], words: common.Words) -> np.ndarray:
     breaks = textstats.per_text(words, b == 10)
     ends = textstats.per_text(words, ended) / np.maximum(breaks, 1)
     capital = upper / np.maximum(upper + lower, 1)
+    never = np.zeros(len(texts), bool)
     cases = (
-        (capital < 0.2, capital > 0.5),
-        (shout < 0.05, shout > 0.2),
-        (symbols < 0.002, symbols > 0.02),
+        (never, capital > 0.5),
+        (never, shout > 0.2),
+        (never, symbols > 0.02),
+        (never, marks > 0.15),
         (words.count >= 50, words.count < 10),
-        ((dup == 0) & (lines[:, 0] > 1), dup > 0.3),
-        ((again < 0.05) & (words.count >= 50), again > 0.2),
-        ((mean > 3.5) & (mean < 9), (mean < 2.5) | (mean > 14)),
-        (digit / chars < 0.05, digit / chars > 0.15),
-        ((upper + lower + other) / chars > 0.85, (upper + lower + other) / chars < 0.7),
+        (never, dup > 0.3),
+        (never, again > 0.2),
+        (never, (words.count >= 30) & (variety < np.minimum(0.35, 60 / np.sqrt(n) / 10))),
+        (never, (mean < 2.5) | (mean > 14)),
+        (never, digit / chars > 0.15),
+        ((upper + lower + other) / chars > 0.9, (upper + lower + other) / chars < 0.75),
         ((breaks > 0) & (ends > 0.8), (breaks > 1) & (ends < 0.2)),
     )
     return np.stack([np.where(bad, -1, np.where(good, 1, 0)) for good, bad in cases], axis=1).astype(np.int8)
@@ -70,36 +76,60 @@ def _pattern(v: np.ndarray) -> np.ndarray:
 
 
 class WeakLabels:
-    """Accuracies of the labellers and the prior of a good text, by expectation-maximisation."""
+    """For each labeller the chance of each vote on good and on bad texts, and the prior, by expectation-maximisation.
+
+    It starts from texts with and without a bad vote; `accuracy` is the chance that a vote is right.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
         v = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
-        self.accuracy, self.prior = np.full(len(LABELLERS), 0.8), 0.8
-        total = max(1, counts.sum())
+        bad = (v < 0).sum(axis=1)
+        good = np.where(bad > 0, 0.1, 0.95)
         for _ in range(rounds):
-            good = self._posterior(v)
-            right = np.where(v > 0, good[:, None], np.where(v < 0, 1 - good[:, None], 0)) * counts[:, None]
-            new = (right.sum(axis=0) + 8) / (((v != 0) * counts[:, None]).sum(axis=0) + 10)
-            new, prior = np.clip(new, 0.55, 0.99), float(np.clip((good @ counts + 8) / (total + 10), 0.05, 0.95))
-            done = np.abs(new - self.accuracy).max() < 1e-9
-            self.accuracy, self.prior = new, prior
+            self._maximise(v, counts, good)
+            new = self._posterior(v)
+            done = np.abs(new - good).max(initial=0) < 1e-9
+            good = new
             if done:
                 break
+        right = (good[:, None] * (v > 0) + (1 - good)[:, None] * (v < 0)) * counts[:, None]
+        self.accuracy = (right.sum(axis=0) + 1) / (((v != 0) * counts[:, None]).sum(axis=0) + 2)
+
+    def _maximise(self, v: np.ndarray, counts: np.ndarray, good: np.ndarray) -> None:
+        total = counts.sum()
+        self.prior = float(np.clip((good @ counts + 8) / (total + 10), 0.5, 0.98))
+        table = np.empty((2, len(LABELLERS), 3))
+        for k, part in enumerate((good * counts, (1 - good) * counts)):
+            for vote in (-1, 0, 1):
+                table[k, :, vote + 1] = (v == vote).T @ part + 0.5
+        self.table = np.log(table / table.sum(axis=2, keepdims=True))
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + v @ np.log(self.accuracy / (1 - self.accuracy))
+        each = (self.table[0] - self.table[1])[np.arange(len(LABELLERS)), v + 1]
+        # a labeller's vote may only speak for its own side, and abstaining only for the other
+        each = np.where(v < 0, np.minimum(each, 0), np.where(v > 0, np.maximum(each, 0), each))
+        odds = np.log(self.prior / (1 - self.prior)) + each.sum(axis=1)
         return 1 / (1 + np.exp(-odds))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         return self._posterior(v.astype(np.int64))
 
 
+N_FEATURES = 4
+
+
 def features(words: common.Words, buckets: int = BUCKETS) -> np.ndarray:
-    """(words, 3) hashed: the word, and the shapes of its first and last four bytes."""
+    """(words, N_FEATURES) hashed: the word, the shapes of its first and last four bytes, and how repetitive it and its text are."""
     shapes = common.prefix_hash(_SHAPE[words.bytes])
     head = common.span_hash(shapes, words.start, np.minimum(words.end, words.start + 4))
     tail = common.span_hash(shapes, np.maximum(words.start, words.end - 4), words.end)
-    return np.stack([h >> np.uint64(20) for h in (words.hashes(), head ^ np.uint64(0x5555 << 40), tail ^ np.uint64(0x3333 << 40))], axis=1).astype(np.int64) % buckets
+    own = words.hashes()
+    echo = np.zeros(len(own), np.uint64)
+    for lag in (3, 2, 1):
+        echo[lag:][(own[lag:] == own[:-lag]) & (words.text[lag:] == words.text[:-lag])] = lag
+    variety = (10 * textstats.distinct_words(words) / np.maximum(words.count, 1)).astype(np.uint64)
+    repeat = common.mix(np.repeat(variety, words.count) * np.uint64(8) + echo + np.uint64(1))
+    return np.stack([h >> np.uint64(20) for h in (own, head ^ np.uint64(0x5555 << 40), tail ^ np.uint64(0x3333 << 40), repeat ^ np.uint64(0x6666 << 40))], axis=1).astype(np.int64) % buckets
 
 
 class Scorer:
@@ -108,7 +138,7 @@ class Scorer:
     def __init__(self, buckets: int = BUCKETS):
         self.weight, self.bias = np.zeros(buckets), 0.0
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, rate: float = 2.0, decay: float = 1e-6) -> Scorer:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 200, rate: float = 1.0, decay: float = 1e-6) -> Scorer:
         """rows: (buckets, shares, label) of each text; full-batch AdaGrad."""
         if not rows:
             return self
@@ -122,13 +152,13 @@ class Scorer:
             gradient = np.bincount(index, share * error[doc], len(self.weight)) + decay * self.weight
             squares += gradient**2
             bias_squares += error.sum() ** 2
-            self.weight -= rate * 0.1 * gradient / np.sqrt(squares)
-            self.bias -= rate * 0.1 * error.sum() / np.sqrt(bias_squares)
+            self.weight -= rate * gradient / np.sqrt(squares)
+            self.bias -= rate * error.sum() / np.sqrt(bias_squares)
         return self
 
     def score(self, words: common.Words) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(self.weight[features(words, len(self.weight))].sum(axis=1))))
-        z = self.bias + (total[words.first[1:]] - total[words.first[:-1]]) / (3 * np.maximum(words.count, 1))
+        z = self.bias + (total[words.first[1:]] - total[words.first[:-1]]) / (N_FEATURES * np.maximum(words.count, 1))
         return 1 / (1 + np.exp(-z))
 
 
