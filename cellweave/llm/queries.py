@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, kdtree, langid, materialise, packing, simhash, weaklabel
+from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, weaklabel
 
 QUERIES = {
     "op2_language": langid.op2_language,
+    "op3_phrases": phrases.op3_phrases,
     "op4_fertility": fertility.op4_fertility,
     "op5_training_order": materialise.op5_training_order,
     "op6_kd_tree": kdtree.op6_kd_tree,
