@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, weaklabel
+from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, suffixes, weaklabel
 
 QUERIES = {
+    "op1_suffix_array": suffixes.op1_suffix_array,
     "op2_language": langid.op2_language,
     "op3_phrases": phrases.op3_phrases,
     "op4_fertility": fertility.op4_fertility,
