@@ -24,10 +24,10 @@ def n_blocks(df: DataFrame, text_col: str) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
 
 
-def in_blocks(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, text as bytes, block."""
+def in_blocks(df: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text as bytes, block, and, where columns are to be carried along, those as the struct `rest`."""
     block: Column = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.crc32(F.substring(F.col(text_col).cast("binary"), 1, 64))), F.lit(n)).cast("int")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), block.alias("block"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), block.alias("block"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []))
 
 
 def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -60,12 +60,6 @@ def occurrences(values: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.nda
     return out
 
 
-def answers(table: pa.Table, n: int) -> tuple[np.ndarray, list[int]]:
-    """Of the rows (range, ...) that one block got back, the places in order of range."""
-    order = np.argsort(table.column("range").to_numpy()) if table.num_rows else np.zeros(0, np.int64)
-    return order, [table.column("range")[int(i)].as_py() for i in order]
-
-
 def bits(table: pa.Table, column: str, sizes: np.ndarray) -> np.ndarray:
     """One boolean for each entry that the block had sent; sizes: its entries by range."""
     out = np.zeros(int(sizes.sum()), bool)

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Documents differ in length by a factor of thousands, so batches are kept short.
 ARROW_ROWS = 512
@@ -149,3 +150,7 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + size, n), -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def char_count(column: str) -> Column:
+    return F.char_length(F.col(column)).cast("long")

@@ -180,3 +180,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of df, with all their columns, without those that share a component with a smaller doc_id.
+
+    Rows with equal ids are one document and stay or go together; rows with a null id can't be chosen among and stay.
+    """
+    found = near_duplicates(df, id_col=id_col, text_col=text_col, width=width, radius=radius)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return df.join(gone, df[id_col].cast("long") == gone["doc_id"], "left_anti")

@@ -231,18 +231,19 @@ def repeated_windows(texts: list[np.ndarray], starts: list[np.ndarray], size: in
     return first, count
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes left) and removed (an array of [first, end) byte spans, one after the other).
 
     Texts are UTF-8 bytes, a null text is empty. A byte is removed if a string of `size` bytes around it also starts
     anywhere else, in the same text too; strings are judged on the input and never cross texts, so shorter texts keep all.
     Repeated rows are texts of their own, so both lose what they share; a null doc_id stays null; other columns are not
-    read; an empty table gives no rows.
+    read, or those named in `carry` come back in the struct `rest`; an empty table gives no rows.
     """
     n = blocks.n_blocks(df, text_col)
-    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, n)
+    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, n, carry)
     ddl = "doc_id long, n_bytes long, kept binary, removed array<long>"
     range_schema, bits_schema, schema = (common.arrow_schema(x) for x in (RANGE_DDL, BITS_DDL, ddl))
+    ddl += f", rest {base.schema['rest'].dataType.simpleString()}" if carry else ""
     texts_of = lambda table: [t or b"" for t in table.column("text").to_pylist()]
 
     def runs(table: pa.Table) -> pa.Table:
@@ -292,8 +293,6 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches([common.record_batch(rows, bits_schema)])
 
     def cut(docs: pa.Table, back: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
         ids, texts = docs.column("doc_id").to_pylist(), texts_of(docs)
         block = read(docs, back)
         hashes, _ = _open(block, arrays=False)
@@ -335,7 +334,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 kept.append(t[at:lo])
                 at = hi
             rows.append((i, len(t), b"".join([*kept, t[at:]]), [x for s in spans for x in s]))
-        return pa.Table.from_batches([common.record_batch(rows, schema)])
+        out = pa.Table.from_batches([common.record_batch(rows, schema)])
+        return out.append_column("rest", docs.column("rest")) if carry else out
 
     first = base.groupBy("block").applyInArrow(runs, RANGE_DDL).groupBy("range").applyInArrow(judge, BITS_DDL)
     late = base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(open_windows, RANGE_DDL).groupBy("range").applyInArrow(merge, BITS_DDL)
@@ -403,6 +403,15 @@ def _open(block: Block, arrays: bool) -> tuple[np.ndarray, np.ndarray]:
     return unique, (twice | (count > 1)).astype(np.uint8)
 
 
+def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """df with the texts that remove_repeats leaves; characters that a cut halves go, and so do rows of which nothing but white space is left."""
+    rest = tuple(c for c in df.columns if c != text_col)
+    left = remove_repeats(df, id_col=id_col, text_col=text_col, size=size, carry=rest)
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
+    out = left.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), whole.alias(text_col)).where(F.col(text_col).rlike("\\S"))
+    return out.select(*df.columns)
+
+
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
     n_spans = F.floor(F.size("removed") / 2).cast("long").alias("n_spans")
