@@ -1,6 +1,55 @@
-STAGES = []
+"""Corpus preparation: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cellweave.llm import common, decontaminate, langid, packing, simhash, suffixes
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from them; those that are rejected go."""
+    return langid.keep_accepted(docs, langid.train(docs))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 400 bytes that occur twice; those with nothing left go."""
+    left = suffixes.without_repeats(docs)
+    return left.withColumn("n_chars", common.char_count("text")) if "n_chars" in left.columns else left
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' tokens in sequences of 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", simhash_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
+
+#: No stage but the last filter could be said in SQL; tests compare run() with a plain version on a small table.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
