@@ -197,7 +197,7 @@ def matrix(index: Index, viewpoints: DataFrame, k: int | None = None) -> DataFra
 
 def pairs(index: Index, wanted: DataFrame) -> DataFrame:
     """wanted (map_id, id, r1, c1, r2, c2) with d."""
-    ends = F.array(F.struct(F.lit(0).alias("i"), F.col("r1").alias("r"), F.col("c1").alias("c")), F.struct(F.lit(1), F.col("r2"), F.col("c2")))
+    ends = F.array(F.struct(F.lit(0).alias("i"), F.col("r1").alias("r"), F.col("c1").alias("c")), F.struct(F.lit(1).alias("i"), F.col("r2").alias("r"), F.col("c2").alias("c")))
     points = wanted.select("map_id", F.col("id").cast("string").alias("query_id"), F.inline(ends))
     found = matrix(index, points).where("i = 0 and j = 1").select("map_id", F.col("query_id").alias("id"), "d")
     return wanted.join(found, (wanted["map_id"] == found["map_id"]) & (wanted["id"].cast("string") == found["id"])).select(*(wanted[c] for c in wanted.columns), "d")

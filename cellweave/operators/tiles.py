@@ -233,7 +233,7 @@ class Index:
         rows = rows.union(fresh)
         for k in range(1, self.height + 1):
             touched = touched.select("map_id", F.floor(F.col("tx") / g).cast("int").alias("tx"), F.floor(F.col("ty") / g).cast("int").alias("ty")).distinct()
-            below = old.where(F.col("lvl") == k - 1).join(fresh.select(*KEY), KEY, "left_anti").union(fresh.where("D is not null"))
+            below = old.where(F.col("lvl") == k - 1).join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh.where("D is not null"))
             parent = below.withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
             mine = parent.join(touched.select("map_id", F.col("tx").alias("px"), F.col("ty").alias("py")), ["map_id", "px", "py"], "left_semi").drop("px", "py")
             fresh = self._closed(build_level(mine, config, k, ver), touched, k, ver)
