@@ -4,14 +4,13 @@ A phrase is a window of `size` consecutive words. Which phrases recur in a docum
 exchanges of sorted hash lists (see blocks.py). First, each block sends the anchors of its windows: of the ANCHOR-word
 shingles in a window the one with the least hash, which equal windows share. Only windows whose anchor occurs in two
 documents go on: their hashes, with the smallest and the largest document of the block that has them, tell every block
-which of its phrases start in an earlier document elsewhere. The confirmed phrases of a block are compiled into
-Aho-Corasick automata over word numbers, a bounded number of phrases in each, and all documents of the block are streamed
-through them to find every occurrence.
+which of its phrases start in an earlier document elsewhere. Stretches of such phrases in a row are the confirmed passages.
+A block's are compiled into Aho-Corasick automata over word numbers, of a bounded size each, and all its documents are
+streamed through them to find every occurrence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import compress
 
 import ahocorasick
@@ -25,8 +24,8 @@ from . import blocks, common
 SIZE = 13
 #: Words of a shingle that can be an anchor.
 ANCHOR = 6
-#: Phrases of one automaton: about 13 nodes of 50 bytes each.
-AUTOMATON_PHRASES = 100_000
+#: Words of the passages of one automaton: a node of 50 bytes each.
+AUTOMATON_WORDS = 500_000
 #: A null id is later than any other.
 LAST = (1 << 63) - 1
 
@@ -142,21 +141,52 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Automata:
-    """Aho-Corasick automata over word numbers; a phrase's value is the earliest document that has it."""
-
-    def __init__(self, phrases: Iterator[tuple[tuple[int, ...], int]], limit: int):
-        self.shards, held = [], None
-        for k, (phrase, low) in enumerate(phrases):
-            if k % limit == 0:
-                held = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                self.shards.append(held)
-            held.add_word(phrase, low)
+    """Aho-Corasick automata over word numbers; a passage's value says for each of its phrases which document has it first."""
+
+    def __init__(self, passages: dict[tuple[int, ...], np.ndarray], size: int, limit: int):
+        self.size, self.shards, room = size, [], 0
+        for passage, low in passages.items():
+            if room <= 0:
+                self.shards.append(ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE))
+                room = limit
+            self.shards[-1].add_word(passage, (len(passage), int(low.min()), int(low.max()), low))
+            room -= len(passage)
         for shard in self.shards:
             shard.make_automaton()
 
-    def ends(self, words: tuple[int, ...], doc: int) -> list[int]:
-        """The last words of the phrases that begin in an earlier document."""
-        return [end for shard in self.shards for end, low in shard.iter(words) if low < doc]
+    def covered(self, words: tuple[int, ...], doc: int) -> np.ndarray | None:
+        """A mask of the words in phrases that begin in an earlier document."""
+        step = None
+        for shard in self.shards:
+            for end, (n, least, most, low) in shard.iter(words):
+                if least >= doc:
+                    continue
+                if step is None:
+                    step = np.zeros(len(words) + 1, np.int64)
+                begin = end + 1 - n
+                if most < doc:
+                    step[begin] += 1
+                    step[end + 1] -= 1
+                else:
+                    at = begin + np.flatnonzero(low < doc)
+                    step[at] += 1
+                    step[at + self.size] -= 1
+        return None if step is None else np.cumsum(step[:-1]) > 0
+
+
+def passages_of(b: Batch, number: list[int], low: np.ndarray, size: int) -> dict[tuple[int, ...], np.ndarray]:
+    """The confirmed passages: stretches of phrases in a row that all begin in an earlier document than theirs. low: of each window."""
+    on = np.flatnonzero(low < b.doc)
+    if not len(on):
+        return {}
+    at = b.at[on]
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (b.words.text[at[1:]] != b.words.text[at[:-1]]))))
+    out = {}
+    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(on)]):
+        passage = tuple(number[at[lo] : at[hi - 1] + size])
+        if passage not in out:
+            out[passage] = low[on[lo:hi]]
+    return out
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -179,21 +209,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for i, t in blocks.batches(ids, texts):
             b = Batch(i, t, size)
             number = np.unique(b.hash, return_inverse=True)[1].tolist() if len(known) else []
-            hit = np.flatnonzero(_among(b.window, known))
-            _, one = np.unique(b.window[hit], return_index=True)
-            one = hit[one]
-            lows = low[np.searchsorted(known, b.window[one])].tolist()
-            automata = Automata(((tuple(number[a : a + size]), x) for a, x in zip(b.at[one].tolist(), lows)), AUTOMATON_PHRASES)
+            first_doc = np.full(len(b.window), LAST, np.int64)
+            hit = _among(b.window, known)
+            first_doc[hit] = low[np.searchsorted(known, b.window[hit])]
+            automata = Automata(passages_of(b, number, first_doc, size), size, AUTOMATON_WORDS)
             rows = []
             for k, text in enumerate(t):
                 first, end = int(b.words.first[k]), int(b.words.first[k + 1])
                 words, spans = text.split(), []
                 if automata.shards and end - first >= size:
-                    ends = automata.ends(tuple(number[first:end]), int(b.ids[k]))
-                    if ends:
-                        gone = common.covered(np.array(ends) - (size - 1), size, end - first)
-                        edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-                        spans = edge.tolist()
+                    gone = automata.covered(tuple(number[first:end]), int(b.ids[k]))
+                    if gone is not None:
+                        spans = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
                         words = list(compress(words, (~gone).tolist()))
                 rows.append((i[k], end - first, b" ".join(words).decode("utf-8", "replace"), spans))
             out.append(common.record_batch(rows, schema))
