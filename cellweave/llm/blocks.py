@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text of one block, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def n_blocks(df: DataFrame, text_col: str) -> int:

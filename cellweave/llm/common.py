@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch. Documents differ in length by a factor of thousands, so batches are kept short.
 ARROW_ROWS = 512
 #: Bytes of text that a worker holds as numpy arrays at once (a single longer document is a batch of its own).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -23,9 +23,9 @@ SIZE = 400
 GRAM = 40
 #: Low bits of a minimizer's sort key that hold its place; texts are read in pieces of less than that.
 PLACE_BITS = 24
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Bytes of open text in one suffix array: it takes about 60 bytes for each.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 #: Positions that Kasai's pass takes in one lane; the lanes move in step.
 LANE = 256
 
