@@ -182,11 +182,12 @@ def _component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.largest_component(own).join(own.select("map_id", "rows", "cols").distinct(), "map_id").select("map_id", "rows", "cols", "r", "c")
 
 
-@query(f"""with recursive {CELLS}, {COMPONENTS}, size as (select any_value(rows) as rows, any_value(cols) as cols from cells),
-  st as (select greatest(1, rows // 8) as sr, greatest(1, cols // 8) as sc from size),
-  centre as (select a.x * 8 + b.x as sector, a.x * sr + sr // 2 as cr, b.x * sc + sc // 2 as cc, greatest(1, sr // 2) as hr, greatest(1, sc // 2) as hc from range(8) a(x), range(8) b(x), st),
-  ranked as (select sector, l.r, l.c, row_number() over (partition by sector order by abs(l.r - cr) + abs(l.c - cc), l.r, l.c) as n from centre join largest l on abs(l.r - cr) <= hr and abs(l.c - cc) <= hc)
-  select cast(sector as int) as sector, r, c from ranked where n = 1""")
+@query(f"""with recursive {CELLS}, {COMPONENTS},
+  st as materialized (select cast(greatest(1, max(rows) // 8) as int) as sr, cast(greatest(1, max(cols) // 8) as int) as sc from cells),
+  near as (select l.r, l.c, sr, sc, l.r // sr + a.x as y, l.c // sc + b.x as x from largest l, st, (values (-2), (-1), (0), (1), (2)) a(x), (values (-2), (-1), (0), (1), (2)) b(x)),
+  gap as (select y * 8 + x as sector, r, c, abs(r - (y * sr + sr // 2)) as gr, abs(c - (x * sc + sc // 2)) as gc, sr, sc from near where y between 0 and 7 and x between 0 and 7),
+  best as (select sector, min(((gr + gc) * 10000 + r) * 1000 + c) as m from gap where gr <= greatest(1, sr // 2) and gc <= greatest(1, sc // 2) group by 1)
+  select cast(sector as int) as sector, cast(m // 1000 % 10000 as int) as r, cast(m % 1000 as int) as c from best""")
 def sector_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sectors(_component(spark, sf_dir), 8).select("sector", "r", "c")
 
