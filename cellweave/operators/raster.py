@@ -64,8 +64,8 @@ def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool)
             nearer = new < dist[to]
             dist[to[nearer]] = new[nearer]
             moved.append(to[nearer])
-        wave = np.unique(np.concatenate(moved)) if weighted else np.concatenate(moved)
-        if not weighted and len(wave):
+        wave = np.concatenate(moved)
+        if weighted:  # a cell can come nearer twice in one wave; with unit steps only the first is nearer
             wave = np.unique(wave)
     return dist.reshape(k, n)
 

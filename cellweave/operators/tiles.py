@@ -29,6 +29,8 @@ FAR = np.int32(INF)
 DDL = "map_id string, ver long, lvl int, tx int, ty int, pivots int, D binary, S binary, P binary"
 SCHEMA = pa.schema([("map_id", pa.string()), ("ver", pa.int64()), ("lvl", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), ("pivots", pa.int32()), ("D", pa.binary()), ("S", pa.binary()), ("P", pa.binary())])
 KEY = ["map_id", "lvl", "tx", "ty"]
+#: Versions after which the current rows are written anew, so that reading them stays one scan and a few anti joins.
+COMPACT = 16
 
 
 @dataclass(frozen=True)
@@ -192,8 +194,9 @@ def build_level(children: DataFrame, config: Config, level: int, ver: int = 0) -
 class Index:
     """Versions of the leaf and node rows of some maps, and of their cells."""
 
-    def __init__(self, cells: DataFrame, rows: DataFrame, config: Config, height: int, ver: int):
-        self.cells, self.rows, self.config, self.height, self.ver = cells, rows, config, height, ver
+    def __init__(self, cells: DataFrame, rows: DataFrame, current: DataFrame, config: Config, height: int, ver: int):
+        """rows: of all versions, for readers that pin one; current: those of this version."""
+        self.cells, self.rows, self.current, self.config, self.height, self.ver = cells, rows, current, config, height, ver
 
     @classmethod
     def build(cls, cells: DataFrame, config: Config | None = None) -> Index:
@@ -206,13 +209,14 @@ class Index:
         for k in range(1, height + 1):
             level = stored(build_level(level, config, k), f"level-{k}")
             rows = rows.union(level)
-        return cls(cells, rows, config, height, 0)
+        return cls(cells, rows, rows, config, height, 0)
 
     def at(self, ver: int | None = None) -> DataFrame:
         """The newest row of each tile up to a version; a row without D says that the tile has no passable cell any more."""
-        rows = self.rows.where(F.col("ver") <= (self.ver if ver is None else ver))
+        if ver is None or ver == self.ver:
+            return self.current
         newest = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("ver")))
-        return rows.withColumn("n", newest).where("n = 1 and D is not null").drop("n")
+        return self.rows.where(F.col("ver") <= ver).withColumn("n", newest).where("n = 1 and D is not null").drop("n")
 
     def update(self, updates: DataFrame) -> Index:
         """A new version after updates (map_id, r, c, seq, op, weight) in any mix of open, block and reweight."""
@@ -230,15 +234,18 @@ class Index:
         b, g = config.b, config.g
         near = cells.withColumn("tx", F.floor(F.col("r") / b).cast("int")).withColumn("ty", F.floor(F.col("c") / b).cast("int")).join(touched, ["map_id", "tx", "ty"], "left_semi")
         fresh = self._closed(build_leaves(near.drop("tx", "ty"), config, ver), touched, 0, ver)
-        rows = rows.union(fresh)
+        rows, made = rows.union(fresh), fresh
         for k in range(1, self.height + 1):
             touched = touched.select("map_id", F.floor(F.col("tx") / g).cast("int").alias("tx"), F.floor(F.col("ty") / g).cast("int").alias("ty")).distinct()
             below = old.where(F.col("lvl") == k - 1).join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh.where("D is not null"))
             parent = below.withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
             mine = parent.join(touched.select("map_id", F.col("tx").alias("px"), F.col("ty").alias("py")), ["map_id", "px", "py"], "left_semi").drop("px", "py")
             fresh = self._closed(build_level(mine, config, k, ver), touched, k, ver)
-            rows = rows.union(fresh)
-        return Index(cells, rows, config, self.height, ver)
+            rows, made = rows.union(fresh), made.union(fresh)
+        current = old.join(made.select(*KEY), KEY, "left_anti").unionByName(made.where("D is not null")).select(*(f.name for f in SCHEMA))
+        if ver % COMPACT == 0:
+            current = stored(current, f"current-{ver}")
+        return Index(cells, rows, current, config, self.height, ver)
 
     @staticmethod
     def _closed(made: DataFrame, touched: DataFrame, lvl: int, ver: int) -> DataFrame:
@@ -249,18 +256,17 @@ class Index:
 
     def grow(self, cells: DataFrame) -> Index:
         """One more level: cells is the map in its new size; tiles outside the old root are built, the others are kept."""
-        g, ver = self.config.g, self.ver + 1
-        rows, height = self.rows, self.height + 1
+        ver, height = self.ver + 1, self.height + 1
         old_side = self.config.side(self.height)
         level = stored(build_leaves(cells.where((F.col("r") >= old_side) | (F.col("c") >= old_side)), self.config, ver), "grown")
-        rows = rows.union(level)
+        made = level
         for k in range(1, height):
             level = stored(build_level(level, self.config, k, ver), f"grown-{k}")
-            rows = rows.union(level)
+            made = made.union(level)
         top = self.at().where(F.col("lvl") == self.height).union(level)
         root = stored(build_level(top, self.config, height, ver), "root")
-        assert g >= 2
-        return Index(cells, rows.union(root), self.config, height, ver)
+        made = made.union(root)
+        return Index(cells, self.rows.union(made), self.current.union(made), self.config, height, ver)
 
     def sizes(self) -> DataFrame:
         """map_id, lvl, tiles and bytes of D and S of the current version."""

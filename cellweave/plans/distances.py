@@ -197,3 +197,40 @@ def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   select cast(lvl as int) as lvl, count(*) as tiles, cast(sum(case when lvl = 0 then 4 * (4096 + 28 * 28) else 4 * (pow(4 * (4 * 4 * pow(2, lvl) - 4), 2) + pow(4 * 8 * pow(2, lvl) - 4, 2)) end) as bigint) as bytes from lv group by 1""")
 def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)[0].sizes().select("lvl", "tiles", "bytes")
+
+
+@query(_matrix(True))
+def grown_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the top left quarter, grown to the whole map."""
+    own, points = _points(spark, sf_dir)
+    start = own.where("r < 64 and c < 64").withColumn("rows", F.least("rows", F.lit(64))).withColumn("cols", F.lit(64))
+    index = tiles.Index.build(start, tiles.Config(b=8))
+    while index.config.side(index.height) < own.agg(F.greatest(F.max("rows"), F.max("cols"))).first()[0]:
+        side = index.config.side(index.height + 1)
+        index = index.grow(own.where((F.col("r") < side) & (F.col("c") < side)))
+    return lifted.matrix(index, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
+
+
+@query(f"""with recursive {CELLS}, {_vp()}, {FOUR}, free as (select r, c, weight from cells where observed = 1),
+  edge as (select f.r, f.c, n.r as nr, n.c as nc, greatest(1, (f.weight + n.weight) // 2) as w from free f, four, free n where n.r = f.r + dr and n.c = f.c + dc and n.r // 8 = f.r // 8 and n.c // 8 = f.c // 8),
+  dist(s, r, c, d) using key (s, r, c) as (select vp.i, vp.r, vp.c, 0 from vp join free using (r, c)
+    union select q.* from (select s, e.nr as r, e.nc as c, min(dist.d + e.w) as d from dist join edge e on e.r = dist.r and e.c = dist.c group by all) q
+      left join recurring.dist old on old.s = q.s and old.r = q.r and old.c = q.c where old.d is null or q.d < old.d)
+  select cast(s as int) as i, cast((r % 8) * 8 + c % 8 as int) as place, cast(d as int) as d from dist where r % 8 in (0, 7) or c % 8 in (0, 7)""")
+def leaf_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each viewpoint is from the ports of its leaf: a join with the leaf's distances."""
+    own, points = _points(spark, sf_dir)
+    at = points.join(own.where("observed = 1").select("map_id", "r", "c"), ["map_id", "r", "c"], "left_semi")
+    at = at.select("map_id", "i", F.floor(F.col("r") / 8).cast("int").alias("tx"), F.floor(F.col("c") / 8).cast("int").alias("ty"), ((F.col("r") % 8) * 8 + F.col("c") % 8).alias("u"))
+    leaf = lifted.exploded(tiles.build_leaves(own, tiles.Config(b=8)))
+    edge = (F.floor(F.col("v") / 8).isin(0, 7)) | (F.col("v") % 8).isin(0, 7)
+    return at.join(leaf, ["map_id", "tx", "ty", "u"]).where(edge).select("i", F.col("v").alias("place"), "d")
+
+
+@query("""with side as (select 16 as s), port as (select q, x.idx, q // 2 * s + x.r as r, q % 2 * s + x.c as c from range(4) t(q), side, lateral (
+    select k as idx, 0 as r, k as c from range(16) a(k) union all select 16 + k, 15, k from range(16) a(k) union all select 32 + k - 1, k, 0 from range(1, 15) a(k) union all select 46 + k - 1, k, 15 from range(1, 15) a(k)) x)
+  select cast(a.q * 60 + a.idx as int) as u, cast(b.q * 60 + b.idx as int) as v from port a join port b on a.q <> b.q and ((b.r = a.r + 1 and b.c = a.c) or (b.r = a.r and b.c = a.c + 1))""")
+def node_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ports across the seams of a node of four tiles of side 16."""
+    pairs = tiles.geometry(16, 2)["seams"]
+    return spark.createDataFrame([(int(u), int(v)) for u, v in pairs], "u int, v int")

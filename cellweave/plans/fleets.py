@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import cache, fleet, raster
+from cellweave.operators import cache, fleet, raster, tiles
+from cellweave.operators import query as lifted
+from cellweave.operators.neighbourhood import update_cells
 from cellweave.plans.distances import K, _matrix, _points, _vp
 from cellweave.plans.registry import query
 from cellweave.plans.scalars import UPDATED, cells, updates
-from cellweave.operators.neighbourhood import update_cells
+from cellweave.session import shared_dir
 from cellweave.sources import derived
 from cellweave.sources.sql import CELLS, FOUR, distances, viewpoints
 from cellweave.streaming import mission
@@ -156,3 +158,39 @@ def lag_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     offered = e.groupBy(F.expr("event_id div 100").alias("tick")).agg(F.count("*").alias("n"))
     applied = offered.select("tick", (F.col("tick") - F.col("tick") % 4).alias("upto"))
     return mission.lag_gauges(offered, applied)
+
+
+@query(_matrix(True, UPDATED, "updated"))
+def streamed_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates as a stream of files, each batch a version of the index; the matrix at the last."""
+    own, points = _points(spark, sf_dir)
+    folder = shared_dir(spark, "updates")
+    batch = updates(spark, sf_dir)
+    half = batch.agg(F.max("seq")).first()[0] // 2
+    for part in (batch.where(F.col("seq") <= half), batch.where(F.col("seq") > half)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    writer = mission.IndexWriter(tiles.Index.build(own, tiles.Config(b=16)))
+    stream = writer.follow(mission.update_stream(spark, folder), shared_dir(spark, "stream"))
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return lifted.matrix(writer.front, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
+
+
+@query("""with e as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as was from events),
+  g as (select *, max(case when was is null or was <> event_type then event_id end) over (partition by user_id order by event_id rows unbounded preceding) as since from e)
+  select cast(user_id as int) as robot_id, event_id as tick, cast(greatest(0, 50 - (event_id - since)) as int) as left from g""".replace("as left", 'as "left"'))
+def goal_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as goals of users: how long each is still kept, by a stateful stream."""
+    folder = shared_dir(spark, "goals")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e.select(F.col("user_id").cast("int").alias("robot_id"), F.col("event_id").alias("tick"), F.col("event_type").alias("goal")).coalesce(1).write.parquet(folder)
+    goals = spark.readStream.schema("robot_id int, tick long, goal string").parquet(folder)
+    out = shared_dir(spark, "kept")
+    stream = mission.goal_persistence(goals).writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "stream")).outputMode("append").start(out)
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(out)

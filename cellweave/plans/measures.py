@@ -10,6 +10,7 @@ from cellweave.plans.distances import _matrix, _points
 from cellweave.plans.registry import query
 from cellweave.plans.scalars import UPDATED, cells, updates
 from cellweave.operators.neighbourhood import update_cells
+from cellweave.session import shared_dir
 from cellweave.sources import records
 from cellweave.sources.sql import CELLS
 
@@ -165,3 +166,26 @@ def map_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = raster.largest_component(own).groupBy("map_id").agg(F.first("size").alias("largest"))
     base = own.groupBy("map_id").agg(F.first("rows").alias("rows"), F.first("cols").alias("cols"), F.count_if(F.col("gt") == 1).alias("passable"))
     return base.join(size, "map_id").select("map_id", "rows", "cols", "passable", "largest")
+
+
+@query("""select event_type as map_id, cast(8 as int) as b, round(quantile_cont(value, 0.5), 6) as median_ms, round(max(value), 6) as max_ms, count(*) as n_pairs from events group by 1""")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results appended to a table of CSV files in two goes and read back."""
+    folder = shared_dir(spark, "results")
+    e = events(spark, sf_dir)
+    rows = e.groupBy(F.col("event_type").alias("map_id")).agg(F.percentile("value", 0.5).alias("median_ms"), F.max("value").alias("max_ms"), F.count("*").alias("n_pairs")).withColumn("b", F.lit(8))
+    for part in (F.col("map_id") < "m", F.col("map_id") >= "m"):
+        records.append_csv(rows.where(part), folder, "query_vs_k")
+    return rounded(records.read_csv(spark, folder, "query_vs_k").select("map_id", "b", "median_ms", "max_ms", "n_pairs"))
+
+
+@query("select event_id as tick, cast(user_id as int) as frontier_id, cast(event_id % 50 as int) as cell_count from events where event_id % 4 = 0")
+def telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontier rows through the telemetry sink, which keeps every fourth tick; a batch offered twice is written once."""
+    folder = shared_dir(spark, "telemetry")
+    row = F.to_json(F.struct(F.col("event_id").alias("tick"), F.col("user_id").alias("frontier_id"), (F.col("event_id") % 50).alias("cell_count")))
+    batch = events(spark, sf_dir).select(F.lit("frontier_events").alias("table"), row.alias("row"))
+    sink = records.telemetry_sink(folder)
+    for epoch in (0, 0):
+        sink(batch, epoch)
+    return spark.read.parquet(f"{folder}/frontier_events").select("tick", "frontier_id", "cell_count")
