@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     linked = member.join(distinct.withColumnRenamed("fp", "node"), "node")
     lowest = linked.groupBy("component").agg(F.min("rep").alias("low"))
     of = member.join(lowest, "component").select(F.col("node").alias("fp"), "low")
-    known = distinct.join(of, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    known = common.store(distinct.join(of, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")), "components")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
