@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import raster
-from cellweave.operators.tiles import FAR, KEY, Index, geometry, matrix_of
+from cellweave.operators.tiles import FAR, KEY, Index, border, matrix_of
 from cellweave.session import INF, stored
 
 POINT = ["map_id", "query_id", "i"]
@@ -95,8 +95,9 @@ def _leaf_step(points: DataFrame, leaves: DataFrame, b: int) -> DataFrame:
             return LIFT.empty_table()
         dist = matrix_of(right.column("D")[0].as_py())
         at = (left.column("r").to_numpy() % b) * b + left.column("c").to_numpy() % b
+        own = ports[np.frombuffer(right.column("E")[0].as_py(), "<i4")]
         key = (left.column("map_id")[0].as_py(), 0, left.column("tx")[0].as_py(), left.column("ty")[0].as_py())
-        return _emit(key, left.column("query_id").to_pylist(), left.column("i").to_numpy(), dist[np.ix_(at, ports)], dist[np.ix_(at, at)])
+        return _emit(key, left.column("query_id").to_pylist(), left.column("i").to_numpy(), dist[np.ix_(at, own)], dist[np.ix_(at, at)])
 
     own = points.withColumn("tx", F.floor(F.col("r") / b).cast("int")).withColumn("ty", F.floor(F.col("c") / b).cast("int"))
     return own.groupBy("map_id", "tx", "ty").cogroup(leaves.groupBy("map_id", "tx", "ty")).applyInArrow(run, LIFT_DDL)
@@ -111,22 +112,24 @@ def _ports(b: int) -> np.ndarray:
 
 def _node_step(lifts: DataFrame, nodes: DataFrame, level: int, side: int, g: int) -> DataFrame:
     """side: of the level below."""
-    ext, n = geometry(side, g)["ext"], 4 * side - 4
+    n = 4 * side - 4
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return LIFT.empty_table()
         dist = matrix_of(right.column("D")[0].as_py())
+        active = np.frombuffer(right.column("A")[0].as_py(), "<i4")
+        ext, child = border(active, side, g)[1], active // n
         a = np.full((left.num_rows, len(dist)), FAR, np.int32)
         for row, (x, y, blob) in enumerate(zip(*(left.column(c).to_pylist() for c in ("cx", "cy", "X")))):
             q = (x % g) * g + y % g
-            a[row, q * n : (q + 1) * n] = np.frombuffer(blob, "<i4")
+            a[row, child == q] = np.frombuffer(blob, "<i4")
         through = min_plus_dense(a, dist)
         key = (left.column("map_id")[0].as_py(), level, left.column("tx")[0].as_py(), left.column("ty")[0].as_py())
         return _emit(key, left.column("query_id").to_pylist(), left.column("i").to_numpy(), through[:, ext], min_plus_dense(through, np.ascontiguousarray(a.T)))
 
     up = lifts.select("map_id", F.floor(F.col("tx") / g).cast("int").alias("tx"), F.floor(F.col("ty") / g).cast("int").alias("ty"), F.col("tx").alias("cx"), F.col("ty").alias("cy"), "query_id", "i", "X")
-    return up.groupBy("map_id", "tx", "ty").cogroup(nodes.select("map_id", "tx", "ty", "D").groupBy("map_id", "tx", "ty")).applyInArrow(run, LIFT_DDL)
+    return up.groupBy("map_id", "tx", "ty").cogroup(nodes.select("map_id", "tx", "ty", "D", "A").groupBy("map_id", "tx", "ty")).applyInArrow(run, LIFT_DDL)
 
 
 class Answer:

@@ -18,7 +18,7 @@ from cellweave.session import INF
 
 FAR = np.int32(INF)
 #: Source rows of one chunk: they share a task and one wave.
-CHUNK = 16
+CHUNK = 4
 
 
 def rasters(cells: DataFrame, layer: str = "observed") -> DataFrame:
@@ -46,7 +46,8 @@ def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool)
     """Distances (sources, cells) over a padded raster, INF where none; all sources move in one wave.
 
     Each direction moves different cells to different cells, so a wave is four masked assignments. Cells that became
-    nearer move again, until none does or the distance would reach INF.
+    nearer move again, until none does or the distance would reach INF. With weights, cells move in order of distance, a
+    band at a time, so that few of them move twice.
     """
     n, k = len(weights), len(sources)
     dist = np.full(k * n, FAR, np.int32)
@@ -54,7 +55,16 @@ def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool)
     start = np.arange(k) * n + sources
     wave = start[weights[sources] > 0]
     dist[wave] = 0
-    while len(wave):
+    band = max(1, int(np.median(weights[weights > 0]))) if weighted and (weights > 0).any() else 0
+    later, bound = wave[:0], band
+    while len(wave) or len(later):
+        if weighted:
+            wave = np.unique(np.concatenate((wave, later)))
+            far = dist[wave] >= bound
+            if far.all():
+                bound = int(dist[wave].min()) + band
+                far = dist[wave] >= bound
+            wave, later = wave[~far], wave[far]
         moved = []
         for step in (-width, width, -1, 1):
             to = wave + step
@@ -64,9 +74,7 @@ def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool)
             nearer = new < dist[to]
             dist[to[nearer]] = new[nearer]
             moved.append(to[nearer])
-        wave = np.concatenate(moved)
-        if weighted:  # a cell can come nearer twice in one wave; with unit steps only the first is nearer
-            wave = np.unique(wave)
+        wave = np.concatenate(moved)  # with unit steps only the first to reach a cell is nearer, so none is in it twice
     return dist.reshape(k, n)
 
 

@@ -1,9 +1,10 @@
 """The tile hierarchy: materialised distance summaries over a grid, kept as versioned tables.
 
 Leaves are b x b tiles; a node at level l joins g x g tiles of the level below. A leaf row holds the all-pairs distances D of
-its cells; a node row holds D between the ports of its children. Both hold S, the distances between the ports on their own
-perimeter, and P, the weights of those ports (0: impassable). D, S and P are int32 blobs, never exploded except on small
-grids. A missing row is a tile without a passable cell; a distance of INF is none.
+its cells; a node row holds D between its children's passable ports, and A, which ports those are. Both hold S, the distances
+between the passable ports on their own perimeter, E, which those are, and P, their weights. So a tile's size follows its
+passable border, not its side. The blobs are int32, never exploded except on small grids. A missing row is a tile without a
+passable cell; a distance of INF is none.
 
 A level is one grouped kernel over its children's S and P alone. Updates recompute the touched leaves and all their
 ancestors up to the root and append them under a new version: a summary that stays equal is no reason to stop, because a
@@ -26,8 +27,8 @@ from cellweave.operators.neighbourhood import update_cells
 from cellweave.session import INF, stored
 
 FAR = np.int32(INF)
-DDL = "map_id string, ver long, lvl int, tx int, ty int, pivots int, D binary, S binary, P binary"
-SCHEMA = pa.schema([("map_id", pa.string()), ("ver", pa.int64()), ("lvl", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), ("pivots", pa.int32()), ("D", pa.binary()), ("S", pa.binary()), ("P", pa.binary())])
+DDL = "map_id string, ver long, lvl int, tx int, ty int, pivots int, D binary, S binary, P binary, E binary, A binary"
+SCHEMA = pa.schema([("map_id", pa.string()), ("ver", pa.int64()), ("lvl", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), ("pivots", pa.int32()), ("D", pa.binary()), ("S", pa.binary()), ("P", pa.binary()), ("E", pa.binary()), ("A", pa.binary())])
 KEY = ["map_id", "lvl", "tx", "ty"]
 #: Versions after which the current rows are written anew, so that reading them stays one scan and a few anti joins.
 COMPACT = 16
@@ -35,12 +36,12 @@ COMPACT = 16
 
 @dataclass(frozen=True)
 class Config:
-    """Tile side b, group side g, and how few viewpoints are searched without the index."""
+    """Tile side b, group side g, how few viewpoints are searched without the index, and the most passable ports of a node."""
 
     b: int = 16
     g: int = 2
     hybrid_k: int = 0
-    max_ports: int = 4096
+    max_ports: int = 8192
 
     def __post_init__(self) -> None:
         if self.b < 2 or not 2 <= self.g <= 16:
@@ -51,8 +52,6 @@ class Config:
         h = 0
         while self.b * self.g**h < max(rows, cols):
             h += 1
-        if h and (n := self.g**2 * (4 * self.side(h - 1) - 4)) > self.max_ports:
-            raise ValueError(f"the root would have {n} ports; max_ports is {self.max_ports}")
         return h
 
     def side(self, level: int) -> int:
@@ -129,21 +128,38 @@ def open_cells(dist: np.ndarray, weight: np.ndarray, opened: np.ndarray) -> tupl
     return dist, insert_edges(dist, u, v, edge_weights(flat[u], flat[v]) if len(u) else u.astype(np.int32))
 
 
-def node_distances(summaries: dict[int, np.ndarray], weights: dict[int, np.ndarray], side: int, g: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """D over all children's ports from the children's own S (by place in the group) and port weights; the ports' weights; the pivots' number."""
-    geo = geometry(side, g)
-    n = 4 * side - 4
-    dist = np.full((g * g * n, g * g * n), FAR, np.int32)
-    np.fill_diagonal(dist, 0)
-    weight = np.zeros(g * g * n, np.int32)
-    for q, s in summaries.items():
-        dist[q * n : (q + 1) * n, q * n : (q + 1) * n] = s
-        weight[q * n : (q + 1) * n] = weights[q]
-    u, v = geo["seams"].T
-    on = (weight[u] > 0) & (weight[v] > 0)
+def node_distances(children: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], side: int, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """From the children's (S, E, P) by place in the group: D over their passable ports, which those are, their weights, and the pivots' number."""
+    geo, n = geometry(side, g), 4 * side - 4
+    order = sorted(children)
+    active = np.concatenate([q * n + children[q][1] for q in order])
+    weight = np.concatenate([children[q][2] for q in order])
+    dist = np.full((len(active), len(active)), FAR, np.int32)
+    at = 0
+    for q in order:
+        s = children[q][0]
+        dist[at : at + len(s), at : at + len(s)] = s
+        at += len(s)
+    place = places(active, g * g * n)
+    u, v = place[geo["seams"].T]
+    on = (u >= 0) & (v >= 0)
     u, v = u[on], v[on]
     pivots = insert_edges(dist, u, v, edge_weights(weight[u], weight[v]))
-    return dist, weight, len(pivots)
+    return dist, active, weight, len(pivots)
+
+
+def places(active: np.ndarray, n: int) -> np.ndarray:
+    """For each of n ports its place among the active ones, or -1."""
+    out = np.full(n, -1)
+    out[active] = np.arange(len(active))
+    return out
+
+
+def border(active: np.ndarray, side: int, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which ports of a node's own perimeter are passable, and their places among its active ports."""
+    at = places(active, g * g * (4 * side - 4))[geometry(side, g)["ext"]]
+    own = np.flatnonzero(at >= 0)
+    return own, at[own]
 
 
 def matrix_of(blob: bytes, dtype: str = "<i4") -> np.ndarray:
@@ -161,8 +177,10 @@ def build_leaves(cells: DataFrame, config: Config, ver: int = 0) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         weight = np.zeros((b, b), np.int32)
         weight[table.column("r").to_numpy() % b, table.column("c").to_numpy() % b] = table.column("w").to_numpy()
-        dist = leaf_distances(weight)
-        return _row(table.column("map_id")[0].as_py(), ver, 0, table.column("tx")[0].as_py(), table.column("ty")[0].as_py(), 0, dist, dist[np.ix_(ports, ports)], weight.ravel()[ports])
+        dist, flat = leaf_distances(weight), weight.ravel()[ports]
+        own = np.flatnonzero(flat)
+        at = ports[own]
+        return _row(table.column("map_id")[0].as_py(), ver, 0, table.column("tx")[0].as_py(), table.column("ty")[0].as_py(), 0, dist, dist[np.ix_(at, at)], flat[own], own, own[:0])
 
     free = cells.where((F.col("observed") == 1) & (F.col("weight") < INF))
     slim = free.select(F.col("map_id").cast("string").alias("map_id"), "r", "c", F.greatest("weight", F.lit(1)).cast("int").alias("w"), F.floor(F.col("r") / b).cast("int").alias("tx"), F.floor(F.col("c") / b).cast("int").alias("ty"))
@@ -176,18 +194,19 @@ def _row(map_id: str, ver: int, lvl: int, tx: int, ty: int, pivots: int, *blobs:
 
 def build_level(children: DataFrame, config: Config, level: int, ver: int = 0) -> DataFrame:
     """The node rows of a level from the rows of the level below."""
-    g, side = config.g, config.side(level - 1)
-    ext = geometry(side, g)["ext"]
+    g, side, most = config.g, config.side(level - 1), config.max_ports
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("tx").to_pylist(), table.column("ty").to_pylist()
+        x, y, *blobs = (table.column(c).to_pylist() for c in ("tx", "ty", "S", "E", "P"))
         place = [(i % g) * g + j % g for i, j in zip(x, y)]
-        s = {q: matrix_of(v) for q, v in zip(place, table.column("S").to_pylist())}
-        p = {q: np.frombuffer(v, "<i4") for q, v in zip(place, table.column("P").to_pylist())}
-        dist, weight, pivots = node_distances(s, p, side, g)
-        return _row(table.column("map_id")[0].as_py(), ver, level, x[0] // g, y[0] // g, pivots, dist, dist[np.ix_(ext, ext)], weight[ext])
-
-    slim = children.select("map_id", "tx", "ty", "S", "P").withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
+        if (n := sum(len(e) for e in blobs[1]) // 4) > most:
+            raise ValueError(f"a node of level {level} has {n} passable ports; max_ports is {most}")
+        children = {q: (matrix_of(s), np.frombuffer(e, "<i4"), np.frombuffer(p, "<i4")) for q, s, e, p in zip(place, *blobs)}
+        dist, active, weight, pivots = node_distances(children, side, g)
+        own, at = border(active, side, g)
+        return _row(table.column("map_id")[0].as_py(), ver, level, x[0] // g, y[0] // g, pivots, dist, dist[np.ix_(at, at)], weight[at], own, active)
+
+    slim = children.select("map_id", "tx", "ty", "S", "E", "P").withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
     return slim.groupBy("map_id", "px", "py").applyInArrow(run, DDL)
 
 

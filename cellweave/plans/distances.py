@@ -192,9 +192,11 @@ def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(spark, sf_dir)[1].batch_stats().select("touched", "ancestors", "pivots")
 
 
-@query(f"""with {CELLS}, t as (select distinct r // 8 as tx, c // 8 as ty from cells where observed = 1), h as (select ceil(log2(greatest(max(rows), max(cols)) / 8.0)) as h from cells),
-  lv as (select 0 as lvl, tx, ty from t union select k, tx // cast(pow(2, k) as int), ty // cast(pow(2, k) as int) from t, range(1, 12) a(k), h where k <= h)
-  select cast(lvl as int) as lvl, count(*) as tiles, cast(sum(case when lvl = 0 then 4 * (4096 + 28 * 28) else 4 * (pow(4 * (4 * 4 * pow(2, lvl) - 4), 2) + pow(4 * 8 * pow(2, lvl) - 4, 2)) end) as bigint) as bytes from lv group by 1""")
+@query(f"""with {CELLS}, free as (select r, c from cells where observed = 1), h as (select cast(ceil(log2(greatest(max(rows), max(cols)) / 8.0)) as int) as h from cells),
+  lv as (select k as lvl, cast(8 * pow(2, k) as int) as s from range(0, 12) a(k), h where k <= h),
+  spot as (select lvl, r // s as tx, c // s as ty, (r % s in (0, s - 1) or c % s in (0, s - 1)) as own, (r % (s // 2) in (0, s // 2 - 1) or c % (s // 2) in (0, s // 2 - 1)) as child from free, lv),
+  n as (select lvl, tx, ty, count(*) filter (own) as e, count(*) filter (child) as inner_ports from spot group by all)
+  select cast(lvl as int) as lvl, count(*) as tiles, cast(sum(4 * (pow(case when lvl = 0 then 64 else inner_ports end, 2) + e * e)) as bigint) as bytes from n group by 1""")
 def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)[0].sizes().select("lvl", "tiles", "bytes")
 
