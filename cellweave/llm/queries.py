@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, suffixes, weaklabel
+from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, sql, suffixes, weaklabel
 
 QUERIES = {
     "op1_suffix_array": suffixes.op1_suffix_array,
@@ -17,4 +17,7 @@ QUERIES = {
     "op10_weak_label": weaklabel.op10_weak_label,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array": sql.REPEATED_BYTES,
+    "op3_phrases": sql.REPEATED_WORDS,
+}
