@@ -38,6 +38,21 @@ def test_lookup_finds_every_key():
     assert (found == (np.arange(len(keys)) % 2 == 0)).all() and (rows[found, 0] == np.arange(len(keys[::2]))).all()
 
 
+def test_no_gram_is_left_out_in_parts(spark):
+    """The broadcast parts give what Model gives for all counts at once, and a rare language stays."""
+    texts = [(k, plain.prose(k, 80), "en") for k in range(40)] + [(100 + k, "żółw gęś łąka jaźń", "pl") for k in range(3)] + [(200, "漢字仮名交文", "ja"), (201, "", "xx")]
+    texts += [(300 + k, t, x) for k, (_, t, x) in enumerate(texts[-2:])]
+    texts = [x for x in texts if not langid.held_out(x[0])]
+    by = {}
+    for _, t, x in texts:
+        by.setdefault(x, []).append(t)
+    whole = langid.Model({x: tuple(np.unique(langid.grams(t)[0], return_counts=True)) for x, t in by.items()})
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"), part_bytes=2000)
+    assert len(model.prob[-1].parts) > 3 and model.languages == whole.languages and {"en", "pl", "ja"} <= set(model.languages)
+    packed = langid.grams([t for _, t, _ in texts] + [plain.prose(999, 50), "Ünknown qqzx 漢漢"])[0]
+    np.testing.assert_allclose(model.log_probs(packed), whole.log_probs(packed), rtol=1e-5, atol=1e-5)
+
+
 def test_language_awkward(spark):
     df, rows = plain.awkward(spark)
     who = langid.train(df)
