@@ -68,6 +68,18 @@ def test_language_awkward(spark):
     assert [x["accepted"] for x in langid.identify(noise, trained).orderBy("doc_id").collect()][0] is False
 
 
+def test_no_language_accepts_without_limit(spark):
+    rows = [("en", 1.5, 500)] * 30 + [("la", 1.6, 400)] * 3 + [("fi", 2.4, 40)] * 50
+    bounds = langid.Calibration(["en", "fi", "la", "xx"], rows)
+    assert all(not bounds.accepts(x, 8.0, 1000) for x in bounds.bound)
+    assert bounds.accepts("la", 1.6, 400) and bounds.accepts("fi", 2.4, 40) and bounds.accepts("en", 1.5, 500)
+    assert all(not langid.Calibration(["en"], some).accepts("en", 1e3, 1000) for some in ([], rows[-3:]))
+    many = [(k, plain.prose(k, 40), "en") for k in range(3000)] + [(5000 + k, plain.prose(k, 40), "la") for k in range(25)] + [(6000 + k, "ab cd", "fi") for k in range(30)]
+    got = langid.calibration_rows(spark.createDataFrame(many, "doc_id long, text string, lang string"), 200).groupBy("lang").count().collect()
+    got = {x["lang"]: x["count"] for x in got}
+    assert got["la"] == 25 and got["fi"] == 30 and 100 < got["en"] < 300
+
+
 def random_text(draw, n):
     return "".join(draw.choice("abcde ") for _ in range(n))
 
