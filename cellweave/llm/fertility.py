@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +42,18 @@ def _byte_ids(path: str) -> np.ndarray:
     return np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _script_of(letter: str) -> str:
+    return unicodedata.name(letter, "UNNAMED").split()[0].lower()
+
+
 def script(text: str) -> str:
-    """The script of most of the first 64 letters, by their Unicode names; `none` without letters."""
+    """The script of most of the letters, by their Unicode names; `none` without letters."""
     names: dict[str, int] = {}
-    for c in text:
+    for c, n in Counter(text).items():
         if c.isalpha():
-            name = unicodedata.name(c, "UNNAMED").split()[0].lower()
-            names[name] = names.get(name, 0) + 1
-            if sum(names.values()) == 64:
-                break
+            name = _script_of(c)
+            names[name] = names.get(name, 0) + n
     return max(sorted(names), key=names.get) if names else "none"
 
 

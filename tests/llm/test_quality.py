@@ -194,3 +194,9 @@ def test_weak_label_awkward(spark):
     assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got)
     assert not any(x["kept"] for x in got if x["doc_id"] in (1, 2, 3))
     assert weaklabel.classify(df.limit(0), weaklabel.train(df.limit(0))).count() == 0
+
+
+def test_script_is_of_the_whole_text():
+    assert fertility.script("MIT License https://example.org/ " * 5 + "съешь же ещё этих мягких булок " * 50) == "cyrillic"
+    assert fertility.script("съешь " * 15 + "plain words " * 100) == "latin"
+    assert fertility.script("αβγ abc") == "greek" and fertility.script("αβγδ abc") == "greek" and fertility.script("12 !") == "none"
