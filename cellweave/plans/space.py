@@ -133,7 +133,7 @@ def footprint_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segment_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cells(spark, sf_dir).where("observed = 1 and c < 98")
+    own = cells(spark, sf_dir).where("observed = 1")
     segments = own.select("map_id", (F.col("r") * 100 + F.col("c")).alias("id"), ((F.col("c") + 0.5) * 0.25).alias("x1"), ((F.col("r") + 0.5) * 0.25).alias("y1"), ((F.col("c") + 2.5) * 0.25).alias("x2"), ((F.col("r") + 0.5) * 0.25).alias("y2"), F.lit(0.05).alias("radius"))
     return neighbourhood.segment_clear(segments, cells(spark, sf_dir), 0.25).select("id", "clear")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import scalar
 from cellweave.operators import cache, fleet, frontier, neighbourhood, raster, sampling, stats
+from cellweave.plans import space
 from cellweave.session import INF
 from cellweave.sources import maps, records
 from cellweave.streaming import mission
@@ -226,3 +227,12 @@ def test_mission_explores(spark):
     run = mission.Mission(tiles.Index.build(cells, tiles.Config(b=16)), [(0, 8, 8)], scanner=mission.Scanner(1.0, 360.0, 24))
     first, second = run.step(), run.step()
     assert second["explored_cells"] >= first["explored_cells"] > 0 and second["tick"] == 1
+
+
+def test_every_segment_is_asked(spark, monkeypatch):
+    """Those that leave the map at its right side are not clear."""
+    states = [[2 if (r * 7 + c * 3) % 11 == 0 else 1 for c in range(100)] for r in range(3)]
+    monkeypatch.setattr(space, "cells", lambda *_: table(spark, states))
+    got = {x["id"]: x["clear"] for x in space.segment_clear(spark, "").collect()}
+    at = lambda r, c: c < 100 and states[r][c] == 1
+    assert got == {r * 100 + c: at(r, c + 1) and at(r, c + 2) for r in range(3) for c in range(100) if at(r, c)}
