@@ -60,14 +60,22 @@ _MEDOID = """cost as (select a.cluster_id, a.r, a.c, count(*) as size, sum(abs(a
 
 @query(f"with recursive {EXPLORED}, {FRONTIER}, {CLUSTERS}, {_MEDOID.format(t='cluster')} select cluster_id, size, cost from medoid where size <= 128")
 def frontier_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cost of each medoid: the cell is one of least cost, first in visiting order."""
+    """The cost of each medoid: the cell is one of least cost, first in visiting order.
+
+    Over frontier.EXACT cells it is the squared distance to the centroid and that penalty; the SQL has no such clusters.
+    """
     own = frontier.cluster_cells(derived.explored_cells(spark, sf_dir), max_size=0)
-    best = frontier.medoids(own).where("size <= 128")
+    best = frontier.medoids(own)
     at = best.join(own.select("cluster_id", "r", "c", "clr"), ["cluster_id", "r", "c"])
     other = own.select("cluster_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
     l1 = F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("c") - F.col("c2"))
     penalty = F.when(F.col("clr") <= 1, 1000).when(F.col("clr") == 2, 100).otherwise(0)
-    return at.join(other, "cluster_id").groupBy("cluster_id", "size").agg((F.sum(l1) + F.max(penalty)).cast("long").alias("cost"))
+    exact = at.where(F.col("size") <= frontier.EXACT).join(other, "cluster_id").groupBy("cluster_id", "size").agg((F.sum(l1) + F.max(penalty)).cast("double").alias("cost"))
+    middle = own.groupBy("cluster_id").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"))
+    dr, dc = F.col("r") - F.col("mr"), F.col("c") - F.col("mc")
+    penalty = F.when(F.col("clr") <= 1, 200.0).when(F.col("clr") == 2, 20.0).otherwise(0.0)
+    rough = at.where(F.col("size") > frontier.EXACT).join(middle, "cluster_id").select("cluster_id", "size", (dr * dr + dc * dc + penalty).alias("cost"))
+    return exact.unionByName(rough)
 
 
 @query(f"""with {EXPLORED}, {FRONTIER}, off as (select a.x as dr, b.x as dc from (values (-3), (-2), (-1), (0), (1), (2), (3)) a(x), (values (-3), (-2), (-1), (0), (1), (2), (3)) b(x)),

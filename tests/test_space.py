@@ -236,3 +236,14 @@ def test_every_segment_is_asked(spark, monkeypatch):
     got = {x["id"]: x["clear"] for x in space.segment_clear(spark, "").collect()}
     at = lambda r, c: c < 100 and states[r][c] == 1
     assert got == {r * 100 + c: at(r, c + 1) and at(r, c + 2) for r in range(3) for c in range(100) if at(r, c)}
+
+
+def test_medoids_of_large_clusters_have_costs(spark, monkeypatch):
+    own = table(spark, [[1] * 200 for _ in range(6)] + [[0] * 200 for _ in range(6)])
+    monkeypatch.setattr(space.derived, "explored_cells", lambda *_: own)
+    got = [(x["size"], x["cost"]) for x in space.frontier_medoids(spark, "").collect()]
+    front = neighbourhood.frontier_cells(own).collect()
+    n = len(front)
+    r, c = sum(x["r"] for x in front) / n, sum(x["c"] for x in front) / n
+    assert n > frontier.EXACT
+    assert got == [(n, pytest.approx(min((x["r"] - r) ** 2 + (x["c"] - c) ** 2 + (200 if x["clr"] <= 1 else 20 if x["clr"] == 2 else 0) for x in front)))]
