@@ -22,6 +22,18 @@ def test_both_vocabulary_files_give_the_same_ids():
         assert tokens.encoder(tokens.vocabulary("byte_bpe_50k.tiktoken"))(t) == ids_of(t)
 
 
+def test_added_token_is_one_id():
+    """As the plain call of tokenizers has it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plainly = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n x", "<|endoftext|", "don't é日本 😀", "a  <|endoftext|>  b"]:
+        expected = [*plainly.encode(t, add_special_tokens=False).ids, 7]
+        for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+            assert tokens.token_ids(t, tokens.vocabulary(name), 7).tolist() == expected
+
+
 def test_pieces_make_up_the_documents(spark):
     df, rows = plain.awkward(spark)
     got = packing.pack(df.coalesce(1), window=256).collect()
