@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,16 +23,25 @@ def session(app: str = "cellweave", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared storage named by spark.checkpoint.dir; a temporary one where that is unset."""
+    """A new folder in the shared storage named by spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local master; executors on other machines could not see it, so a
+    cluster without the setting is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cellweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to shared storage and read back, which cuts the lineage."""
-    path = shared_dir(df.sparkSession, label)
+    """Write to shared storage and read back, which cuts the lineage. The files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
