@@ -1,13 +1,17 @@
-"""Exchange of sorted hash lists between blocks of documents and ranges of hashes.
+"""Exchange of sorted name lists between blocks of documents and ranges of names.
 
-Documents are dealt into blocks of a few megabytes by a hash of their id. A block sends each hash at most once, in one
-sorted list for each range of hashes, so a phrase that every document has is one entry a block and no range grows with it.
-A range looks every block's list up in the merged list by binary search and answers each block with one bit an entry.
+Documents are dealt into blocks of a few megabytes by a hash of their id. A block sends each name at most once, in one
+sorted list for each of RANGES equal ranges of names, so a phrase that every document has is one entry a block, no range
+grows with it, and the rows that move are as many as the blocks times a constant. A range merges its blocks' lists by binary
+search and answers each block with one bit an entry, and a value for each bit that is set. Names have 96 bits, a hash of 64
+by which they are sorted and a tail of 32 from another polynomial: 10**13 names collide with a chance of about 0.001.
 The blocks' exchange is the same subplan wherever documents are needed again, so Spark reuses it: texts move once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +21,10 @@ from . import common
 
 #: Bytes of text of one block, about.
 BLOCK_BYTES = 4 << 20
+#: Ranges of names. They are dealt to tasks by number, several to a task where there are fewer shuffle partitions.
+RANGES = 256
+
+U64 = np.uint64
 
 
 def n_blocks(df: DataFrame, text_col: str) -> int:
@@ -30,48 +38,98 @@ def in_blocks(df: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[st
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), block.alias("block"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []))
 
 
-def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of 64-bit hashes begins in a sorted list, and its end."""
-    step = (1 << 64) // n
-    edges = np.arange(1, n, dtype=np.uint64) * np.uint64(step)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
+def by_range(lists: DataFrame, judge: Callable[[pa.Table], list[tuple]], ddl: str) -> DataFrame:
+    """What judge returns for each range's rows, as a table of the columns in ddl."""
+    parts = min(RANGES, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = common.arrow_schema(ddl)
 
+    def run(table: pa.Table) -> pa.Table:
+        where = table.column("range").to_numpy()
+        rows = [row for r in np.unique(where).tolist() for row in judge(table.filter(pa.array(where == r)))]
+        return pa.Table.from_batches([common.record_batch(rows, schema)])
 
-def lists(block: int, n: int, hashes: np.ndarray, *more: np.ndarray) -> list[tuple]:
-    """Rows (range, block, hashes, more ...) of the non-empty ranges, as bytes."""
-    at = ranges(hashes, n)
-    used = np.flatnonzero(np.diff(at)).tolist()
-    return [(r, block, *(x[at[r] : at[r + 1]].tobytes() for x in (hashes, *more))) for r in used]
+    return lists.withColumn("part", F.col("range") % parts).repartitionById(parts, "part").groupBy("part").applyInArrow(run, ddl)
 
 
-def joined(table: pa.Table, column: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of all rows end to end, and where each begins, with the end."""
-    parts = [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.cumsum([0, *map(len, parts)])
+def ranges(names: np.ndarray) -> np.ndarray:
+    """Where each of the equal ranges of 64-bit names begins in a sorted list, and its end."""
+    edges = np.arange(1, RANGES, dtype=U64) * U64((1 << 64) // RANGES)
+    return np.concatenate(([0], np.searchsorted(names, edges), [len(names)]))
 
 
-def occurrences(values: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many entries equal each entry, by binary search of every list in the merged one."""
-    merged = values[order]
-    out = np.empty(len(values), np.int64)
-    for lo, hi in zip(at[:-1], at[1:]):
-        mine = values[lo:hi]
-        out[lo:hi] = np.searchsorted(merged, mine, "right") - np.searchsorted(merged, mine, "left")
+def lists(block: int, names: np.ndarray, *more: np.ndarray | None) -> list[tuple]:
+    """Rows (range, block, names, more ...) of the non-empty ranges, as bytes; None makes an empty column."""
+    at = ranges(names)
+    used = np.flatnonzero(np.diff(at)).tolist()
+    return [(r, block, *(b"" if x is None else x[at[r] : at[r + 1]].tobytes() for x in (names, *more))) for r in used]
+
+
+def column(table: pa.Table, name: str, dtype: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]
+
+
+def merged(names: list[np.ndarray], tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted lists end to end: the order that sorts all entries by (name, tail), and where equal ones begin in it.
+
+    Lists are merged in pairs, each entry of the one placed in the other by binary search.
+    """
+    ends = np.cumsum([0, *map(len, names)])
+    runs = [(n, np.arange(lo, hi)) for n, lo, hi in zip(names, ends[:-1].tolist(), ends[1:].tolist())]
+    while len(runs) > 1:
+        runs = [_two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    if not runs or not len(runs[0][0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name, order = runs[0]
+    tail = np.concatenate(tails)[order]
+    same = name[1:] == name[:-1]
+    if (same & (tail[1:] != tail[:-1])).any():
+        again = np.lexsort((tail, name))
+        order, name, tail = order[again], name[again], tail[again]
+        same = name[1:] == name[:-1]
+    return order, np.flatnonzero(np.concatenate(([True], ~same | (tail[1:] != tail[:-1]))))
+
+
+def _two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    place = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+    mine = np.ones(len(a[0]) + len(b[0]), bool)
+    mine[place] = False
+    out = tuple(np.empty(len(mine), x.dtype) for x in a)
+    for o, x, y in zip(out, a, b):
+        o[mine], o[place] = x, y
     return out
 
 
-def bits(table: pa.Table, column: str, sizes: np.ndarray) -> np.ndarray:
-    """One boolean for each entry that the block had sent; sizes: its entries by range."""
-    out = np.zeros(int(sizes.sum()), bool)
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    for r, x in zip(table.column("range").to_pylist(), table.column(column).to_pylist()):
-        if x is not None:
-            out[first[r] : first[r + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(sizes[r])).view(bool)
+def find(names: np.ndarray, tails: np.ndarray, name: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Where a list sorted by (name, tail) has some entries; -1 where it has them not."""
+    if not len(names):
+        return np.full(len(name), -1)
+    at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+    while True:
+        other = (names[at] == name) & (tails[at] < tail) & (at + 1 < len(names))
+        if not other.any():
+            return np.where((names[at] == name) & (tails[at] == tail), at, -1)
+        at = at + other
+
+
+def answer(where: int, table: pa.Table, ends: np.ndarray, mask: np.ndarray, values: np.ndarray | None = None) -> list[tuple]:
+    """Rows (block, range, bits, values) for the blocks whose entries lie at ends[i] .. ends[i + 1]."""
+    out = []
+    for b, lo, hi in zip(table.column("block").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+        if mask[lo:hi].any():
+            out.append((b, where, np.packbits(mask[lo:hi]).tobytes(), b"" if values is None else values[lo:hi][mask[lo:hi]].tobytes()))
     return out
 
 
-def packed(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
+def answers(rows: list[tuple[int, bytes, bytes]], names: np.ndarray, none: int, some: int) -> np.ndarray:
+    """The value of each entry that the block had sent, from rows (range, bits, values); without a bit: none; without a value: some."""
+    at = ranges(names)
+    out = np.full(len(names), none, np.int64)
+    for r, bits, values in rows:
+        on = at[r] + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[r + 1] - at[r])))
+        out[on] = np.frombuffer(values, "<i8") if values else some
+    return out
 
 
 def batches(ids: list, texts: list, limit: int = common.BATCH_BYTES):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,31 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import shared_dir, stored as store  # noqa: F401
+
 #: Rows per Arrow batch. Documents differ in length by a factor of thousands, so batches are kept short.
 ARROW_ROWS = 512
 #: Bytes of text that a worker holds as numpy arrays at once (a single longer document is a batch of its own).
 BATCH_BYTES = 1 << 20
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cellweave-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bases of two independent polynomials; names that must not collide in a corpus are made of both.
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_powers = [[np.ones(1, U64), np.ones(1, U64)] for _ in _BASES]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +61,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
+    held = _powers[which]
+    if len(held[0]) < n:
         size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+        for k, base in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            held[k] = np.multiply.accumulate(steps)
+    return held[0][:n], held[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,19 +83,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
+def prefix_hash(values: np.ndarray, which: int = 0) -> np.ndarray:
     """Polynomial prefix sums: the hash of values[i:j] is span_hash(prefix, i, j)."""
-    up, _ = powers(len(values) + 1)
+    up, _ = powers(len(values) + 1, which)
     out = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    _, down = powers(len(prefix), which)
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def span_tail(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 more bits of a span's name; prefix: of the second polynomial."""
+    return (span_hash(prefix, start, end, 1) >> U64(32)).astype(np.uint32)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -1,12 +1,16 @@
 """Substring deduplication over words by repeated-phrase automata.
 
 A phrase is a window of `size` consecutive words. Which phrases recur in a document with a smaller id is confirmed in two
-exchanges of sorted hash lists (see blocks.py). First, each block sends the anchors of its windows: of the ANCHOR-word
-shingles in a window the one with the least hash, which equal windows share. Only windows whose anchor occurs in two
-documents go on: their hashes, with the smallest and the largest document of the block that has them, tell every block
-which of its phrases start in an earlier document elsewhere. Stretches of such phrases in a row are the confirmed passages.
-A block's are compiled into Aho-Corasick automata over word numbers, of a bounded size each, and all its documents are
-streamed through them to find every occurrence.
+exchanges of sorted lists (see blocks.py). First, each block sends the anchors of its phrases: of the ANCHOR-word shingles in
+a window the one with the least hash, which equal windows share. Only phrases whose anchor occurs in two documents go on:
+their names, with the first document of the block that has them, tell every block which of its phrases start in an
+earlier document than another of its own. Where such a phrase stands for the first time in the block, stretches of them in a
+row are the block's passages. These are compiled into sharded Aho-Corasick automata over word numbers, and all documents of
+the block are streamed through them: only what an automaton hits is an occurrence.
+
+The keys of the automata are the pieces of (size + 1) / 2 words at every so many words of a passage, as every phrase has one
+whole; the words around a hit are compared with the passage. A piece with over COMMON places would have many passages to
+compare, so the phrases around it are keys themselves.
 """
 
 from __future__ import annotations
@@ -24,113 +28,120 @@ from . import blocks, common
 SIZE = 13
 #: Words of a shingle that can be an anchor.
 ANCHOR = 6
-#: Words of the passages of one automaton: a node of 50 bytes each.
+#: Words of the keys of one automaton: a node of 50 bytes each.
 AUTOMATON_WORDS = 500_000
+#: Places of a piece up to which each is compared.
+COMMON = 16
 #: A null id is later than any other.
 LAST = (1 << 63) - 1
 
-RANGE_DDL = "range int, block int, hashes binary, low binary, high binary"
-BITS_DDL = "block int, range int, bits binary"
-FOUND_DDL = "block int, hashes binary, low binary"
+ANCHOR_DDL = "range int, block int, names binary, several binary"
+BITS_DDL = "block int, range int, bits binary, low binary"
+PHRASE_DDL = "range int, block int, names binary, tails binary, low binary, several binary"
+FOUND_DDL = "block int, names binary, tails binary, low binary"
 
 
 class Batch:
-    """Words, windows and anchors of some texts of a block."""
+    """Words and windows of some texts of a block."""
 
     def __init__(self, ids: list, texts: list[bytes], size: int):
+        self.texts, self.ids, self.size = texts, ids, size
         self.words = common.Words(texts)
-        self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
+        self.docs = np.array([LAST if i is None else i for i in ids], np.int64)
         self.hash = self.words.hashes()
         self.at, self.window = self.words.windows(size, self.hash)
-        self.doc = self.ids[self.words.text[self.at]]
-        self.anchor = self._anchors(size) if len(self.at) else self.window
+        self.doc = self.docs[self.words.text[self.at]]
 
-    def _anchors(self, size: int) -> np.ndarray:
+    def tails(self, at: np.ndarray) -> np.ndarray:
+        return common.span_tail(common.prefix_hash(self.hash, 1), at, at + self.size)
+
+    def anchors(self) -> np.ndarray:
         """The least hash of the shingles in each window."""
+        if not len(self.at):
+            return self.window
         start = np.arange(len(self.hash) - ANCHOR + 1)
         shingle = common.span_hash(common.prefix_hash(self.hash), start, start + ANCHOR)
         least = shingle[self.at]
-        for k in range(1, size - ANCHOR + 1):
+        for k in range(1, self.size - ANCHOR + 1):
             np.minimum(least, shingle[self.at + k], out=least)
         return least
 
 
-def _texts(table: pa.Table) -> tuple[list, list[bytes]]:
-    return table.column("doc_id").to_pylist(), [t or b"" for t in table.column("text").to_pylist()]
+def _batches(table: pa.Table, size: int):
+    texts = [t or b"" for t in table.column("text").to_pylist()]
+    return (Batch(i, t, size) for i, t in blocks.batches(table.column("doc_id").to_pylist(), texts))
 
 
-def _least_most(hashes: np.ndarray, doc: np.ndarray, doc2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different hashes in order, each with its smallest and largest document."""
-    order = np.argsort(hashes)
-    hashes, low = hashes[order], doc[order]
-    high = low if doc2 is None else doc2[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+def _different(names: np.ndarray, tails: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different (name, tail) in order, each with its first and its last document."""
+    order = np.lexsort((tails, names))
+    names, tails = names[order], tails[order]
+    first = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (tails[1:] != tails[:-1])))) if len(names) else np.zeros(0, np.int64)
     if not len(first):
-        return hashes, low, high
-    return hashes[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        return names, tails, low, high
+    return names[first], tails[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
-def _gathered(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _least_most(*(np.concatenate(x) for x in zip(*parts)))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _different(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def _anchors(ids: list, texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(table: pa.Table, size: int) -> tuple[np.ndarray, ...]:
     parts = []
-    for i, t in blocks.batches(ids, texts):
-        b = Batch(i, t, size)
-        parts.append(_least_most(b.anchor, b.doc))
+    for b in _batches(table, size):
+        anchor = b.anchors()
+        parts.append(_different(anchor, np.zeros(len(anchor), np.uint32), b.doc, b.doc))
     return _gathered(parts)
 
 
-def recurring(base: DataFrame, size: int, n: int) -> DataFrame:
-    """For each block the hashes of its phrases that start in an earlier document than its latest, with the earliest."""
-    range_schema, bits_schema, found_schema = (common.arrow_schema(x) for x in (RANGE_DDL, BITS_DDL, FOUND_DDL))
+def recurring(base: DataFrame, size: int) -> DataFrame:
+    """For each block the names of its phrases that start in an earlier document than its last one with them, and the first."""
+    anchor_schema, phrase_schema = common.arrow_schema(ANCHOR_DDL), common.arrow_schema(PHRASE_DDL)
 
     def anchors(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        hashes, low, high = _anchors(*_texts(table), size)
-        rows = [(*r, b"") for r in blocks.lists(block, n, hashes, (low != high).astype(np.uint8))]
-        return pa.Table.from_batches([common.record_batch(rows, range_schema)])
-
-    def shared(table: pa.Table) -> pa.Table:
-        hashes, at = blocks.joined(table, "hashes", "<u8")
-        several = blocks.joined(table, "low", "u1")[0].astype(bool)
-        again = (blocks.occurrences(hashes, np.argsort(hashes), at) > 1) | several
-        where = table.column("range")[0].as_py()
-        rows = [(b, where, blocks.packed(again[lo:hi])) for b, lo, hi in zip(table.column("block").to_pylist(), at[:-1], at[1:])]
-        return pa.Table.from_batches([common.record_batch(rows, bits_schema)])
-
-    def windows(docs: pa.Table, back: pa.Table) -> pa.Table:
+        names, _, low, high = _anchors(table, size)
+        return pa.Table.from_batches([common.record_batch(blocks.lists(table.column("block")[0].as_py(), names, low != high), anchor_schema)])
+
+    def shared(table: pa.Table) -> list[tuple]:
+        names = blocks.column(table, "names", "<u8")
+        order, begin = blocks.merged(names, [np.zeros(len(x), np.uint32) for x in names])
+        count = np.diff(np.concatenate((begin, [len(order)])))
+        again = np.empty(len(order), bool)
+        again[order] = np.repeat((count > 1) | np.maximum.reduceat(np.concatenate(blocks.column(table, "several", "?"))[order], begin), count)
+        return blocks.answer(table.column("range")[0].as_py(), table, np.cumsum([0, *map(len, names)]), again)
+
+    def phrases(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return range_schema.empty_table()
-        block = docs.column("block")[0].as_py()
-        ids, texts = _texts(docs)
-        sent, _, _ = _anchors(ids, texts, size)
-        known = sent[blocks.bits(back, "bits", np.diff(blocks.ranges(sent, n)))]
+            return phrase_schema.empty_table()
+        sent = _anchors(docs, size)[0]
+        known = sent[blocks.answers(list(zip(*(back.column(c).to_pylist() for c in ("range", "bits", "low")))), sent, 0, 1) > 0]
         parts = []
-        for i, t in blocks.batches(ids, texts):
-            b = Batch(i, t, size)
-            on = _among(b.anchor, known)
-            parts.append(_least_most(b.window[on], b.doc[on]))
-        return pa.Table.from_batches([common.record_batch(blocks.lists(block, n, *_gathered(parts)), range_schema)])
-
-    def earliest(table: pa.Table) -> pa.Table:
-        hashes, at = blocks.joined(table, "hashes", "<u8")
-        low, high = blocks.joined(table, "low", "<i8")[0], blocks.joined(table, "high", "<i8")[0]
-        merged, first, _ = _least_most(hashes, low)
+        for b in _batches(docs, size):
+            on = _among(b.anchors(), known)
+            parts.append(_different(b.window[on], b.tails(b.at[on]), b.doc[on], b.doc[on]))
+        names, tails, low, high = _gathered(parts)
+        return pa.Table.from_batches([common.record_batch(blocks.lists(docs.column("block")[0].as_py(), names, tails, low, low != high), phrase_schema)])
+
+    def earliest(table: pa.Table) -> list[tuple]:
+        names, tails, low = (blocks.column(table, c, t) for c, t in (("names", "<u8"), ("tails", "<u4"), ("low", "<i8")))
+        order, begin = blocks.merged(names, tails)
+        mine = np.concatenate(low)
+        least = np.empty(len(order), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(mine[order], begin), np.diff(np.concatenate((begin, [len(order)]))))
+        later = np.concatenate(blocks.column(table, "several", "?")) | (least < mine)
         rows = []
-        for b, lo, hi in zip(table.column("block").to_pylist(), at[:-1], at[1:]):
-            least = first[np.searchsorted(merged, hashes[lo:hi])]
-            later = least < high[lo:hi]
-            if later.any():
-                rows.append((b, hashes[lo:hi][later].tobytes(), least[later].tobytes()))
-        return pa.Table.from_batches([common.record_batch(rows, found_schema)])
+        ends = np.cumsum([0, *map(len, names)]).tolist()
+        for b, name, tail, lo, hi in zip(table.column("block").to_pylist(), names, tails, ends[:-1], ends[1:]):
+            on = later[lo:hi]
+            if on.any():
+                rows.append((b, name[on].tobytes(), tail[on].tobytes(), least[lo:hi][on].tobytes()))
+        return rows
 
-    shared_bits = base.groupBy("block").applyInArrow(anchors, RANGE_DDL).groupBy("range").applyInArrow(shared, BITS_DDL)
-    candidates = base.groupBy("block").cogroup(shared_bits.groupBy("block")).applyInArrow(windows, RANGE_DDL)
-    return candidates.groupBy("range").applyInArrow(earliest, FOUND_DDL)
+    shared_bits = blocks.by_range(base.groupBy("block").applyInArrow(anchors, ANCHOR_DDL), shared, BITS_DDL)
+    candidates = base.groupBy("block").cogroup(shared_bits.groupBy("block")).applyInArrow(phrases, PHRASE_DDL)
+    return blocks.by_range(candidates, earliest, FOUND_DDL)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -141,52 +152,91 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Automata:
-    """Aho-Corasick automata over word numbers; a passage's value says for each of its phrases which document has it first."""
+    """Aho-Corasick automata over word numbers, of a bounded size each.
+
+    words: passages end to end; low: for each place the first document that has the phrase there, LAST where none begins;
+    starts: where passages begin, and the end.
+    """
 
-    def __init__(self, passages: dict[tuple[int, ...], np.ndarray], size: int, limit: int):
-        self.size, self.shards, room = size, [], 0
-        for passage, low in passages.items():
+    def __init__(self, words: np.ndarray, low: np.ndarray, starts: np.ndarray, size: int, limit: int):
+        self.words, self.low, self.size, self.width = words, low, size, (size + 1) // 2
+        self.shards, room = [], 0
+        places: dict[tuple[int, ...], list[int]] = {}
+        numbers = words.tolist()
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            for p in range(lo, hi - self.width + 1, self.width):
+                places.setdefault(tuple(numbers[p : p + self.width]), []).append(p)
+        keys: list[tuple[tuple[int, ...], list[int]]] = []
+        phrases: dict[tuple[int, ...], list[int]] = {}
+        for piece, at in places.items():
+            if len(at) <= COMMON:
+                keys.append((piece, at))
+                continue
+            for p in at:
+                for q in range(max(0, p + self.width - size), p + 1):
+                    if low[q] < LAST:
+                        phrases.setdefault(tuple(numbers[q : q + size]), [q])
+        keys += phrases.items()
+        #: Of each key: its words, and where its places are in `place`.
+        self.length = np.array([len(k) for k, _ in keys], np.int64)
+        self.count = np.array([len(at) for _, at in keys], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.place = np.array([p for _, at in keys for p in at], np.int64)
+        for number, (key, _) in enumerate(keys):
             if room <= 0:
-                self.shards.append(ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE))
+                self.shards.append(ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE))
                 room = limit
-            self.shards[-1].add_word(passage, (len(passage), int(low.min()), int(low.max()), low))
-            room -= len(passage)
+            self.shards[-1].add_word(key, number)
+            room -= len(key)
         for shard in self.shards:
             shard.make_automaton()
 
-    def covered(self, words: tuple[int, ...], doc: int) -> np.ndarray | None:
-        """A mask of the words in phrases that begin in an earlier document."""
-        step = None
-        for shard in self.shards:
-            for end, (n, least, most, low) in shard.iter(words):
-                if least >= doc:
-                    continue
-                if step is None:
-                    step = np.zeros(len(words) + 1, np.int64)
-                begin = end + 1 - n
-                if most < doc:
-                    step[begin] += 1
-                    step[end + 1] -= 1
-                else:
-                    at = begin + np.flatnonzero(low < doc)
-                    step[at] += 1
-                    step[at + self.size] -= 1
-        return None if step is None else np.cumsum(step[:-1]) > 0
-
-
-def passages_of(b: Batch, number: list[int], low: np.ndarray, size: int) -> dict[tuple[int, ...], np.ndarray]:
-    """The confirmed passages: stretches of phrases in a row that all begin in an earlier document than theirs. low: of each window."""
-    on = np.flatnonzero(low < b.doc)
-    if not len(on):
-        return {}
-    at = b.at[on]
-    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (b.words.text[at[1:]] != b.words.text[at[:-1]]))))
-    out = {}
-    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(on)]):
-        passage = tuple(number[at[lo] : at[hi - 1] + size])
-        if passage not in out:
-            out[passage] = low[on[lo:hi]]
-    return out
+    def covered(self, words: np.ndarray, doc: int) -> np.ndarray | None:
+        """A mask of the words in phrases that begin in an earlier document; None if there are none."""
+        sequence = tuple(words.tolist())
+        hits = [hit for shard in self.shards for hit in shard.iter(sequence)]
+        if not hits:
+            return None
+        end, key = np.array(hits, np.int64).T
+        count = self.count[key]
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        p = self.place[np.repeat(self.first[key], count) + within]
+        length = np.repeat(self.length[key], count)
+        d = np.repeat(end, count) + 1 - length
+        back = np.arange(self.size - self.width + 1)
+        s, q = (d[:, None] - back).ravel(), (p[:, None] - back).ravel()
+        fits = (back[None, :] <= self.size - length[:, None]).ravel() & (s >= 0) & (s + self.size <= len(words)) & (q >= 0)
+        s, q = s[fits], q[fits]
+        earlier = self.low[q] < doc
+        s, q = s[earlier], q[earlier]
+        every = np.arange(self.size)
+        s = s[(words[s[:, None] + every] == self.words[q[:, None] + every]).all(axis=1)]
+        return common.covered(s, self.size, len(words)) if len(s) else None
+
+
+def passages(held: list[tuple[Batch, np.ndarray]], known: np.ndarray, tails: np.ndarray, low: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The words of a block's passages end to end, the first document of the phrase at each place, and where passages begin.
+
+    held: the block's batches with their words' numbers. A phrase is in one passage, where the block has it first.
+    """
+    seen = np.zeros(len(known), bool)
+    words, lows, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+    for b, number in held:
+        on = np.flatnonzero(_among(b.window, known))
+        entry = blocks.find(known, tails, b.window[on], b.tails(b.at[on]))
+        on, entry = on[entry >= 0], entry[entry >= 0]
+        one = np.sort(np.unique(entry, return_index=True)[1])
+        one = one[~seen[entry[one]]]
+        seen[entry[one]] = True
+        at, entry = b.at[on[one]], entry[one]
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (b.words.text[at[1:]] != b.words.text[at[:-1]]))))
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
+            words.append(number[at[lo] : at[hi - 1] + size])
+            lows.append(np.concatenate((low[entry[lo:hi]], np.full(size - 1, LAST))))
+            sizes.append(len(words[-1]))
+    return np.concatenate(words), np.concatenate(lows), np.cumsum(sizes)
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -197,32 +247,30 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keep all. Rows with equal ids are one document, none before the other; a null id is after all others. Other columns are
     not read, and an empty table gives no rows.
     """
-    n = blocks.n_blocks(df, text_col)
-    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, n)
-    found = recurring(base, size, n)
+    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, blocks.n_blocks(df, text_col))
+    found = recurring(base, size)
     ddl = "doc_id long, n_words long, kept_text string, removed array<long>"
     schema = common.arrow_schema(ddl)
 
     def cut(docs: pa.Table, back: pa.Table) -> pa.Table:
-        out, (ids, texts) = [], _texts(docs)
-        known, low, _ = _gathered([(np.frombuffer(h, "<u8"), np.frombuffer(x, "<i8"), np.frombuffer(x, "<i8")) for h, x in zip(back.column("hashes").to_pylist(), back.column("low").to_pylist())])
-        for i, t in blocks.batches(ids, texts):
-            b = Batch(i, t, size)
-            number = np.unique(b.hash, return_inverse=True)[1].tolist() if len(known) else []
-            first_doc = np.full(len(b.window), LAST, np.int64)
-            hit = _among(b.window, known)
-            first_doc[hit] = low[np.searchsorted(known, b.window[hit])]
-            automata = Automata(passages_of(b, number, first_doc, size), size, AUTOMATON_WORDS)
+        lists = [(np.frombuffer(n, "<u8"), np.frombuffer(t, "<u4"), np.frombuffer(x, "<i8"), np.frombuffer(x, "<i8")) for n, t, x in zip(*(back.column(c).to_pylist() for c in ("names", "tails", "low")))]
+        known, tails, low, _ = _gathered(lists)
+        held = list(_batches(docs, size))
+        numbers = np.unique(np.concatenate([b.hash for b in held]), return_inverse=True)[1] if held else np.zeros(0, np.int64)
+        cuts = np.cumsum([0, *(len(b.hash) for b in held)])
+        held = [(b, numbers[lo:hi]) for b, lo, hi in zip(held, cuts[:-1], cuts[1:])]
+        automata = Automata(*passages(held, known, tails, low, size), size, AUTOMATON_WORDS)
+        out = []
+        for b, number in held:
             rows = []
-            for k, text in enumerate(t):
-                first, end = int(b.words.first[k]), int(b.words.first[k + 1])
+            for k, text in enumerate(b.texts):
+                lo, hi = int(b.words.first[k]), int(b.words.first[k + 1])
                 words, spans = text.split(), []
-                if automata.shards and end - first >= size:
-                    gone = automata.covered(tuple(number[first:end]), int(b.ids[k]))
-                    if gone is not None:
-                        spans = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-                        words = list(compress(words, (~gone).tolist()))
-                rows.append((i[k], end - first, b" ".join(words).decode("utf-8", "replace"), spans))
+                gone = automata.covered(number[lo:hi], int(b.docs[k])) if automata.shards and hi - lo >= size else None
+                if gone is not None:
+                    spans = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
+                    words = list(compress(words, (~gone).tolist()))
+                rows.append((b.ids[k], hi - lo, b" ".join(words).decode("utf-8", "replace"), spans))
             out.append(common.record_batch(rows, schema))
         return pa.Table.from_batches(out, schema)
 

@@ -70,6 +70,26 @@ def cut_bytes(texts, size):
     return out
 
 
+def cut_words(docs, size, first):
+    """(id, text) -> (id, the words left): windows that start twice go, or, with first, those that start in an earlier document."""
+    words = [(i, WORD.findall(t or "")) for i, t in docs]
+    count, low = {}, {}
+    for i, w in words:
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k : k + size])
+            count[key] = count.get(key, 0) + 1
+            low[key] = min(low.get(key, LATE), LATE if i is None else i)
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k : k + size])
+            if low[key] < (LATE if i is None else i) if first else count[key] > 1:
+                gone[k : k + size] = [True] * size
+        out.append((i, [x for x, g in zip(w, gone) if not g]))
+    return out
+
+
 def fingerprint(text, width=4):
     import xxhash
 

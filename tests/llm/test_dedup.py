@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellweave.llm import common, components, phrases, simhash, suffixes
+from cellweave.llm import blocks, common, components, phrases, simhash, suffixes
 from tests.llm import plain
 
 
@@ -44,14 +44,56 @@ def test_byte_repeats_are_the_plain_ones(spark):
     assert [(bytes(x["kept"]), x["removed"]) for x in got] == expected
 
 
-def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 700)
     texts = [plain.prose(1, 900).encode(), plain.prose(2, 300).encode()]
     texts.append(texts[0][500:1900])
-    block = suffixes.Block(texts, 400)
+    block = suffixes.Block([np.frombuffer(t, np.uint8) for t in texts], np.zeros(3, np.int64), 400, 40)
     assert sum(len(r.starts(np.arange(len(r.first)))) for _, r in block.parts) == sum(len(t) - 399 for t in texts)
 
 
+@pytest.mark.parametrize("unit", ["byte", "word"])
+def test_windows_are_counted_by_the_arrays_alone(monkeypatch, unit):
+    """Repeats within a block are known from the suffix arrays; without common prefixes none is found."""
+    raw = [plain.prose(k, 120) + " " + plain.prose(7, 60) for k in range(3)]
+    texts = [np.frombuffer(t.encode(), np.uint8) if unit == "byte" else common.Words([t.encode()]).hashes() for t in raw]
+    size = suffixes.SIZE[unit] // 2
+    block = suffixes.Block(texts, np.zeros(3, np.int64), size, suffixes.GRAM[unit])
+    every, none = np.ones(len(block.mark), bool), np.zeros(len(block.mark), bool)
+    names, _, several, _ = suffixes.open_windows(block, every, none, False)
+    seen = {}
+    for t in texts:
+        for k in range(len(t) - size + 1):
+            seen[t[k : k + size].tobytes()] = seen.get(t[k : k + size].tobytes(), 0) + 1
+    chosen = [n for n in seen.values()]
+    assert len(names) == len(chosen) and several.any()
+    monkeypatch.setattr(suffixes, "common_prefixes", lambda text, order, rank, limit: np.zeros(len(text) - 1, np.int64))
+    monkeypatch.setattr(blocks, "merged", lambda names, tails: (np.arange(sum(map(len, names))), np.arange(sum(map(len, names)))))
+    assert not suffixes.open_windows(block, every, none, False)[2].any()
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_repeated_word_windows_are_the_plain_ones(spark, first):
+    draw = random.Random(5)
+    shared = [plain.prose(300 + k, draw.randint(20, 40)) for k in range(4)]
+    docs = [(k * 7 % 41, "\n ".join([plain.prose(k, draw.randint(0, 60)), draw.choice(shared) if k % 3 else "", plain.prose(600 + k, draw.randint(0, 25))])) for k in range(40)]
+    docs += [(90, docs[1][1]), (91, docs[1][1] + " tail"), (92, docs[2][1] * 2), (None, docs[4][1]), (None, docs[4][1])]
+    got = suffixes.remove_repeats(small(spark, docs), unit="word", size=20, first=first).collect()
+    words = lambda t: plain.WORD.findall(t)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((x["doc_id"], words(bytes(x["kept"]).decode())) for x in got), key=key) == sorted(plain.cut_words(docs, 20, first), key=key)
+
+
+def test_lists_are_merged_in_order_of_both_parts_of_a_name():
+    names = [np.array(x, np.uint64) for x in ([1, 5, 5, 9], [5, 5, 7], [], [5])]
+    tails = [np.array(x, np.uint32) for x in ([0, 1, 3, 0], [1, 2, 0], [], [3])]
+    order, begin = blocks.merged(names, tails)
+    pairs = list(zip(np.concatenate(names)[order].tolist(), np.concatenate(tails)[order].tolist()))
+    assert pairs == sorted(pairs) and begin.tolist() == [k for k in range(len(pairs)) if not k or pairs[k] != pairs[k - 1]]
+    name, tail = np.array([1, 5, 5, 9], np.uint64), np.array([0, 1, 3, 0], np.uint32)
+    assert blocks.find(name, tail, np.array([5, 5, 9, 4], np.uint64), np.array([3, 2, 0, 0], np.uint32)).tolist() == [2, -1, 3, -1]
+
+
 def test_word_repeats_are_the_plain_ones(spark):
     draw = random.Random(4)
     shared = [plain.prose(200 + k, 40) for k in range(3)]
@@ -66,6 +108,29 @@ def test_word_repeats_are_the_plain_ones(spark):
     assert rows == sorted(plain.cut_phrases(docs))
 
 
+@pytest.mark.parametrize("common_places", [0, 1, 16])
+def test_automata_find_every_phrase(monkeypatch, common_places):
+    """Phrases of one passage, of parts of it, and across pieces that several passages share."""
+    monkeypatch.setattr(phrases, "COMMON", common_places)
+    draw = np.random.default_rng(8)
+    for _ in range(20):
+        parts = [draw.integers(0, 5, draw.integers(5, 30)) for _ in range(6)]
+        words, low = np.concatenate(parts), np.full(sum(map(len, parts)), phrases.LAST)
+        starts = np.cumsum([0, *map(len, parts)])
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            low[lo : max(lo, hi - 4)] = 3
+        known = {tuple(words[k : k + 5]) for k in np.flatnonzero(low < phrases.LAST)}
+        automata = phrases.Automata(words, low, starts, 5, 40)
+        doc = draw.integers(0, 5, 60)
+        expected = np.zeros(60, bool)
+        for k in range(56):
+            if tuple(doc[k : k + 5]) in known:
+                expected[k : k + 5] = True
+        got = automata.covered(doc, 4)
+        assert (got if got is not None else np.zeros(60, bool)).tolist() == expected.tolist()
+        assert automata.covered(doc, 3) is None
+
+
 def test_simhash_is_the_plain_one(spark):
     base = plain.prose(9, 400).split()
     docs = []
@@ -146,7 +211,7 @@ def test_awkward_rows(spark):
 
 def test_empty_tables(spark):
     df = plain.awkward(spark)[0].limit(0)
-    for run in (phrases.remove_repeats, suffixes.remove_repeats, suffixes.without_repeats, simhash.near_duplicates, simhash.one_of_each):
+    for run in (phrases.remove_repeats, suffixes.remove_repeats, suffixes.without_repeats, lambda d: suffixes.without_repeats(d, unit="word", first=True), simhash.near_duplicates, simhash.one_of_each):
         assert run(df).count() == 0
 
 
