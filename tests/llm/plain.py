@@ -90,18 +90,40 @@ def cut_words(docs, size, first):
     return out
 
 
-def fingerprint(text, width=4):
-    import xxhash
-
+def shingles(text, width=4):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(text)
-    shingles = [" ".join(w[k : k + width]) for k in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return [" ".join(w[k : k + width]) for k in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
+
+
+def similarity(a, b, width=5):
+    """Jaccard's, of the sets of shingles."""
+    a, b = set(shingles(a, width)), set(shingles(b, width))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def fingerprint(text, width=4, number=0):
+    """number: of the word of a long fingerprint, whose hashes are mixed by the splitmix64 finaliser."""
+    import xxhash
+
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, width)]
+    if number:
+        h = [splitmix(x + number) for x in h]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def components(fps, radius=4):
-    """id -> the smallest id that links reach; fps: id -> fingerprint."""
+def splitmix(x):
+    x &= MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+MASK = (1 << 64) - 1
+
+
+def components(fps, radius=4, more=None, bound=0):
+    """id -> the smallest id that links reach; fps: id -> fingerprint; more: id -> further words, all together within bound."""
     ids = sorted(fps)
     root = {i: i for i in ids}
 
@@ -112,7 +134,8 @@ def components(fps, radius=4):
 
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
+            d = (fps[i] ^ fps[j]).bit_count()
+            if d <= radius and (more is None or d + sum((a ^ b).bit_count() for a, b in zip(more[i], more[j])) <= bound):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}

@@ -158,13 +158,83 @@ def test_forest_spans_all_links(radius):
     assert {i: mine.get(i, i) for i in range(len(points))} == expected
 
 
+def test_trees_prune(monkeypatch):
+    """Points around few centres: most pairs are not compared, and without the tree's search none is found."""
+    draw = np.random.default_rng(5)
+    centres = draw.integers(0, 1 << 63, 50, dtype=np.uint64)
+    points = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (40, 3)).astype(np.uint64), axis=1) for c in centres]))
+    tree = simhash.VantageTree(points)
+    pairs = {(min(a, b), max(a, b)) for i, j in tree.within(4) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    every = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    assert pairs == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(every))) if a < b}
+    assert tree.compared < 0.5 * len(points) ** 2
+    monkeypatch.setattr(simhash.VantageTree, "within", lambda self, radius, members=None: iter(()))
+    assert not len(simhash.forest(points, 4)[0])
+
+
+def test_queries_reach_members_only_links():
+    points = np.array([0, 1, 3, 255 << 40, (255 << 40) + 1], np.uint64)
+    linked, root = simhash.forest(points, 1, members=np.array([0, 3]))
+    assert dict(zip(linked.tolist(), root.tolist())) == {1: 0, 4: 3}
+
+
+def test_large_shards_are_split_by_rings(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 16)
+    draw = random.Random(9)
+    fps = {}
+    for k in range(40):
+        centre = draw.getrandbits(64)
+        for j in range(8):
+            x = centre
+            for b in draw.sample(range(64), draw.randint(0, 3)):
+                x ^= 1 << b
+            fps[8 * k + j] = x
+    rows = [(i, simhash._signed(x), simhash._signed(x)) for i, x in fps.items()]
+    distinct = spark.createDataFrame(rows, "doc_id long, fp long, key long")
+    edges = simhash.links(distinct.select("fp", "key").distinct(), 4, len(rows))
+    got = {x["node"]: x["component"] for x in components.connected(edges).collect()}
+    expected = plain.components(fps)
+    parts = lambda of: sorted(sorted(g) for g in of.values())
+    mine, theirs = {}, {}
+    for i, x in fps.items():
+        key = simhash._signed(x)
+        mine.setdefault(got.get(key, key), set()).add(i)
+        theirs.setdefault(expected[i], set()).add(i)
+    assert parts(mine) == parts(theirs)
+
+
+def edited(seed, words, share):
+    """A text, with this share of its words replaced."""
+    draw = random.Random(seed)
+    return " ".join(f"new{draw.randrange(10**6)}" if draw.random() < share else w for w in words)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    docs = [(k, plain.prose(700 + k, 300)) for k in range(60)]
+    near = {100 + k: edited(k, docs[k][1].split(), 0.01) for k in range(30)}
+    far = {200 + k: edited(k, docs[k][1].split(), 0.2) for k in range(30)}
+    every = dict(docs) | near | far
+    similar = {i for i in near if plain.similarity(every[i], every[i - 100]) >= 0.85}
+    left = {x["doc_id"] for x in simhash.one_of_each(small(spark, list(every.items()))).collect()}
+    assert len(similar) > 20 and len(similar - left) >= 0.95 * len(similar)
+    assert left >= {i for i, _ in docs} | set(far)
+
+
+def test_similar_components_are_the_plain_ones(spark):
+    docs = [(k, plain.prose(k % 12, 150) if k < 12 else edited(k, plain.prose(k % 12, 150).split(), 0.005 * (k // 12))) for k in range(60)] + [(90, None), (91, "")]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(small(spark, docs), width=5, radius=12, similarity=0.8).collect()}
+    fps = {i: plain.fingerprint(t, 5) for i, t in docs}
+    more = {i: [plain.fingerprint(t, 5, k) for k in range(1, simhash.LONG + 1)] for i, t in docs}
+    assert got == plain.components(fps, 12, more, simhash.bits_apart(0.8, 256))
+
+
 def test_every_close_pair_shares_a_shard():
     draw = random.Random(1)
-    for agree in (1, 2, 3):
-        masks = simhash._masks(4, agree)
+    for radius, agree in ((4, 1), (4, 2), (4, 3), (12, 1), (12, 2)):
+        masks = simhash._masks(radius, agree)
         for _ in range(300):
             diff = 0
-            for b in draw.sample(range(64), 4):
+            for b in draw.sample(range(64), radius):
                 diff |= 1 << b
             assert any(not diff & m for m in masks)
 

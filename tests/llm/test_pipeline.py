@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cellweave.llm import common, decontaminate, queries, tokens
+from cellweave.llm import common, decontaminate, queries, simhash, tokens
 from tests.llm import plain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,15 +39,18 @@ def test_language_stage_keeps_prose(stages):
 
 def test_one_of_each_near_copy_stays(stages):
     before, after = texts(stages[0][1]), texts(stages[0][2])
-    comp = plain.components({i: plain.fingerprint(t) for i, t in before.items()})
+    fps = {i: plain.fingerprint(t, 5) for i, t in before.items()}
+    more = {i: [plain.fingerprint(t, 5, k) for k in range(1, simhash.LONG + 1)] for i, t in before.items()}
+    comp = plain.components(fps, 12, more, simhash.bits_apart(0.8, 256))
     assert after == {i: t for i, t in before.items() if comp[i] == i}
 
 
-def test_byte_repeats_go(stages):
+def test_repeated_passages_go_but_for_the_first(stages):
     before, after = texts(stages[0][2]), texts(stages[0][3])
-    left = plain.cut_bytes([t.encode() for t in before.values()], 400)
-    expected = {i: kept.decode("utf-8", "ignore") for i, (kept, _) in zip(before, left)}
-    assert after == {i: t for i, t in expected.items() if t.strip()}
+    words = lambda t: plain.WORD.findall(t)
+    expected = dict(plain.cut_words(list(before.items()), 50, True))
+    assert {i: words(t) for i, t in after.items()} == {i: w for i, w in expected.items() if w}
+    assert all(t == before[i] for i, t in after.items() if expected[i] == words(before[i]))
     assert all(x["n_chars"] == len(x["text"]) for x in stages[0][3].collect())
 
 
