@@ -16,13 +16,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles similar to 0.8): the one with the smallest id."""
     return simhash.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur twice; those with nothing left go."""
-    left = suffixes.without_repeats(docs)
+    """Documents without the passages of 50 words that an earlier document has too; those with nothing left go."""
+    left = suffixes.without_repeats(docs, unit="word", first=True)
     return left.withColumn("n_chars", common.char_count("text")) if "n_chars" in left.columns else left
 
 
@@ -44,7 +44,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: No stage but the last filter could be said in SQL; tests compare run() with a plain version on a small table.
+#: Models, fingerprints, edit distances and packing cannot be said in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
