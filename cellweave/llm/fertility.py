@@ -23,15 +23,15 @@ MEASURES = ("chars_per_token", "fallback_chars_per_token", "byte_share", "token_
 #: Interquartile ranges beyond a quartile at which a band ends, for long texts.
 REACH = 4.0
 #: The least interquartile range that a band is built on.
-LEAST_RANGE = {"chars_per_token": 0.08, "fallback_chars_per_token": 0.08, "byte_share": 0.01, "token_entropy": 0.05}
-#: Tokens of a window whose entropy is taken.
+LEAST_RANGE = {"chars_per_token": 0.08, "fallback_chars_per_token": 0.08, "byte_share": 0.01, "token_entropy": 0.01}
+#: Tokens of a window whose entropy is taken, at least (a shorter text is one window).
 WINDOW = 64
 #: Tokens at which a band is wider by the square root of 2, as short texts scatter more.
 SCATTER = 100
 #: Languages and scripts up to which the bands are sent to all tasks.
 MOST_BROADCAST = 10_000
-#: Rows of a language or script below which it has no bands.
-LEAST_ROWS = 20
+#: Rows of a language or script at which its bands are wider by the square root of 2, as quartiles of few rows scatter more.
+FEW_ROWS = 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -57,18 +57,23 @@ def script(text: str) -> str:
     return max(sorted(names), key=names.get) if names else "none"
 
 
-def window_entropy(ids: np.ndarray) -> float | None:
-    """Bits of entropy of the tokens in a window, on average; None where no window is full."""
-    n = len(ids) // WINDOW
-    if not n:
-        return None
-    keys = np.sort((np.arange(n * WINDOW) // WINDOW << 32) + ids[: n * WINDOW])
-    counts = np.diff(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))))
-    return float(np.log2(WINDOW) - (counts * np.log2(counts)).sum() / (n * WINDOW))
+def window_entropy(ids: np.ndarray) -> float:
+    """Entropy of the tokens in a window as a share of its most, on average over all tokens of a text of two or more.
+
+    The text is cut into as many windows of nearly equal length as WINDOW goes into it, so every token is in one.
+    """
+    n = len(ids)
+    edge = np.arange(max(1, n // WINDOW) + 1) * n // max(1, n // WINDOW)
+    size = np.diff(edge)
+    keys = np.sort((np.repeat(np.arange(len(size)), size) << 32) + ids)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(first, n))
+    spent = np.bincount(keys[first] >> 32, counts * np.log2(counts), len(size)) / size
+    return float(((1 - spent / np.log2(size)) * size).sum() / n)
 
 
 def measures(text: str, bpe_path: str, piece_path: str) -> tuple[int, float, float, float, float]:
-    """Tokens and MEASURES. token_entropy is the mean over full windows of WINDOW tokens, which makes it free of length."""
+    """Tokens and MEASURES; without two tokens and a piece there are none."""
     ids = np.array(tokens.encoder(bpe_path)(text), np.int64)
     pieces = np.array(tokens.encoder(piece_path)(text), np.int64)
     if len(ids) < 2 or not len(pieces):
@@ -81,7 +86,7 @@ DDL = "doc_id long, kind string, n_words long, word_chars long, n_symbols long,
 
 def _band(m: str) -> Column:
     low, _, high = (F.col(f"{m}_q")[k] for k in range(3))
-    reach = REACH * F.greatest(high - low, F.lit(LEAST_RANGE[m])) * F.sqrt(1 + SCATTER / F.greatest(F.col("n_tokens"), F.lit(1)))
+    reach = REACH * F.greatest(high - low, F.lit(LEAST_RANGE[m])) * F.sqrt((1 + SCATTER / F.greatest(F.col("n_tokens"), F.lit(1))) * (1 + FEW_ROWS / F.col("rows")))
     return F.col(m).isNull() | F.col(f"{m}_q").isNull() | F.col(m).between(low - reach, high + reach)
 
 
@@ -90,7 +95,7 @@ def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept is false for those and for
     rows outside a band. A null or empty text has counts of 0 and so fails; a null language is replaced by the text's
-    script; a kind of under LEAST_ROWS rows has no bands. Repeated rows stay repeated and weigh in the quartiles, a null
+    script; every kind has bands of its own rows, and a text without measures is inside them. Repeated rows stay repeated and weigh in the quartiles, a null
     doc_id stays null, other columns are not read, and an empty table gives no rows.
     """
     bpe, pieces = bpe or tokens.vocabulary("byte_bpe_50k.tiktoken"), pieces or tokens.vocabulary("piece_bpe_32k.model")
@@ -108,7 +113,7 @@ def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     slim = common.short_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("binary").alias("text"))
     measured = common.store(slim.mapInArrow(run, DDL), "fertility")
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"{m}_q") for m in MEASURES]
-    bands = measured.where("n_tokens > 1").groupBy("kind").agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= LEAST_ROWS).drop("rows")
+    bands = measured.where("n_tokens > 1").groupBy("kind").agg(F.count("*").alias("rows"), *quartiles)
     bands = common.store(bands, "bands")
     if bands.count() <= MOST_BROADCAST:
         bands = F.broadcast(bands)

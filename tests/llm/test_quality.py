@@ -151,10 +151,54 @@ def test_fertility_rejects_what_is_far_outside(spark):
 
 
 def test_window_entropy():
-    assert fertility.window_entropy(np.arange(63)) is None
-    assert fertility.window_entropy(np.arange(130)) == pytest.approx(6.0)
-    assert fertility.window_entropy(np.zeros(64, np.int64)) == 0.0
-    assert fertility.window_entropy(np.arange(64) % 2) == pytest.approx(1.0)
+    assert fertility.window_entropy(np.arange(63)) == fertility.window_entropy(np.arange(130)) == pytest.approx(1.0)
+    assert fertility.window_entropy(np.zeros(64, np.int64)) == fertility.window_entropy(np.zeros(5, np.int64)) == 0.0
+    assert fertility.window_entropy(np.arange(64) % 2) == pytest.approx(1 / 6)
+    # the tail counts: 63 tokens of noise after a full window of one token
+    assert fertility.window_entropy(np.concatenate((np.zeros(64, np.int64), np.arange(1, 64)))) > 0.4
+
+
+def test_verdicts_are_the_plain_ones(spark):
+    """Measures from the tokenizers' own calls, quartiles by sorting, for every language and script, rare ones too."""
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = [(x["doc_id"], x["text"], x["lang"]) for x in common.documents(spark, plain.SF).collect()]
+    docs += [(10_000 + k, "слово за слово " * (3 + k), None) for k in range(3)] + [(10_010, "漢字 " * 30, "ja"), (10_011, None, None), (10_012, "a", "en")]
+    measured, bands = {}, {}
+    for i, t, lang in docs:
+        t = t or ""
+        ids, p = bpe.encode(t, add_special_tokens=False).ids, pieces.encode(t)
+        values = [None] * 4
+        if len(ids) > 1:
+            n = max(1, len(ids) // 64)
+            cuts = [k * len(ids) // n for k in range(n + 1)]
+            entropy = 0
+            for lo, hi in zip(cuts, cuts[1:]):
+                w = ids[lo:hi]
+                entropy += len(w) * -sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w)) / math.log2(len(w)) / len(ids)
+            values = [len(t) / len(ids), len(t) / len(p), sum(map(pieces.is_byte, p)) / len(p), entropy]
+        measured[i] = (lang or fertility.script(t), len(ids), values)
+    for kind in {m[0] for m in measured.values()}:
+        rows = [m[2] for m in measured.values() if m[0] == kind and m[1] > 1]
+        quartile = lambda k, q, rows=rows: sorted(r[k] for r in rows)[math.ceil(q * len(rows)) - 1]
+        bands[kind] = (len(rows), [(quartile(k, 0.25), quartile(k, 0.75)) for k in range(4)]) if rows else None
+    verdict = {}
+    for i, (kind, n, values) in measured.items():
+        inside = True
+        for (low, high), v, m in zip(bands[kind][1] if bands[kind] else [], values, fertility.MEASURES):
+            reach = fertility.REACH * max(high - low, fertility.LEAST_RANGE[m]) * math.sqrt((1 + 100 / max(n, 1)) * (1 + 20 / bands[kind][0]))
+            inside &= v is None or low - reach <= v <= high + reach
+        verdict[i] = inside
+    got = fertility.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(docs) and any(not x["kept"] and not x["base_failed"] for x in got)
+    for x in got:
+        assert x["kept"] == (verdict[x["doc_id"]] and not x["base_failed"]), x
 
 
 def test_fertility_awkward(spark):
