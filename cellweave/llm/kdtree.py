@@ -21,7 +21,10 @@ TOLERANCE = 0.002
 #: Rows of one window when slots are numbered.
 SLOT_ROWS = 250_000
 
-STEPS = ("dim", "text_crc32", "order_id")
+#: What rows are ordered by; a doc_id as its upper and its lower 32 bits, so that counting can't overflow.
+STEPS = ("dim", "text_crc32", "id_high", "id_low")
+#: The least and the largest value of each step after the first; a null id is below all others.
+ENDS = {"text_crc32": (0, (1 << 32) - 1), "id_high": (-(1 << 31) - 1, (1 << 31) - 1), "id_low": (0, (1 << 32) - 1)}
 
 
 def metadata(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,7 +33,8 @@ def metadata(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("order_id"),
+        F.coalesce(F.shiftright(F.col(id_col).cast("long"), 32), F.lit(ENDS["id_high"][0])).alias("id_high"),
+        F.coalesce(F.col(id_col).cast("long").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)).alias("id_low"),
         F.floor(F.log2(F.octet_length(text) + 1.0) * (1 << 20)).cast("long").alias("d_length"),
         F.floor(F.octet_length(text) * float(1 << 20) / (F.char_length(text) + 1)).cast("long").alias("d_width"),
         F.floor(F.octet_length(F.regexp_replace(text, "[^ \n]", "")) * float(1 << 20) / (F.octet_length(text) + 1)).cast("long").alias("d_spaces"),
@@ -97,18 +101,17 @@ def _split(spark: SparkSession, placed: DataFrame, nodes: list[Node], spans: lis
     live = [n for n in nodes if hasattr(n, "present")]
     dimmed = placed.join(F.broadcast(_table(spark, [(n.first, n.dim) for n in live], "shard, dim_no")), "shard").withColumn("dim", F.element_at(F.array(*DIMENSIONS), (F.col("dim_no") + 1).cast("int")))
     while open_ := [n for n in live if n.cut is None]:
-        state = _table(spark, [(n.first, n.step, *(n.fixed + [None, None])[:2], n.low, n.high, n.width) for n in open_], "shard, step, fixed0, fixed1, low, high, width")
+        state = _table(spark, [(n.first, n.step, *(n.fixed + [None] * 3)[:3], n.low, n.high, n.width) for n in open_], "shard, step, fixed0, fixed1, fixed2, low, high, width")
         value = F.element_at(F.array(*STEPS), (F.col("step") + 1).cast("int"))
-        here = (F.col("fixed0").isNull() | (F.col("dim") == F.col("fixed0"))) & (F.col("fixed1").isNull() | (F.col("text_crc32") == F.col("fixed1"))) & value.between(F.col("low"), F.col("high"))
+        here = (F.col("fixed0").isNull() | (F.col("dim") == F.col("fixed0"))) & (F.col("fixed1").isNull() | (F.col("text_crc32") == F.col("fixed1"))) & (F.col("fixed2").isNull() | (F.col("id_high") == F.col("fixed2"))) & value.between(F.col("low"), F.col("high"))
         sums = dimmed.join(F.broadcast(state), "shard").where(here).groupBy("shard", F.floor((value - F.col("low")) / F.col("width")).cast("long").alias("i")).agg(F.sum("size").alias("w"))
         tallies: dict[int, list] = {}
         for shard, i, w in sums.collect():
             tallies.setdefault(shard, []).append((i, w))
         for n in open_:
             _narrow(n, sorted(tallies[n.first]), slack)
-    cuts = _table(spark, [(n.first, n.k // 2, *n.cut) for n in live], "shard, k, cut0, cut1, cut2")
-    key = F.struct("dim", "text_crc32", "order_id")
-    right = key > F.struct("cut0", "cut1", "cut2")
+    cuts = _table(spark, [(n.first, n.k // 2, *n.cut) for n in live], "shard, k, cut0, cut1, cut2, cut3")
+    right = F.struct(*STEPS) > F.struct("cut0", "cut1", "cut2", "cut3")
     moved = dimmed.join(F.broadcast(cuts), "shard").select(*(c for c in placed.columns if c != "shard"), (F.col("shard") + F.when(right, F.col("k")).otherwise(0)).alias("shard"))
     rest = placed.join(F.broadcast(firsts), "shard", "left_anti").select(*moved.columns)
     out = moved.union(rest)
@@ -133,14 +136,14 @@ def _narrow(n: Node, tally: list[tuple[int, int]], slack: float) -> None:
     below, above = n.want - before, before + w - n.want
     if below <= slack or above <= slack:
         end = low - 1 if below <= above else high
-        n.cut = tuple((n.fixed + [end, MOST, MOST])[:3])
+        n.cut = tuple((n.fixed + [end, MOST, MOST, MOST])[:4])
     elif low < high:
         n.begin(low, high, before)
-    elif n.step == 2:
-        n.cut = tuple((n.fixed + [low - 1 if below <= above else low])[:3])
+    elif n.step == 3:
+        n.cut = tuple((n.fixed + [low - 1 if below <= above else low])[:4])
     else:
         n.fixed, n.step = [*n.fixed, low], n.step + 1
-        n.begin(*((0, (1 << 32) - 1) if n.step == 1 else (-1, MOST - INTERVALS)), before)
+        n.begin(*ENDS[STEPS[n.step]], before)
 
 
 def slots(df: DataFrame, rows_per_window: int = SLOT_ROWS) -> DataFrame:
