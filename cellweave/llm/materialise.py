@@ -1,29 +1,31 @@
 """Training-order materialisation: token sequences of one length, permuted and written as fixed-stride shards.
 
-Sequence i of input partition p has the index p * 2**32 + i, which is unique and known without counting anything first. A
-keyed Feistel network over the smallest even number of bits that holds all indices, walked along its cycle until it lands
-among them, permutes the indices. The images are cut into equal ranges; each range is one shard, written in the order of
-the images, so that a sequence's global slot is the number of images below its own: its rank in the shard plus the sizes of
-the shards before. One pass over the text makes all of it. Record k of a shard starts at byte k * stride.
+The text is tokenised once; the sequences of each input partition are stored, and counted. Sequence i of partition p has the
+index i plus the sequences of the partitions before. A keyed Feistel network over the smallest even number of bits that holds
+all indices, walked along its cycle until it lands among them, permutes the indices: the image is the sequence's global slot.
+Equal ranges of slots are the shards, one partition each, written in the order of the slots. Record k of a shard starts at
+byte k * stride, and `read` goes through the slots in order from any of them.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Sequences that one input partition may have.
-PER_PARTITION = 1 << 32
+#: Bytes of a shard, about, and the most shards (beyond, shards are larger: a task streams its own).
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 ROUNDS = 6
+MANIFEST = "manifest.json"
 
 
 class Feistel:
@@ -84,73 +86,121 @@ def sequences(docs, length: int, pad_id: int) -> Iterator[tuple[np.ndarray, list
 
 
 def materialise(df: DataFrame, out_uri: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 50256, pad_id: int = 50256, length: int = 2048, key: int = 1234, shards: int | None = None, dtype: str = "<u2") -> DataFrame:
-    """Write shards `shard-NNNNNN.bin` below out_uri; returns one row per sequence with its slot and its documents.
+    """Write shards `shard-NNNNNN.bin` and a manifest below out_uri; returns one row per sequence with its slot and its documents.
 
     slot, shard, record, byte_offset, doc_ids, starts, lengths (the pieces in the record, in order) and ids_crc32 of the
     record's bytes. A null or empty text is the closing id alone; a null doc_id stays null in the list; repeated rows are
-    repeated; other columns are not read; an empty table writes no shard. `shards` is by default the number of input
-    partitions, so a shard has about the tokens of one. Shards are written under another name and then moved, so that a
-    task that is run again replaces its shard. out_uri is any store that pyarrow.fs.FileSystem.from_uri opens.
+    repeated; other columns are not read; an empty table writes no shard. Sequences are cut from the rows of an input
+    partition in their order, so their contents follow the partitions. `shards` is by default as many as make SHARD_BYTES each.
+    An id that dtype can't hold is an error. Shards are written under another name and then moved, so that a task that is
+    run again replaces its shard, and what broken attempts have left is removed. out_uri is any store that
+    pyarrow.fs.FileSystem.from_uri opens.
     """
+    most = np.iinfo(dtype).max
+    if max(end_id, pad_id) > most:
+        raise ValueError(f"{dtype} can't hold the ids {end_id} and {pad_id}")
     path = vocabulary or tokens.vocabulary("byte_bpe_50k.tiktoken")
+    stride = length * np.dtype(dtype).itemsize
     slim = common.short_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(1, slim.rdd.getNumPartitions())
-    n_shards = shards or parts
-    permute = Feistel(parts * PER_PARTITION, key)
-    span = -(-permute.size // n_shards)
-    ddl = "shard int, image long, tokens binary, doc_ids array<long>, starts array<long>, lengths array<int>"
+    ddl = "part int, i long, tokens binary, doc_ids array<long>, starts array<long>, lengths array<int>"
     schema = common.arrow_schema(ddl)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() * PER_PARTITION
-        docs = ((d, tokens.token_ids(t, path, end_id).astype(dtype)) for b in batches for d, t in zip(*(c.to_pylist() for c in b.columns)))
-        rows, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            images = permute.forward(np.arange(base + n - len(rows), base + n, dtype=np.uint64)).tolist() if rows else []
-            return common.record_batch([(i // span, i, *r) for i, r in zip(images, rows)], schema)
+    def encoded(text: str | None) -> np.ndarray:
+        ids = tokens.token_ids(text, path, end_id)
+        if len(ids) and ids.max() > most:
+            raise ValueError(f"{dtype} can't hold the id {ids.max()}")
+        return ids.astype(dtype)
 
-        for ids, *spans in sequences(docs, length, pad_id):
-            rows.append((ids.tobytes(), *spans))
-            n += 1
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
+        docs = ((d, encoded(t)) for b in batches for d, t in zip(*(c.to_pylist() for c in b.columns)))
+        rows = []
+        for n, (ids, *spans) in enumerate(sequences(docs, length, pad_id)):
+            rows.append((part, n, pack(ids.tobytes()), *spans))
             if len(rows) == 512:
-                yield flush()
+                yield common.record_batch(rows, schema)
                 rows = []
-        yield flush()
+        yield common.record_batch(rows, schema)
+
+    staged = common.store(slim.mapInArrow(cut, ddl), "sequences")
+    # one number for each input partition
+    counts = sorted(map(tuple, staged.groupBy("part").agg(F.count("*")).collect()))
+    total = sum(n for _, n in counts)
+    if not total:
+        return staged.sparkSession.createDataFrame([], RESULT)
+    before = np.cumsum([0, *(n for _, n in counts)])[:-1]
+    base = np.zeros(counts[-1][0] + 1, np.int64)
+    base[[p for p, _ in counts]] = before
+    n_shards = min(total, shards or min(MOST_SHARDS, -(-total * stride // SHARD_BYTES)))
+    per_shard = -(-total // n_shards)
+    permute = Feistel(total, key)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = permute.forward(base[batch.column(0).to_numpy()] + batch.column(1).to_numpy()).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), *batch.columns[2:]], names=["shard", "slot", *batch.schema.names[2:]])
 
-    meta_ddl = "shard int, record long, doc_ids array<long>, starts array<long>, lengths array<int>, ids_crc32 long"
+    meta_ddl = "slot long, shard int, doc_ids array<long>, starts array<long>, lengths array<int>, ids_crc32 long"
     meta = common.arrow_schema(meta_ddl)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(out_uri)
-        store.create_dir(root, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        shard, record, out = None, 0, None
-
-        def close() -> None:
-            if out:
-                out.close()
-                store.move(f"{root}/.{attempt}-{shard}", f"{root}/shard-{shard:06d}.bin")
-
+        store, root = _store(out_uri)
+        attempt, shard, out = TaskContext.get().taskAttemptId(), None, None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for s, _, ids, *spans in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    close()
-                    shard, record, out = s, 0, store.open_output_stream(f"{root}/.{attempt}-{s}")
+            for s, slot, ids, *spans in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None:
+                    shard, out = s, store.open_output_stream(f"{root}/.{attempt}-{s}")
+                ids = unpack(ids)
                 out.write(ids)
-                rows.append((s, record, *spans, zlib.crc32(ids)))
-                record += 1
+                rows.append((slot, s, *spans, zlib.crc32(ids)))
             yield common.record_batch(rows, meta)
-        close()
+        if out:
+            out.close()
+            store.move(f"{root}/.{attempt}-{shard}", f"{root}/{_name(shard)}")
+
+    from pyarrow import fs
+
+    store, root = _store(out_uri)
+    store.create_dir(root, recursive=True)
+    in_ranges = staged.mapInArrow(placed, "shard int, slot long, tokens binary, doc_ids array<long>, starts array<long>, lengths array<int>").repartitionById(n_shards, "shard").sortWithinPartitions("slot")
+    done = common.store(in_ranges.mapInArrow(write, meta_ddl), "slots")
+    for left in store.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith("."):
+            store.delete_file(left.path)
+    with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        out.write(json.dumps({"sequences": total, "per_shard": per_shard, "length": length, "dtype": dtype, "key": key}).encode())
+    record = F.col("slot") - F.col("shard") * F.lit(per_shard).cast("long")
+    return done.select("slot", "shard", record.alias("record"), (record * stride).alias("byte_offset"), "doc_ids", "starts", "lengths", "ids_crc32")
+
+
+RESULT = "slot long, shard int, record long, byte_offset long, doc_ids array<long>, starts array<long>, lengths array<int>, ids_crc32 long"
+
+
+def _name(shard: int) -> str:
+    return f"shard-{shard:06d}.bin"
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
 
-    ordered = slim.mapInArrow(cut, ddl).repartition("shard").sortWithinPartitions("shard", "image")
-    placed = common.store(ordered.mapInArrow(write, meta_ddl), "sequences")
-    sizes = placed.groupBy("shard").count()
-    first = sizes.select("shard", (F.coalesce(F.sum("count").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    return placed.join(first, "shard").select((F.col("base") + F.col("record")).alias("slot"), "shard", "record", (F.col("record") * length * np.dtype(dtype).itemsize).alias("byte_offset"), "doc_ids", "starts", "lengths", "ids_crc32")
+def read(uri: str, slot: int = 0) -> Iterator[np.ndarray]:
+    """The sequences from a slot on, in order: after a stop, go on at the slot that comes next."""
+    store, root = _store(uri)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+        manifest = json.loads(f.read())
+    stride = manifest["length"] * np.dtype(manifest["dtype"]).itemsize
+    while slot < manifest["sequences"]:
+        shard, record = divmod(slot, manifest["per_shard"])
+        with store.open_input_file(f"{root}/{_name(shard)}") as f:
+            f.seek(record * stride)
+            while raw := f.read(stride):
+                yield np.frombuffer(raw, manifest["dtype"])
+                slot += 1
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,41 @@ def edit_within(pattern, text):
             new.append(min(row[k] + (p != c), row[k + 1] + 1, new[k] + 1))
         row = new
     return min(row)
+
+
+def kd_tree(docs, shards):
+    """(id, shard) of each (id, text): exact weighted medians along the dimension in which a node is widest."""
+    import math
+    import zlib
+
+    rows = []
+    for i, t in docs:
+        raw = (t or "").encode()
+        spaces = sum(c in b" \n" for c in raw)
+        dims = (math.floor(math.log2(len(raw) + 1) * 2**20), math.floor(len(raw) * 2.0**20 / (len(t or "") + 1)), math.floor(spaces * 2.0**20 / (len(raw) + 1)))
+        rows.append((dims, zlib.crc32(raw), (i is not None, i or 0), len(raw) + 1, i))
+    span = [max(1, max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) for d in range(3)]
+    out = []
+
+    def split(rows, first, k):
+        if k == 1 or not rows:
+            out.extend((r[4], first) for r in rows)
+            return
+        widths = [(max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) / span[d] for d in range(3)]
+        d = widths.index(max(widths))
+        key = lambda r: (r[0][d], r[1], r[2])
+        rows = sorted(rows, key=key)
+        want, before, cut = sum(r[3] for r in rows) * (k // 2) // k, 0, len(rows)
+        at = 0
+        while at < len(rows):
+            end = next((e for e in range(at, len(rows)) if key(rows[e]) != key(rows[at])), len(rows))
+            w = sum(r[3] for r in rows[at:end])
+            if before + w > want:
+                cut = at if want - before <= before + w - want else end
+                break
+            before, at = before + w, end
+        split(rows[:cut], first, k // 2)
+        split(rows[cut:], first + k // 2, k - k // 2)
+
+    split(rows, 0, shards)
+    return out

@@ -1,3 +1,5 @@
+import itertools
+import os
 import zlib
 
 import numpy as np
@@ -121,10 +123,43 @@ def test_shards_round_trip(spark, tmp_path):
     for i, t in {i: t for i, t in rows if i != 8}.items():
         assert [k for _, p in sorted(pieces[i]) for k in p] == [*ids_of(t), 50256]
     assert materialise.materialise(df.limit(0), f"file://{tmp_path}/none").count() == 0
+    by_slot = [x["ids_crc32"] for x in got]
+    for at in (0, 1, len(got) // 2, len(got) - 1):
+        assert [zlib.crc32(x.tobytes()) for x in materialise.read(out, at)] == by_slot[at:]
+    assert len(list(itertools.islice(materialise.read(out), 5))) == 5 and not list(materialise.read(out, len(got)))
+    assert not [x for x in os.listdir(f"{tmp_path}/shards") if x.startswith(".")]
+    with pytest.raises(ValueError, match="can't hold"):
+        materialise.materialise(df, out, end_id=70_000)
     again = materialise.materialise(df.coalesce(2), out, length=128, shards=3).orderBy("slot").collect()
     assert [x["ids_crc32"] for x in again] == [x["ids_crc32"] for x in got]
 
 
+def test_slots_are_the_plain_ones(spark, tmp_path):
+    """Sequences joined by hand from each partition, and a Feistel network and its cycle walk in plain numbers."""
+    docs = [(k, plain.prose(k, 20 + 7 * k % 90)) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    parts = df.rdd.glom().collect()
+    got = {x["slot"]: x["ids_crc32"] for x in materialise.materialise(df, f"file://{tmp_path}/slots", length=64, key=77, shards=4).collect()}
+    crcs = []
+    for rows in parts:
+        ids = [k for x in rows for k in [*ids_of(x["text"]), 50256]]
+        ids += [50256] * (-len(ids) % 64)
+        crcs += [zlib.crc32(np.array(ids[k : k + 64], "<u2").tobytes()) for k in range(0, len(ids), 64)]
+    half = ((len(crcs) - 1).bit_length() + 1) // 2
+    keys = [plain.splitmix(77 + k * 0x9E3779B97F4A7C15) for k in range(1, materialise.ROUNDS + 1)]
+
+    def image(x):
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for k in keys:
+                left, right = right, left ^ (plain.splitmix(right ^ k) & (1 << half) - 1)
+            x = left << half | right
+            if x < len(crcs):
+                return x
+
+    assert got == {image(k): c for k, c in enumerate(crcs)}
+
+
 def balanced(rows, shards, tolerance):
     size = {}
     for x in rows:
@@ -154,6 +189,13 @@ def test_kd_tree_splits_a_hot_group(spark):
     assert len(got) == 600
 
 
+def test_kd_tree_is_the_plain_one(spark):
+    docs = [(k * 37 - 900, plain.prose(k % 50, 3 + k * k % 71)) for k in range(200)] + [(-(1 << 63), ""), ((1 << 63) - 1, ""), (None, ""), (-1, None), (-2, None), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["shard"]) for x in kdtree.partition(df, shards=7, tolerance=0).collect())
+    assert got == sorted((i is None, i or 0, k) for i, k in plain.kd_tree(docs, 7))
+
+
 def test_kd_tree_awkward(spark):
     df, rows = plain.awkward(spark)
     got = kdtree.slots(kdtree.partition(df, shards=4)).collect()
