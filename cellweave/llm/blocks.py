@@ -40,7 +40,8 @@ def in_blocks(df: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[st
 
 def by_range(lists: DataFrame, judge: Callable[[pa.Table], list[tuple]], ddl: str) -> DataFrame:
     """What judge returns for each range's rows, as a table of the columns in ddl."""
-    parts = min(RANGES, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = -(-RANGES // int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = -(-RANGES // each)
     schema = common.arrow_schema(ddl)
 
     def run(table: pa.Table) -> pa.Table:
