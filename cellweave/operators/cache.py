@@ -23,7 +23,8 @@ def _placed(dist: DataFrame, viewpoints: DataFrame) -> DataFrame:
 def refresh(cache: DataFrame, cells: DataFrame, viewpoints: DataFrame, centre: tuple[int, int], radius: int = 12) -> DataFrame:
     """The cache for a new list of viewpoints after a change at `centre`.
 
-    A viewpoint is modified if it is new or within `radius` of the centre (Chebyshev); its row and column are searched anew.
+    A viewpoint is modified if it is new or within `radius` of the centre (Chebyshev); its row is searched anew, and its column
+    is the same. Nothing is searched from the others.
     Other pairs keep what the cache had for their cells, the first entry of repeated cells. Returns the columns of build()
     and fresh.
     """
@@ -31,9 +32,11 @@ def refresh(cache: DataFrame, cells: DataFrame, viewpoints: DataFrame, centre: t
     old_points = cache.select("map_id", "i", "ri", "ci").distinct().withColumn("k", F.row_number().over(first)).where("k = 1").select("map_id", F.col("ri").alias("r"), F.col("ci").alias("c"), F.col("i").alias("old"))
     near = (F.abs(F.col("r") - centre[0]) <= radius) & (F.abs(F.col("c") - centre[1]) <= radius)
     points = viewpoints.select("map_id", "i", "r", "c").join(old_points, ["map_id", "r", "c"], "left").withColumn("modified", F.col("old").isNull() | near)
-    searched = raster.matrix(cells, points.select("map_id", "i", "r", "c")).withColumnRenamed("d", "now")
+    own = raster.matrix(cells, points, sources=points.where("modified")).withColumnRenamed("d", "now")
+    still = points.where("not modified").select("map_id", F.col("i").alias("j"))
+    searched = own.unionByName(own.join(still, ["map_id", "j"], "left_semi").select("map_id", F.col("j").alias("i"), F.col("i").alias("j"), "now"))
     side = lambda x: points.select("map_id", F.col("i").alias(x), F.col("r").alias(f"r{x}"), F.col("c").alias(f"c{x}"), F.col("old").alias(f"old_{x}"), F.col("modified").alias(f"mod_{x}"))
-    both = searched.join(side("i"), ["map_id", "i"]).join(side("j"), ["map_id", "j"])
+    both = side("i").join(side("j"), "map_id").join(searched, ["map_id", "i", "j"], "left")
     kept = cache.select("map_id", F.col("i").alias("old_i"), F.col("j").alias("old_j"), F.col("d").alias("was"))
     fresh = F.col("mod_i") | F.col("mod_j")
     value = F.when(fresh, F.col("now")).otherwise(F.coalesce("was", F.when(F.col("i") == F.col("j"), 0).otherwise(INF)))

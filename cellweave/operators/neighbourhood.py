@@ -78,6 +78,14 @@ def area_explored(points: DataFrame, cells: DataFrame, radius: int = 4) -> DataF
     return points.join(size, "map_id", "left").join(open_, KEY, "left").withColumn("explored", ~F.coalesce(valid, F.lit(False)) | F.col("open").isNull()).drop("rows", "cols", "open")
 
 
+def area_visited(points: DataFrame, robots: DataFrame, cells: DataFrame, radius: int = 4) -> DataFrame:
+    """The same where nothing is hidden: points (map_id, r, c, ...) with explored: a robot (map_id, r, c) is within radius + 2."""
+    size = cells.groupBy("map_id").agg(F.first("rows").alias("rows"), F.first("cols").alias("cols"))
+    near = scatter(robots.select(*KEY), square(radius + 2, True)).select(*KEY).distinct().withColumn("near", F.lit(True))
+    valid = scalar.in_bounds(F.col("r"), F.col("c"), F.col("rows"), F.col("cols"))
+    return points.join(size, "map_id", "left").join(near, KEY, "left").withColumn("explored", ~F.coalesce(valid, F.lit(False)) | F.col("near").isNotNull()).drop("rows", "cols", "near")
+
+
 def nearest_passable(points: DataFrame, cells: DataFrame, radii: tuple[int, ...] = (16, 32)) -> DataFrame:
     """points (map_id, id, r, c) with (snap_r, snap_c): the cell itself if passable, else the nearest passable one by squared
     distance within the first radius that has any, in row-major order among equals, else the point."""

@@ -78,16 +78,17 @@ def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool)
     return dist.reshape(k, n)
 
 
-def matrix(cells: DataFrame, viewpoints: DataFrame, weighted: bool = False, zero_diagonal: bool = False) -> DataFrame:
-    """map_id, i, j, d over viewpoints (map_id, i, r, c): the search from every viewpoint to all of its map.
+def matrix(cells: DataFrame, viewpoints: DataFrame, weighted: bool = False, zero_diagonal: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """map_id, i, j, d over viewpoints (map_id, i, r, c): the search from every viewpoint, or from `sources`, to all of its map.
 
     d is INF (60000) where there is no path or it is that long, on the whole row, column and diagonal of an impassable
     viewpoint too, unless zero_diagonal. Viewpoints outside the map are impassable, duplicates are rows of their own, and a
     map without cells gives INF.
     """
-    points = viewpoints.select(F.col("map_id").cast("string").alias("map_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    slim = lambda t: t.select(F.col("map_id").cast("string").alias("map_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    points = slim(viewpoints)
     targets = points.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "c"))).alias("to"))
-    chunks = points.groupBy("map_id", F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("i", "r", "c")).alias("from")).drop("chunk")
+    chunks = slim(viewpoints if sources is None else sources).groupBy("map_id", F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("i", "r", "c")).alias("from")).drop("chunk")
     work = chunks.join(targets, "map_id").join(rasters(cells), "map_id", "left")
     schema = pa.schema([("map_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("d", pa.int32())])
 

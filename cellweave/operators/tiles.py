@@ -6,9 +6,10 @@ between the passable ports on their own perimeter, E, which those are, and P, th
 passable border, not its side. The blobs are int32, never exploded except on small grids. A missing row is a tile without a
 passable cell; a distance of INF is none.
 
-A level is one grouped kernel over its children's S and P alone. Updates recompute the touched leaves and all their
-ancestors up to the root and append them under a new version: a summary that stays equal is no reason to stop, because a
-changed seam above may not show in it.
+A level is one grouped kernel over its children's S and P alone. Updates renew the touched leaves and all their ancestors up
+to the root and append them under a new version: a summary that stays equal is no reason to stop, because a changed seam above
+may not show in it. A batch that only opens cells starts from the old distances and inserts the edges that became shorter;
+any other batch computes these tiles anew.
 """
 
 from __future__ import annotations
@@ -128,6 +129,42 @@ def open_cells(dist: np.ndarray, weight: np.ndarray, opened: np.ndarray) -> tupl
     return dist, insert_edges(dist, u, v, edge_weights(flat[u], flat[v]) if len(u) else u.astype(np.int32))
 
 
+def node_opened(children: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], side: int, g: int, old: np.ndarray, old_active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What node_distances gives, after cells below were opened: the old D with its shorter entries and seams inserted.
+
+    old_active: the ports that old is of; none of them has gone. Where more places would be pivots than a new start has, it
+    is a new start.
+    """
+    geo, n = geometry(side, g), 4 * side - 4
+    order = sorted(children)
+    active = np.concatenate([q * n + children[q][1] for q in order])
+    weight = np.concatenate([children[q][2] for q in order])
+    place = places(active, g * g * n)
+    dist = np.full((len(active), len(active)), FAR, np.int32)
+    at = place[old_active]
+    dist[np.ix_(at, at)] = old
+    np.fill_diagonal(dist, 0)
+    u, v, w = [], [], []
+    first = 0
+    for q in order:
+        s = children[q][0]
+        a, b = np.nonzero(np.triu(s < dist[first : first + len(s), first : first + len(s)]))
+        u.append(a + first)
+        v.append(b + first)
+        w.append(s[a, b])
+        first += len(s)
+    a, b = place[geo["seams"].T]
+    on = (a >= 0) & (b >= 0)
+    seam = np.unique(np.concatenate((a[on], b[on])))
+    u, v = np.concatenate([*u, a[on]]), np.concatenate([*v, b[on]])
+    w = np.concatenate([*w, edge_weights(weight[a[on]], weight[b[on]])])
+    shorter = w < dist[u, v]
+    if len(np.unique(np.concatenate((u[shorter], v[shorter])))) >= len(seam):
+        return node_distances(children, side, g)
+    pivots = insert_edges(dist, u, v, w)
+    return dist, active, weight, len(pivots)
+
+
 def node_distances(children: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], side: int, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """From the children's (S, E, P) by place in the group: D over their passable ports, which those are, their weights, and the pivots' number."""
     geo, n = geometry(side, g), 4 * side - 4
@@ -168,23 +205,46 @@ def matrix_of(blob: bytes, dtype: str = "<i4") -> np.ndarray:
     return flat.reshape(n, n)
 
 
-def build_leaves(cells: DataFrame, config: Config, ver: int = 0) -> DataFrame:
-    """The leaf rows of tiles that have a passable cell."""
-    b = config.b
+def _free(cells: DataFrame, b: int) -> DataFrame:
+    free = cells.where((F.col("observed") == 1) & (F.col("weight") < INF))
+    return free.select(F.col("map_id").cast("string").alias("map_id"), "r", "c", F.greatest("weight", F.lit(1)).cast("int").alias("w"), F.floor(F.col("r") / b).cast("int").alias("tx"), F.floor(F.col("c") / b).cast("int").alias("ty"))
+
+
+def _leaf_row(table: pa.Table, b: int, ver: int, old: bytes | None = None) -> pa.Table:
+    """old: D before the cells whose `opened` is set could be passed."""
     pr, pc = perimeter(b)
     ports = pr * b + pc
+    weight = np.zeros((b, b), np.int32)
+    r, c = table.column("r").to_numpy() % b, table.column("c").to_numpy() % b
+    weight[r, c] = table.column("w").to_numpy()
+    pivots = 0
+    if old is None:
+        dist = leaf_distances(weight)
+    else:
+        opened = (r * b + c)[table.column("opened").to_numpy(zero_copy_only=False)]
+        dist, ends = open_cells(matrix_of(old).copy(), weight, opened)
+        pivots = len(ends)
+    flat = weight.ravel()[ports]
+    own = np.flatnonzero(flat)
+    at = ports[own]
+    return _row(table.column("map_id")[0].as_py(), ver, 0, table.column("tx")[0].as_py(), table.column("ty")[0].as_py(), pivots, dist, dist[np.ix_(at, at)], flat[own], own, own[:0])
 
-    def run(table: pa.Table) -> pa.Table:
-        weight = np.zeros((b, b), np.int32)
-        weight[table.column("r").to_numpy() % b, table.column("c").to_numpy() % b] = table.column("w").to_numpy()
-        dist, flat = leaf_distances(weight), weight.ravel()[ports]
-        own = np.flatnonzero(flat)
-        at = ports[own]
-        return _row(table.column("map_id")[0].as_py(), ver, 0, table.column("tx")[0].as_py(), table.column("ty")[0].as_py(), 0, dist, dist[np.ix_(at, at)], flat[own], own, own[:0])
 
-    free = cells.where((F.col("observed") == 1) & (F.col("weight") < INF))
-    slim = free.select(F.col("map_id").cast("string").alias("map_id"), "r", "c", F.greatest("weight", F.lit(1)).cast("int").alias("w"), F.floor(F.col("r") / b).cast("int").alias("tx"), F.floor(F.col("c") / b).cast("int").alias("ty"))
-    return slim.groupBy("map_id", "tx", "ty").applyInArrow(run, DDL)
+def build_leaves(cells: DataFrame, config: Config, ver: int = 0) -> DataFrame:
+    """The leaf rows of tiles that have a passable cell."""
+    return _free(cells, config.b).groupBy("map_id", "tx", "ty").applyInArrow(lambda table: _leaf_row(table, config.b, ver), DDL)
+
+
+def open_leaves(cells: DataFrame, opened: DataFrame, old: DataFrame, config: Config, ver: int) -> DataFrame:
+    """The leaf rows of some tiles after cells of theirs were opened (map_id, r, c, once each), from their old rows."""
+
+    def run(table: pa.Table, before: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SCHEMA.empty_table()
+        return _leaf_row(table, config.b, ver, before.column("D")[0].as_py() if before.num_rows else None)
+
+    marked = _free(cells, config.b).join(opened.withColumn("opened", F.lit(True)), ["map_id", "r", "c"], "left").withColumn("opened", F.coalesce("opened", F.lit(False)))
+    return marked.groupBy("map_id", "tx", "ty").cogroup(old.select(F.col("map_id").alias("map_id"), "tx", "ty", "D").groupBy("map_id", "tx", "ty")).applyInArrow(run, DDL)
 
 
 def _row(map_id: str, ver: int, lvl: int, tx: int, ty: int, pivots: int, *blobs: np.ndarray) -> pa.Table:
@@ -192,22 +252,38 @@ def _row(map_id: str, ver: int, lvl: int, tx: int, ty: int, pivots: int, *blobs:
     return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, SCHEMA)], schema=SCHEMA)
 
 
+def _node_row(table: pa.Table, config: Config, level: int, ver: int, old: tuple[bytes, bytes] | None = None) -> pa.Table:
+    """old: D and A before cells below were opened."""
+    g, side = config.g, config.side(level - 1)
+    x, y, *blobs = (table.column(c).to_pylist() for c in ("tx", "ty", "S", "E", "P"))
+    if (n := sum(len(e) for e in blobs[1]) // 4) > config.max_ports:
+        raise ValueError(f"a node of level {level} has {n} passable ports; max_ports is {config.max_ports}")
+    place = [(i % g) * g + j % g for i, j in zip(x, y)]
+    children = {q: (matrix_of(s), np.frombuffer(e, "<i4"), np.frombuffer(p, "<i4")) for q, s, e, p in zip(place, *blobs)}
+    dist, active, weight, pivots = node_opened(children, side, g, matrix_of(old[0]), np.frombuffer(old[1], "<i4")) if old else node_distances(children, side, g)
+    own, at = border(active, side, g)
+    return _row(table.column("map_id")[0].as_py(), ver, level, x[0] // g, y[0] // g, pivots, dist, dist[np.ix_(at, at)], weight[at], own, active)
+
+
+def _by_parent(children: DataFrame, g: int) -> DataFrame:
+    return children.select("map_id", "tx", "ty", "S", "E", "P").withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
+
+
 def build_level(children: DataFrame, config: Config, level: int, ver: int = 0) -> DataFrame:
     """The node rows of a level from the rows of the level below."""
-    g, side, most = config.g, config.side(level - 1), config.max_ports
+    return _by_parent(children, config.g).groupBy("map_id", "px", "py").applyInArrow(lambda table: _node_row(table, config, level, ver), DDL)
+
+
+def open_level(children: DataFrame, old: DataFrame, config: Config, level: int, ver: int) -> DataFrame:
+    """The same after openings, from the nodes' old rows."""
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y, *blobs = (table.column(c).to_pylist() for c in ("tx", "ty", "S", "E", "P"))
-        place = [(i % g) * g + j % g for i, j in zip(x, y)]
-        if (n := sum(len(e) for e in blobs[1]) // 4) > most:
-            raise ValueError(f"a node of level {level} has {n} passable ports; max_ports is {most}")
-        children = {q: (matrix_of(s), np.frombuffer(e, "<i4"), np.frombuffer(p, "<i4")) for q, s, e, p in zip(place, *blobs)}
-        dist, active, weight, pivots = node_distances(children, side, g)
-        own, at = border(active, side, g)
-        return _row(table.column("map_id")[0].as_py(), ver, level, x[0] // g, y[0] // g, pivots, dist, dist[np.ix_(at, at)], weight[at], own, active)
+    def run(table: pa.Table, before: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SCHEMA.empty_table()
+        return _node_row(table, config, level, ver, (before.column("D")[0].as_py(), before.column("A")[0].as_py()) if before.num_rows else None)
 
-    slim = children.select("map_id", "tx", "ty", "S", "E", "P").withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
-    return slim.groupBy("map_id", "px", "py").applyInArrow(run, DDL)
+    nodes = old.select(F.col("map_id").alias("map_id"), F.col("tx").alias("px"), F.col("ty").alias("py"), "D", "A")  # both sides can come from one table
+    return _by_parent(children, config.g).groupBy("map_id", "px", "py").cogroup(nodes.groupBy("map_id", "px", "py")).applyInArrow(run, DDL)
 
 
 class Index:
@@ -242,24 +318,35 @@ class Index:
         config, ver = self.config, self.ver + 1
         cells = stored(update_cells(self.cells, updates), "cells")
         touched = updates.select(F.col("map_id").cast("string").alias("map_id"), F.floor(F.col("r") / config.b).cast("int").alias("tx"), F.floor(F.col("c") / config.b).cast("int").alias("ty")).distinct()
-        return self._rebuilt(cells, stored(touched, "touched"), ver)
+        opened = None
+        if not updates.where("op <> 'open'").head(1):
+            opened = updates.select(F.col("map_id").cast("string").alias("map_id"), "r", "c").distinct()
+        return self._rebuilt(cells, stored(touched, "touched"), ver, opened)
 
     def leaves_changed(self, leaves: DataFrame) -> Index:
         """A new version after cells of some leaves (map_id, tx, ty) changed under the index."""
         return self._rebuilt(self.cells, leaves.select("map_id", "tx", "ty").distinct(), self.ver + 1)
 
-    def _rebuilt(self, cells: DataFrame, touched: DataFrame, ver: int) -> Index:
+    def _rebuilt(self, cells: DataFrame, touched: DataFrame, ver: int, opened: DataFrame | None = None) -> Index:
+        """opened: the cells (map_id, r, c) if nothing but openings has happened to the touched leaves."""
         config, rows, old = self.config, self.rows, self.at()
         b, g = config.b, config.g
-        near = cells.withColumn("tx", F.floor(F.col("r") / b).cast("int")).withColumn("ty", F.floor(F.col("c") / b).cast("int")).join(touched, ["map_id", "tx", "ty"], "left_semi")
-        fresh = self._closed(build_leaves(near.drop("tx", "ty"), config, ver), touched, 0, ver)
+        tile = ["map_id", "tx", "ty"]
+        near = cells.withColumn("tx", F.floor(F.col("r") / b).cast("int")).withColumn("ty", F.floor(F.col("c") / b).cast("int")).join(touched, tile, "left_semi").drop("tx", "ty")
+        if opened is None:
+            fresh = self._closed(build_leaves(near, config, ver), touched, 0, ver)
+        else:
+            fresh = stored(open_leaves(near, opened, old.where("lvl = 0").join(touched, tile, "left_semi"), config, ver), f"version-{ver}-0")
         rows, made = rows.union(fresh), fresh
         for k in range(1, self.height + 1):
             touched = touched.select("map_id", F.floor(F.col("tx") / g).cast("int").alias("tx"), F.floor(F.col("ty") / g).cast("int").alias("ty")).distinct()
             below = old.where(F.col("lvl") == k - 1).join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh.where("D is not null"))
             parent = below.withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
             mine = parent.join(touched.select("map_id", F.col("tx").alias("px"), F.col("ty").alias("py")), ["map_id", "px", "py"], "left_semi").drop("px", "py")
-            fresh = self._closed(build_level(mine, config, k, ver), touched, k, ver)
+            if opened is None:
+                fresh = self._closed(build_level(mine, config, k, ver), touched, k, ver)
+            else:
+                fresh = stored(open_level(mine, old.where(F.col("lvl") == k).join(touched, tile, "left_semi"), config, k, ver), f"version-{ver}-{k}")
             rows, made = rows.union(fresh), made.union(fresh)
         current = old.join(made.select(*KEY), KEY, "left_anti").unionByName(made.where("D is not null")).select(*(f.name for f in SCHEMA))
         if ver % COMPACT == 0:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cellweave.operators import query as lifted
 from cellweave.operators import raster, tiles
 from cellweave.plans.registry import query
-from cellweave.plans.scalars import UPDATED, cells, updates
+from cellweave.operators.neighbourhood import update_cells
+from cellweave.plans.scalars import OPENED, UPDATED, cells, updates
 from cellweave.sources import derived
 from cellweave.sources.sql import CELLS, FOUR, distances, viewpoints
 from cellweave.streaming import mission
@@ -187,6 +188,57 @@ def incremental_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.refresh(index).matrix().select("i", "j", "d")
 
 
+@query(_matrix(True, OPENED, "updated"))
+def opened_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a batch of openings alone, by which leaves and nodes are carried on from their old distances."""
+    index, points = _index(spark, sf_dir)
+    return lifted.matrix(index.update(updates(spark, sf_dir).where("op = 'open'")), points).select("i", "j", "d")
+
+
+@query(_matrix(True, UPDATED, "updated"))
+def changed_leaves_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After cells changed under the index, which is told of their leaves only."""
+    index, points = _index(spark, sf_dir)
+    batch = updates(spark, sf_dir)
+    index.cells = update_cells(index.cells, batch)
+    return lifted.matrix(index.leaves_changed(mission.touched_tiles(batch, index.config.b)), points).select("i", "j", "d")
+
+
+@query(_matrix(True))
+def pinned_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the version before an update, read back from the versioned rows."""
+    index, points = _index(spark, sf_dir)
+    newer = index.update(updates(spark, sf_dir))
+    return lifted.matrix(tiles.Index(index.cells, newer.rows, newer.at(index.ver), index.config, index.height, index.ver), points).select("i", "j", "d")
+
+
+_LEAF_OPENED = f"""with recursive {OPENED}, {FOUR}, free as (select r, c, weight from updated where observed = 1),
+  edge as (select f.r, f.c, n.r as nr, n.c as nc, greatest(1, (f.weight + n.weight) // 2) as w from free f, four, free n where n.r = f.r + dr and n.c = f.c + dc and n.r // 8 = f.r // 8 and n.c // 8 = f.c // 8),
+  dist(sr, sc, r, c, d) using key (sr, sc, r, c) as (select r, c, r, c, 0 from free
+    union select q.* from (select sr, sc, e.nr as r, e.nc as c, min(dist.d + e.w) as d from dist join edge e on e.r = dist.r and e.c = dist.c group by all) q
+      left join recurring.dist old on old.sr = q.sr and old.sc = q.sc and old.r = q.r and old.c = q.c where old.d is null or q.d < old.d)
+  select cast(sr // 8 as int) as tx, cast(sc // 8 as int) as ty, cast((sr % 8) * 8 + sc % 8 as int) as u, cast((r % 8) * 8 + c % 8 as int) as v, cast(d as int) as d from dist where sr <> r or sc <> c"""
+
+
+@query(_LEAF_OPENED)
+def opened_leaf_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances inside each 8 x 8 tile between different cells after a batch of openings, from those before it."""
+    own, batch = cells(spark, sf_dir), updates(spark, sf_dir).where("op = 'open'")
+    config = tiles.Config(b=8)
+    made = tiles.open_leaves(update_cells(own, batch), batch.select("map_id", "r", "c").distinct(), tiles.build_leaves(own, config), config, 1)
+    return lifted.exploded(made).where("u <> v").select("tx", "ty", "u", "v", "d")
+
+
+@query(f"""with {OPENED}, h as (select cast(ceil(log2(greatest(max(rows), max(cols)) / 8.0)) as int) as h from cells), u8 as (select distinct u.r // 8 as tx, u.c // 8 as ty from u where op = 'open'),
+  free as (select distinct r // 8 as tx, c // 8 as ty from updated where observed = 1), leaf as (select tx, ty from u8 join free using (tx, ty)),
+  up as (select distinct k, tx // cast(pow(2, k) as int) as x, ty // cast(pow(2, k) as int) as y from leaf, range(1, 12) a(k), h where k <= h)
+  select (select count(*) from leaf) as touched, (select count(*) from up) as ancestors""")
+def opened_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many leaves and nodes a batch of openings renews."""
+    index, _ = _index(spark, sf_dir)
+    return index.update(updates(spark, sf_dir).where("op = 'open'")).batch_stats().select("touched", "ancestors")
+
+
 @query()
 def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(spark, sf_dir)[1].batch_stats().select("touched", "ancestors", "pivots")

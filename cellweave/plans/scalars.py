@@ -125,6 +125,10 @@ UPDATED = f"""{CELLS}, {_UPDATES}, state as (select r, c, max_by(op, seq) as op
     from cells left join state using (r, c) left join heavy using (r, c))"""
 
 
+#: Like UPDATED, with the openings alone.
+OPENED = UPDATED.replace("max_by(op, seq) as op from u where op <> 'reweight'", "'open' as op from u where op = 'open'").replace("where op = 'reweight'", "where false")
+
+
 @query(f"with {UPDATED} select r, c, observed, weight from updated")
 def cell_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood.update_cells(cells(spark, sf_dir), updates(spark, sf_dir)).select("r", "c", "observed", "weight")

@@ -9,7 +9,7 @@ from cellweave.operators import frontier, neighbourhood, raster, sampling
 from cellweave.plans.registry import query
 from cellweave.plans.scalars import B, cells
 from cellweave.sources import derived
-from cellweave.sources.sql import CELLS, EXPLORED, FOUR, SQUARE
+from cellweave.sources.sql import CELLS, EXPLORED, FOUR, SQUARE, viewpoints
 
 CLEARANCE = f"""{SQUARE}, wall as (select r, c from cells where observed = 2),
   near as (select wall.r + dr as r, wall.c + dc as c, min(greatest(abs(dr), abs(dc))) as near from wall, sq group by all),
@@ -99,11 +99,21 @@ def viewpoint_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.select_viewpoints(reps, 40, B).select("pick", "cluster_id", "size", "r", "c", "tile")
 
 
-@query(f"""with {EXPLORED}, {FOUR}, unk as (select r, c from cells where observed = 0)
-  select p.r, p.c, not exists (select 1 from unk where abs(unk.r - p.r) <= 4 and abs(unk.c - p.c) <= 4) as explored from cells p where (r * 100 + c) % 7 = 0""")
+@query(f"""with {EXPLORED}, hidden as (select distinct r + a.x as r, c + b.x as c from cells, range(-4, 5) a(x), range(-4, 5) b(x) where observed = 0)
+  select cells.r, cells.c, hidden.r is null as explored from cells left join hidden using (r, c)""")
 def area_explored(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = derived.explored_cells(spark, sf_dir)
-    return neighbourhood.area_explored(own.where("(r * 100 + c) % 7 = 0").select("map_id", "r", "c"), own).select("r", "c", "explored")
+    return neighbourhood.area_explored(own.select("map_id", "r", "c"), own).select("r", "c", "explored")
+
+
+@query(f"""with {CELLS}, {viewpoints("cells", 20)}, near as (select distinct r + a.x as r, c + b.x as c from vp, range(-6, 7) a(x), range(-6, 7) b(x)),
+  asked as (select r, c, rows, cols from cells union all select r - 3, c + 3, rows, cols from cells)
+  select asked.r, asked.c, not (asked.r between 0 and rows - 1 and asked.c between 0 and cols - 1) or near.r is not null as explored from asked left join near using (r, c)""")
+def area_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell, and every cell shifted so that some lie off the map, with 20 viewpoints as robots."""
+    own = cells(spark, sf_dir)
+    asked = own.select("map_id", "r", "c").unionByName(own.select("map_id", (F.col("r") - 3).alias("r"), (F.col("c") + 3).alias("c")))
+    return neighbourhood.area_visited(asked, derived.viewpoints(own, 20), own).select("r", "c", "explored")
 
 
 @query(f"""with {CELLS}, free as (select r, c from cells where observed = 1),
@@ -139,7 +149,12 @@ def footprint_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood.footprint_clear(poses, cells(spark, sf_dir), 0.25).select("id", "clear")
 
 
-@query()
+@query(f"""with {CELLS}, free as (select r * 100 + c as id, (c + 0.5) * 0.25::double as x1, (r + 0.5) * 0.25::double as y1, (c + 2.5) * 0.25::double as x2 from cells where observed = 1),
+  way as (select id, x1 + (k / 15.0::double) * (x2 - x1) as x, y1 as y from free, range(16) t(k)),
+  n as (select -1 + x as d from range(3) a(x)),
+  under as (select id, x, y, cast(floor(y / 0.25) as int) + a.d as r, cast(floor(x / 0.25) as int) + b.d as c from way, n a, n b),
+  hit as (select id, under.r, under.c from under where pow(greatest(c * 0.25 - x, x - (c + 1) * 0.25, 0.0), 2) + pow(greatest(r * 0.25 - y, y - (r + 1) * 0.25, 0.0), 2) < 0.05 * 0.05)
+  select id, bool_and(coalesce(observed, 2) = 1) as clear from hit left join cells on cells.r = hit.r and cells.c = hit.c group by id""")
 def segment_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cells(spark, sf_dir).where("observed = 1")
     segments = own.select("map_id", (F.col("r") * 100 + F.col("c")).alias("id"), ((F.col("c") + 0.5) * 0.25).alias("x1"), ((F.col("r") + 0.5) * 0.25).alias("y1"), ((F.col("c") + 2.5) * 0.25).alias("x2"), ((F.col("r") + 0.5) * 0.25).alias("y2"), F.lit(0.05).alias("radius"))
@@ -147,11 +162,11 @@ def segment_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CELLS}, step as (select x as k from range(9) a(x))
-  select a.r, a.c, bool_and(coalesce(b.observed, 2) = 1) as visible from (select r, c, k from cells, step where c < 92) a left join cells b on b.r = a.r + (2 * k * 3 + 8) // 16 and b.c = a.c + k group by all""")
+  select a.r, a.c, bool_and(coalesce(b.observed, 2) = 1) as visible from (select r, c, k from cells, step) a left join cells b on b.r = a.r + (2 * k * 3 + 8) // 16 and b.c = a.c + k group by all""")
 def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every cell to the one 3 rows down and 8 columns on."""
+    """From every cell to the one 3 rows down and 8 columns on; what is off the map is seen by no one."""
     own = cells(spark, sf_dir)
-    pairs = own.where("c < 92").select("map_id", (F.col("r") * 100 + F.col("c")).alias("id"), F.col("r").alias("r1"), F.col("c").alias("c1"), (F.col("r") + 3).alias("r2"), (F.col("c") + 8).alias("c2"))
+    pairs = own.select("map_id", (F.col("r") * 100 + F.col("c")).alias("id"), F.col("r").alias("r1"), F.col("c").alias("c1"), (F.col("r") + 3).alias("r2"), (F.col("c") + 8).alias("c2"))
     return neighbourhood.line_of_sight(pairs, own).select(F.col("r1").alias("r"), F.col("c1").alias("c"), "visible")
 
 
