@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.operators import raster
+from cellweave.operators import raster, sampling
 from cellweave.session import INF
 
 #: What a leg without a path counts while tours are compared.
@@ -158,10 +158,52 @@ def fallback_goals(robots: DataFrame, viewpoints: DataFrame, cells: DataFrame, a
     return met.groupBy("map_id", "robot_id").agg(F.min(F.struct(shared.cast("int").alias("shared"), d2.alias("d2"), "i", "r", "c")).alias("m")).select("map_id", "robot_id", "m.i", "m.r", "m.c")
 
 
+#: Cells within which a robot visits a target, and that lie between two targets at least.
+VISIT, APART = 6, 16
+
+
 def patrol_targets(cells: DataFrame, n: int, divisions: int = 4, seed: int = 0) -> DataFrame:
     """map_id, i, r, c: n free cells, one from each sector in turn, in the order of a hash within the sector."""
     sector = F.floor(F.col("r") * divisions / F.col("rows")) * divisions + F.floor(F.col("c") * divisions / F.col("cols"))
-    h = ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
     free = cells.where("observed = 1").withColumn("sector", sector.cast("int"))
-    dealt = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "sector").orderBy(h, "r", "c")))
-    return dealt.withColumn("i", (F.row_number().over(W.partitionBy("map_id").orderBy("turn", "sector")) - 1).cast("int")).where(F.col("i") < n).select("map_id", "i", "r", "c")
+    dealt = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "sector").orderBy(_shuffled(seed), "r", "c"))).where(F.col("turn") <= n)
+    return sampling.first_of_each_map(dealt, F.row_number().over(W.partitionBy("map_id").orderBy("turn", "sector")), n)
+
+
+def _shuffled(seed: int):
+    return ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
+
+
+def unvisited(targets: DataFrame, robots: DataFrame) -> DataFrame:
+    """The targets (map_id, i, r, c) that no robot (map_id, r, c) has come within VISIT cells of."""
+    near = robots.select("map_id", F.col("r").alias("rr"), F.col("c").alias("rc"))
+    dr, dc = F.col("r") - F.col("rr"), F.col("c") - F.col("rc")
+    return targets.join(near, (targets["map_id"] == near["map_id"]) & (dr * dr + dc * dc <= VISIT * VISIT), "left_anti")
+
+
+def replenished(targets: DataFrame, cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """map_id, i, r, c: the targets, and free cells in the order of a hash, none within APART of another, until a map has n.
+
+    A taken cell rules out those around it, of which there are fewer than its square, so the first n such squares of
+    candidates are enough, whatever the map's size.
+    """
+    ahead = n * (2 * APART - 1) ** 2
+    kept = targets.select("map_id", "i", "r", "c")
+    order = F.row_number().over(W.partitionBy("map_id").orderBy(_shuffled(seed), "r", "c"))
+    old = kept.select("map_id", F.col("r").alias("tr"), F.col("c").alias("tc"))
+    dr, dc = F.col("r") - F.col("tr"), F.col("c") - F.col("tc")
+    free = cells.where("gt = 1").select("map_id", "r", "c")
+    free = free.join(old, (free["map_id"] == old["map_id"]) & (dr * dr + dc * dc < APART * APART), "left_anti")
+    rows = sampling.first_of_each_map(free, order, ahead).select("map_id", F.lit(1).alias("new"), "i", "r", "c").unionByName(kept.withColumn("new", F.lit(0)))
+
+    def run(table: pa.Table) -> pa.Table:
+        points = sorted(zip(*(table.column(x).to_pylist() for x in ("new", "i", "r", "c"))))
+        out = [(i, r, c) for new, i, r, c in points if not new]
+        fresh = []
+        for new, _, r, c in points:
+            if new and len(out) + len(fresh) < n and all((r - y) ** 2 + (c - x) ** 2 >= APART * APART for _, y, x in fresh):
+                fresh.append((max([k for k, _, _ in out + fresh], default=-1) + 1, r, c))
+        i, r, c = zip(*(out + fresh)) if out or fresh else ((), (), ())
+        return pa.table({"map_id": pa.array([table.column("map_id")[0].as_py()] * len(i), pa.string()), **{k: pa.array(v, pa.int32()) for k, v in zip("irc", (i, r, c))}})
+
+    return rows.select(F.col("map_id").cast("string").alias("map_id"), "new", "i", "r", "c").groupBy("map_id").applyInArrow(run, "map_id string, i int, r int, c int")

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.session import INF
+from cellweave.operators.components import connected
+from cellweave.session import INF, stored
 
 FAR = np.int32(INF)
 #: Source rows of one chunk: they share a task and one wave.
@@ -140,20 +142,54 @@ def one_to_many(cells: DataFrame, source: tuple[int, int], targets: DataFrame, w
     return pairs(cells, wanted, weighted).select("map_id", F.col("id").cast("int").alias("j"), F.col("r2").alias("r"), F.col("c2").alias("c"), "d")
 
 
-def components(cells: DataFrame, layer: str = "gt") -> DataFrame:
-    """map_id, r, c, comp, size: 4-connected components of the passable cells, numbered from 0 in row-major order of their first cell."""
-    schema = pa.schema([("map_id", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("comp", pa.int32()), ("size", pa.int64())])
+#: Side of the squares in which components are labelled; a larger map is joined from them.
+SQUARE = 1024
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                weights, width = padded(row["rows"], row["cols"], row["grid"])
-                label = labels(weights > 0, width)
-                at = np.flatnonzero(weights)
-                _, comp, size = np.unique(label[at], return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row["map_id"]] * len(at), pa.string()), *(pa.array(x) for x in ((at // width - 1).astype(np.int32), (at % width - 1).astype(np.int32), comp.astype(np.int32), size[comp]))], schema=schema)
 
-    return rasters(cells, layer).mapInArrow(run, "map_id string, r int, c int, comp int, size long")
+def components(cells: DataFrame, layer: str = "gt") -> DataFrame:
+    """map_id, r, c, comp, size: 4-connected components of the passable cells, numbered from 0 in row-major order of their first cell.
+
+    Cells are labelled in squares, a task each; labels that meet across the sides of squares are joined as a graph, so no task
+    holds a large map.
+    """
+    largest = cells.agg(F.greatest(F.max("rows"), F.max("cols"))).first()[0] or 0
+    labelled = _labelled(cells, layer)
+    if largest > SQUARE:
+        labelled = stored(labelled, "labels")
+        met = connected(_seams(labelled)).withColumnRenamed("component", "joined")
+        labelled = labelled.join(met, F.col("label") == F.col("node"), "left").select("map_id", "r", "c", F.coalesce("joined", "label").alias("label"))
+    sizes = labelled.groupBy("map_id", "label").agg(F.count("*").alias("size"))
+    number = F.row_number().over(W.partitionBy("map_id").orderBy("label")) - 1
+    numbered = sizes.withColumn("comp", number.cast("int"))
+    return labelled.join(numbered, ["map_id", "label"]).select("map_id", "r", "c", "comp", "size")
+
+
+def _labelled(cells: DataFrame, layer: str) -> DataFrame:
+    """map_id, r, c, label of the passable cells: the map and the first cell of the component within its square, as text that sorts by them."""
+    schema = pa.schema([("map_id", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("label", pa.string())])
+
+    def run(table: pa.Table) -> pa.Table:
+        r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+        top, left, width = int(r.min()), int(c.min()), int(c.max()) - int(c.min()) + 3
+        mask = np.zeros((int(r.max()) - top + 3) * width, bool)
+        at = (r - top + 1) * width + c - left + 1
+        mask[at] = True
+        label = labels(mask, width)[at]
+        name = table.column("map_id")[0].as_py()
+        first = [f"{name}\u0001{x // width - 1 + top:010d}{x % width - 1 + left:010d}" for x in label.tolist()]
+        return pa.Table.from_arrays([table.column("map_id"), pa.array(r), pa.array(c), pa.array(first)], schema=schema)
+
+    own = cells.where((F.col(layer) == 1) & (F.col("weight") < INF)).select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    square = lambda x: F.floor(F.col(x) / SQUARE)
+    return own.groupBy("map_id", square("r").alias("sy"), square("c").alias("sx")).applyInArrow(run, "map_id string, r int, c int, label string")
+
+
+def _seams(labelled: DataFrame) -> DataFrame:
+    """Edges (a, b) between the labels of cells that touch across the sides of squares."""
+    below = labelled.where(F.col("r") % SQUARE == SQUARE - 1).select("map_id", (F.col("r") + 1).alias("r"), "c", F.col("label").alias("a"))
+    beside = labelled.where(F.col("c") % SQUARE == SQUARE - 1).select("map_id", "r", (F.col("c") + 1).alias("c"), F.col("label").alias("a"))
+    over = labelled.select("map_id", "r", "c", F.col("label").alias("b"))
+    return below.unionByName(beside).join(over, ["map_id", "r", "c"]).select("a", "b").distinct()
 
 
 def labels(mask: np.ndarray, width: int, diagonal: bool = False) -> np.ndarray:

@@ -70,14 +70,19 @@ def nearest(component: DataFrame, n: int, centre_r, centre_c) -> DataFrame:
     """map_id, i, r, c: the n cells nearest a centre by Chebyshev, then L1 distance, then in row-major order."""
     dr, dc = F.abs(F.col("r") - centre_r), F.abs(F.col("c") - centre_c)
     order = F.row_number().over(W.partitionBy("map_id").orderBy(F.greatest(dr, dc), dr + dc, "r", "c"))
-    return component.withColumn("i", (order - 1).cast("int")).where(F.col("i") < n).select("map_id", "i", "r", "c")
+    return first_of_each_map(component, order, n)
+
+
+def first_of_each_map(df: DataFrame, order, n: int) -> DataFrame:
+    """map_id, i, r, c: the rows whose number in order is n at most; the filter is on the number itself, so that each task keeps n rows of a map."""
+    return df.withColumn("number", order).where(F.col("number") <= n).select("map_id", (F.col("number") - 1).cast("int").alias("i"), "r", "c")
 
 
 def uniform(component: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """map_id, i, r, c: k cells in the order of an arithmetic hash of seed, r and c."""
     h = ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
     order = F.row_number().over(W.partitionBy("map_id").orderBy(h, "r", "c"))
-    return component.withColumn("i", (order - 1).cast("int")).where(F.col("i") < k).select("map_id", "i", "r", "c")
+    return first_of_each_map(component, order, k)
 
 
 def geometry(component: DataFrame, name: str, n: int, seed: int = 0) -> DataFrame:
@@ -114,4 +119,4 @@ def withheld(component: DataFrame, want: int, side: int, protect: DataFrame, see
     else:
         free = free.where(F.col("room") >= want)
         order = F.row_number().over(W.partitionBy("map_id").orderBy("tile", "turn"))
-    return free.withColumn("i", (order - 1).cast("int")).where(F.col("i") < want).select("map_id", "i", "r", "c")
+    return first_of_each_map(free, order, want)

@@ -65,10 +65,13 @@ def speedups(pairs: DataFrame, base: str, ours: str, *by: str) -> DataFrame:
 
 
 def moving_average(df: DataFrame, by: str, order: str, value: str, keep: float = 0.85) -> DataFrame:
-    """by, ema: the exponential average after the last value in order; it starts at the first."""
-    listed = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x"))
-    step = lambda acc, v: F.when(acc.isNull(), v[value]).otherwise(keep * acc + (1 - keep) * v[value])
-    return listed.select(by, F.aggregate("x", F.lit(None).cast("double"), step).alias("ema"))
+    """by, ema: the exponential average after the last value in order; it starts at the first.
+
+    Each value counts with a power of `keep` by its place from the last, so a key's history is summed and never gathered."""
+    numbered = df.select(by, value, F.row_number().over(W.partitionBy(by).orderBy(F.desc(order))).alias("back"))
+    weight = F.pow(F.lit(keep), F.col("back") - 1)
+    first = F.max_by(F.struct(value, weight.alias("w")), "back")
+    return numbered.groupBy(by).agg((F.sum((1 - keep) * weight * F.col(value)) + keep * first[value] * first["w"]).alias("ema"))
 
 
 def idle_decay(rate: Column, idle_ticks: Column, patience: int = 40, factor: float = 0.96) -> Column:

@@ -13,8 +13,8 @@ from cellweave.plans.registry import query
 from cellweave.plans.scalars import UPDATED, cells, updates
 from cellweave.session import shared_dir
 from cellweave.sources import derived
-from cellweave.sources.sql import CELLS, FOUR, distances, viewpoints
-from cellweave.streaming import mission
+from cellweave.sources.sql import CELLS, EXPLORED, FOUR, distances, viewpoints
+from cellweave.streaming import mission, recovery
 
 ROBOTS = 4
 
@@ -66,6 +66,33 @@ def patrol_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.patrol_targets(cells(spark, sf_dir), 40).select("i", "r", "c")
 
 
+_TARGETS = """f as (select r, c, (r * 4 // rows) * 4 + c * 4 // cols as sector, ((r * 100003 + c)::bigint * 7919) % 1000003 as h from cells where observed = 1),
+  t as (select *, row_number() over (partition by sector order by h, r, c) as turn from f),
+  target as (select cast(row_number() over (order by turn, sector) - 1 as int) as i, r, c from t qualify i < 40)"""
+
+
+@query(f"""with {CELLS}, {_TARGETS}, {viewpoints("cells", 60)} select i, r, c from target where not exists (select 1 from vp where (vp.r - target.r) * (vp.r - target.r) + (vp.c - target.c) * (vp.c - target.c) <= 36)""")
+def targets_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patrol targets that 60 robots have not come near."""
+    own = cells(spark, sf_dir)
+    return fleet.unvisited(fleet.patrol_targets(own, 40), derived.viewpoints(own, 60)).select("i", "r", "c")
+
+
+@query()
+def replenished_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    left = fleet.unvisited(fleet.patrol_targets(own, 10), derived.viewpoints(own, 60))
+    return fleet.replenished(left, own, 20).select("i", "r", "c")
+
+
+@query()
+def recovery_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ticks of their users."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ticks = e.select(F.col("user_id").cast("int").alias("robot_id"), F.col("event_id").alias("tick"), F.floor(F.col("value") / 60).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("commanded"), F.lit(False).alias("rotating"), F.lit(True).alias("has_goal"), (F.col("value") % 1).alias("rear_m"))
+    return recovery.recovery(ticks)
+
+
 @query("""with rb as (select cast(event_id as int) as robot_id, case when event_id % 3 > 0 then cast(event_id % 90 as int) end as goal_r, event_id % 5 as persistence, event_id % 11 as stuck, event_id % 13 = 0 as explored, event_id % 7 = 0 as near from events)
   select robot_id, coalesce(goal_r is not null and not explored and (near or persistence > 0) and stuck < 8, false) as kept from rb""")
 def adopted_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +157,11 @@ def scan_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("robot_id", "ray", "hit", F.round("distance", 9).alias("distance"))
 
 
-@query()
+@query(f"""with {EXPLORED}, {viewpoints("cells", 20)}, size as (select any_value(rows) as rows, any_value(cols) as cols from cells), turn as (select k, radians(k * 6.0::double) as a from range(60) x(k)), step as (select s from range(1, 21) x(s)),
+  way as (select i, k, s, cast(greatest(0, least(rows - 1, floor(((r + 0.501::double) * 0.1::double + s * 0.5::double * 0.1::double * sin(a)) / 0.1::double))) as int) as r, cast(greatest(0, least(cols - 1, floor(((c + 0.501::double) * 0.1::double + s * 0.5::double * 0.1::double * cos(a)) / 0.1::double))) as int) as c from vp, turn, step, size),
+  met as (select way.*, gt, min(case when gt = 2 then s end) over (partition by i, k) as stop from way join cells using (r, c)),
+  seen as (select distinct r, c, gt from met where stop is null or s <= stop)
+  select seen.r, seen.c, case when seen.gt = 2 then 'block' else 'open' end as op from seen join cells using (r, c) where observed = 0""")
 def scan_reveals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = derived.explored_cells(spark, sf_dir)
     poses = derived.viewpoints(own, 20).select("map_id", F.col("i").alias("robot_id"), ((F.col("c") + 0.501) * 0.1).alias("x"), ((F.col("r") + 0.501) * 0.1).alias("y"), F.lit(0.0).alias("theta"))
@@ -178,6 +209,20 @@ def streamed_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.matrix(writer.front, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
 
 
+@query(_matrix(True, UPDATED, "updated"))
+def queued_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches offered while a third is being applied: they wait, and make one version together."""
+    own, points = _points(spark, sf_dir)
+    writer = mission.QueuedWriter(tiles.Index.build(own, tiles.Config(b=16)))
+    batch = updates(spark, sf_dir)
+    writer.busy = True
+    for epoch in range(3):
+        writer(batch.where(F.col("seq") % 3 == epoch), epoch)
+    writer.busy = False
+    writer.flush()
+    return lifted.matrix(writer.front, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
+
+
 @query("""with e as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as was from events),
   g as (select *, max(case when was is null or was <> event_type then event_id end) over (partition by user_id order by event_id rows unbounded preceding) as since from e)
   select cast(user_id as int) as robot_id, event_id as tick, cast(greatest(0, 50 - (event_id - since)) as int) as left from g""".replace("as left", 'as "left"'))

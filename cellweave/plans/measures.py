@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import raster, stats
+from cellweave.operators import raster, stats, tiles
 from cellweave.plans.distances import _matrix, _points
 from cellweave.plans.registry import query
 from cellweave.plans.scalars import UPDATED, cells, updates
 from cellweave.operators.neighbourhood import update_cells
 from cellweave.session import shared_dir
-from cellweave.sources import records
+from cellweave.sources import maps, records
 from cellweave.sources.sql import CELLS
 
 
@@ -132,6 +132,52 @@ def per_step_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records.per_step(_telemetry(spark, sf_dir)), 9)
 
 
+@query(f"""with {CELLS}, t as (select event_type as session, event_id as tick, user_id, value from events), w as (select session, user_id % 8 as robot, max_by(value * 2, tick) as m from t group by all), f as (select session, count(*) as robots, sum(m) as way from w group by 1),
+  g as (select any_value(rows) as rows, any_value(cols) as cols, count(*) filter (gt = 1) as free, count(*) filter (gt = 1 and observed = 1) as seen from cells),
+  h as (select cast(ceil(log2(greatest(rows, cols) / 8.0)) as int) + 1 as depth, cast(ceil(rows / 8) * ceil(cols / 8) as int) as leaves from g),
+  c as (select session, count(*) as n, avg(value) as ours, avg(value * 3 + 1) as base, avg(case when value > 0 then (value * 3 + 1) / value end) as up from t where user_id % 2 = 0 group by 1)
+  select session, max(tick) as total_ticks, round(max(tick) * 0.05, 6) as total_sim_time_s, count(*) as logged_steps, any_value(g.rows) as grid_rows, any_value(g.cols) as grid_cols, any_value(free) as total_free_cells, any_value(seen) as explored_free_cells,
+    round(max_by(tick / 1000, tick), 6) as final_coverage_pct, any_value(depth) as tree_depth, any_value(leaves) as total_leaves, any_value(f.robots) as robot_count, cast(max(user_id % 4) as int) as total_respawns, round(any_value(way), 6) as total_fleet_distance_m,
+    round(avg(value), 6) as query_mean_us, round(quantile_cont(value * 2, 0.95), 6) as update_p95_us, cast(max(user_id % 9) as bigint) as replica_lag_max_ticks, round(avg(case when user_id % 9 > 0 then 1.0 else 0.0 end), 6) as replica_lag_busy_frac,
+    any_value(c.n) as compare_count, round(any_value(c.ours), 6) as paired_query_mean_us, round(any_value(c.base), 6) as bfs_query_mean_us, round(any_value(c.up), 6) as mean_speedup_vs_bfs
+  from t join f using (session) join c using (session), g, h group by session""")
+def mission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each session, its parts side by side; settings and per-robot lists are left to the JSON form."""
+    e = events(spark, sf_dir)
+    telemetry = _telemetry(spark, sf_dir).join(e.select(F.col("event_id").alias("tick"), "user_id"), "tick")
+    telemetry = telemetry.select("*", (F.col("tick") * 0.05).alias("sim_time_s"), (F.col("tick") * 0.05).alias("wall_time_s"), (F.col("user_id") % 4).cast("int").alias("total_respawns"), (F.col("user_id") % 9).cast("long").alias("replica_lag_ticks"))
+    own = e.select(F.col("event_type").alias("session"), F.col("event_id").alias("tick"), (F.col("user_id") % 8).cast("int").alias("robot_id"), (F.col("value") * 2).alias("distance_traveled_m"), "user_id", F.col("value").alias("index_query_us"), (F.col("value") * 3 + 1).alias("bfs_query_us"))
+    compared = own.where("user_id % 2 = 0").withColumn("speedup", F.when(F.col("index_query_us") > 0, F.col("bfs_query_us") / F.col("index_query_us")))
+    out = records.mission_report(telemetry, own, compared, cells(spark, sf_dir), tiles.Config(b=8), {"seed": 42})
+    wanted = {"mission_metadata": ("total_ticks", "total_sim_time_s", "logged_steps"), "environment": ("grid_rows", "grid_cols", "total_free_cells", "explored_free_cells", "final_coverage_pct"), "hierarchy": ("tree_depth", "total_leaves"), "fleet": ("robot_count", "total_respawns", "total_fleet_distance_m"), "performance_metrics": ("query_mean_us", "update_p95_us", "replica_lag_max_ticks", "replica_lag_busy_frac", "compare_count", "paired_query_mean_us", "bfs_query_mean_us", "mean_speedup_vs_bfs")}
+    return rounded(out.select("session", *[f"{part}.{c}" for part, names in wanted.items() for c in names]))
+
+
+@query(f"with {CELLS}, two as (select 'events' as map_id, weight from cells union all select 'blank', 1 from cells) select map_id, bool_or(weight <> 1) as has_weights from two group by 1")
+def weight_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    return maps.has_weights(own.unionByName(own.withColumn("map_id", F.lit("blank")).withColumn("weight", F.lit(1))))
+
+
+@query("select cast(b as int) as b, cast(g as int) as g, b >= 2 and g between 2 and 16 as valid, b >= 2 and g = 2 as quadtree from range(0, 40) x(b), range(0, 20) y(g)")
+def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tile and group sides an index takes (a tile side of 1 is refused), and which of them make a quadtree."""
+    rows = []
+    for b in range(40):
+        for g in range(20):
+            try:
+                config = tiles.Config(b=b, g=g)
+                rows.append((b, g, True, config.g == 2))
+            except ValueError:
+                rows.append((b, g, False, False))
+    return spark.createDataFrame(rows, "b int, g int, valid boolean, quadtree boolean")
+
+
+@query()
+def weighted_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.weighted_rooms(spark, 64, 64).select("r", "c", "gt", "weight")
+
+
 @query()
 def mission_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary_json(records.mission_summary(_telemetry(spark, sf_dir)), {"engine": "cellweave"})

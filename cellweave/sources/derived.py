@@ -45,4 +45,5 @@ def viewpoints(cells: DataFrame, k: int, step: int = 7919, modulus: int = 10007)
 
     h = (F.col("r") * 100 + F.col("c")) * step % modulus
     order = F.row_number().over(W.partitionBy("map_id").orderBy(h, "r", "c"))
-    return cells.where("observed = 1").select("map_id", (order - 1).cast("int").alias("i"), "r", "c").where(F.col("i") < k)
+    numbered = cells.where("observed = 1").select("map_id", order.alias("number"), "r", "c").where(F.col("number") <= k)
+    return numbered.select("map_id", (F.col("number") - 1).cast("int").alias("i"), "r", "c")

@@ -59,6 +59,22 @@ def weighted_walls(spark: SparkSession, n: int = 64, map_id: str = "walls") -> D
     return grid(spark, map_id, n, n, state, state, 1 + (F.col("r") * 31 + F.col("c") * 17) % 20)
 
 
+#: The weights of a weighted map of rooms, equally likely.
+ROOM_WEIGHTS = (1, 1, 2, 4, 6, 10, 20)
+
+
+def weighted_rooms(spark: SparkSession, rows: int, cols: int, side: int = 16, seed: int = 42, map_id: str = "rooms") -> DataFrame:
+    """Rooms whose passable cells have weights of ROOM_WEIGHTS, chosen by a hash of the cell and the seed."""
+    pick = F.pmod((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed * 31, F.lit(1_000_003)) % len(ROOM_WEIGHTS)
+    weight = F.element_at(F.array(*map(F.lit, ROOM_WEIGHTS)), (pick + 1).cast("int"))
+    return rooms(spark, rows, cols, side, seed, map_id).withColumn("weight", F.when(F.col("gt") == 1, weight).otherwise(F.col("weight")).cast("int"))
+
+
+def has_weights(cells: DataFrame) -> DataFrame:
+    """map_id, has_weights: whether any cell of a map weighs other than 1."""
+    return cells.groupBy("map_id").agg(F.bool_or(F.coalesce(F.col("weight"), F.lit(1)) != 1).alias("has_weights"))
+
+
 def crossed_box(spark: SparkSession, map_id: str = "box") -> DataFrame:
     """64 x 64 within walls, crossed by walls at row and column 32 with gaps at 16 and 48."""
     r, c = F.col("r"), F.col("c")

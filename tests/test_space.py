@@ -10,7 +10,7 @@ from cellweave.operators import cache, fleet, frontier, neighbourhood, raster, s
 from cellweave.plans import space
 from cellweave.session import INF
 from cellweave.sources import maps, records
-from cellweave.streaming import mission
+from cellweave.streaming import mission, recovery
 from tests.grids import as_matrix, table, updates, viewpoints
 
 
@@ -247,3 +247,92 @@ def test_medoids_of_large_clusters_have_costs(spark, monkeypatch):
     r, c = sum(x["r"] for x in front) / n, sum(x["c"] for x in front) / n
     assert n > frontier.EXACT
     assert got == [(n, pytest.approx(min((x["r"] - r) ** 2 + (x["c"] - c) ** 2 + (200 if x["clr"] <= 1 else 20 if x["clr"] == 2 else 0) for x in front)))]
+
+
+def test_paths_cost_what_they_say(spark):
+    own = table(spark, [[2 if (r * 5 + c * 3) % 9 == 0 else 1 for c in range(14)] for r in range(10)])
+    clr = {(x["r"], x["c"]): x["clr"] for x in neighbourhood.clearance(own).where("observed = 1").collect()}
+    ends = sorted(clr)
+    wanted = spark.createDataFrame([("m", k, *ends[k], *ends[-1 - k]) for k in range(8)], "map_id string, id long, r1 int, c1 int, r2 int, c2 int")
+    for x in mission.clear_paths(own, wanted).collect():
+        path = [(p["r"], p["c"]) for p in x["path"]]
+        assert (path[0], path[-1]) == (ends[x["id"]], ends[-1 - x["id"]])
+        cost = 0.0
+        for a, b in zip(path, path[1:]):
+            assert max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 and b in clr
+            cost += (1.4142 if a[0] != b[0] and a[1] != b[1] else 1.0) + (35 if clr[b] <= 1 else 8 if clr[b] == 2 else 0)
+        assert cost == pytest.approx(x["cost"])
+
+
+def test_weighted_rooms_have_the_weights(spark):
+    rows = maps.weighted_rooms(spark, 48, 48).collect()
+    free = [x["weight"] for x in rows if x["gt"] == 1]
+    assert set(free) == set(maps.ROOM_WEIGHTS) and {x["weight"] for x in rows if x["gt"] != 1} == {1}
+    plain = maps.rooms(spark, 48, 48)
+    assert sorted((x["r"], x["c"], x["gt"]) for x in rows) == sorted((x["r"], x["c"], x["gt"]) for x in plain.collect())
+    got = {x["map_id"]: x["has_weights"] for x in maps.has_weights(plain.withColumn("map_id", F.lit("even")).unionByName(maps.weighted_rooms(spark, 48, 48))).collect()}
+    assert got == {"even": False, "rooms": True}
+
+
+def test_targets_are_visited_and_replenished(spark):
+    own = table(spark, [[1] * 60 for _ in range(40)])
+    targets = fleet.patrol_targets(own, 4)
+    at = {x["i"]: (x["r"], x["c"]) for x in targets.collect()}
+    robots = spark.createDataFrame([("m", at[2][0], min(59, at[2][1] + 6) if at[2][1] < 54 else at[2][1] - 6)], "map_id string, r int, c int")
+    left = fleet.unvisited(targets, robots)
+    kept = {x["i"]: (x["r"], x["c"]) for x in left.collect()}
+    assert 2 not in kept
+    got = {x["i"]: (x["r"], x["c"]) for x in fleet.replenished(left, own, 7).collect()}
+    fresh = {i: p for i, p in got.items() if i not in kept}
+    assert {i: got[i] for i in kept} == kept and len(got) <= 7 and fresh
+    for i, p in fresh.items():
+        assert all((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 >= 16**2 for k, q in got.items() if k != i)
+    # no other cell could have been added while there was room
+    if len(got) < 7:
+        assert all(any((r - q[0]) ** 2 + (c - q[1]) ** 2 < 16**2 for q in got.values()) for r in range(40) for c in range(60))
+
+
+def test_a_stuck_robot_recovers(spark):
+    """It is nudged after 6 ticks, backs up after 14 where there is room, spins, and is placed anew after 100 ticks in one place."""
+    rows = [(1, t, 0.0, 0.0, True, False, True, 1.0) for t in range(130)] + [(2, t, 0.05 * t, 0.0, True, False, True, 1.0) for t in range(130)] + [(3, t, 0.0, 0.0, True, False, True, 0.0) for t in range(20)]
+    out = recovery.recovery(spark.createDataFrame(rows, recovery.INPUT)).collect()
+    phases = {k: [x["phase"] for x in sorted(out, key=lambda x: x["tick"]) if x["robot_id"] == k] for k in (1, 2, 3)}
+    assert set(phases[2]) == {"none"} and "spin" in phases[3] and "back up" not in phases[3]
+    first = {p: phases[1].index(p) for p in ("nudge", "back up", "spin")}
+    assert first == {"nudge": 6, "back up": 13, "spin": 27}
+    again = [x["tick"] for x in out if x["robot_id"] == 1 and x["respawned"]]
+    assert again == [99] and any(x["skipped"] for x in out if x["robot_id"] == 1) is False
+
+
+def test_a_patrol_needs_no_fog(spark):
+    from cellweave.operators import tiles
+
+    cells = maps.revealed(maps.rooms(spark, 32, 32, 16, 42))
+    run = mission.Mission(tiles.Index.build(cells, tiles.Config(b=16)), [(0, 8, 8)], scanner=mission.Scanner(1.0, 360.0, 8), modes=mission.Modes(fog=False, queued=True, targets=3))
+    row = run.step()
+    assert row["active_viewpoints"] > 0 and row["newly_opened_cells"] == 0 and isinstance(run.writer, mission.QueuedWriter)
+
+
+def test_manifest_says_what_it_was_made_with():
+    made = json.loads(records.manifest({"b": 8}, "running"))
+    assert made["status"] == "running" and made["build"]["pyspark"] and set(made["build"]) == {"pyspark", "git_sha", "git_branch", "git_dirty"}
+
+
+def test_components_of_a_map_larger_than_a_square(spark, monkeypatch):
+    monkeypatch.setattr(raster, "SQUARE", 8)
+    states = [[2 if (r * 7 + c * 5) % 3 == 0 or (r == 9 and c != 20) else 1 for c in range(30)] for r in range(25)]
+    own = table(spark, states)
+    got = {(x["r"], x["c"]): (x["comp"], x["size"]) for x in raster.components(own).collect()}
+    monkeypatch.undo()
+    assert got == {(x["r"], x["c"]): (x["comp"], x["size"]) for x in raster.components(own).collect()}
+    left, comp = {p for p in got}, {}
+    for p in sorted(left):
+        if p in comp:
+            continue
+        stack, number = [p], len(set(comp.values()))
+        while stack:
+            q = stack.pop()
+            if q in left and q not in comp:
+                comp[q] = number
+                stack += [(q[0] + 1, q[1]), (q[0] - 1, q[1]), (q[0], q[1] + 1), (q[0], q[1] - 1)]
+    assert {p: x[0] for p, x in got.items()} == comp
