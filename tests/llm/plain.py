@@ -188,3 +188,104 @@ def kd_tree(docs, shards):
 
     split(rows, 0, shards)
     return out
+
+
+class KneserNey:
+    """Interpolated character 4-grams of one language, in dictionaries; alphabet: the different symbols of all languages."""
+
+    def __init__(self, texts):
+        from collections import Counter
+
+        self.counts = {4: Counter(g for t in texts for g in self.grams(t))}
+        for k in (3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for k, c in self.counts.items():
+            n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.discount[k] = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
+            self.total[k], self.kinds[k] = Counter(), Counter(g[:-1] for g in c)
+            for g, v in c.items():
+                self.total[k][g[:-1]] += v
+
+    @staticmethod
+    def grams(text):
+        """Letters in lower case, every other run one boundary, boundaries before the text and one after it."""
+        flat = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line = "   " + " ".join(flat) + " "
+        return [tuple(line[k - 3 : k + 1]) for k in range(3, len(line))]
+
+    def prob(self, gram, alphabet):
+        k = len(gram)
+        if not k:
+            return 1 / alphabet
+        total = self.total[k][gram[:-1]]
+        lower = self.prob(gram[1:], alphabet)
+        if not total:
+            return lower
+        return max(self.counts[k][gram] - self.discount[k], 0) / total + self.discount[k] * self.kinds[k][gram[:-1]] / total * lower
+
+
+def votes(text):
+    """Each labeller's vote on a text."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n = max(1, len(w))
+    upper, lower, digit = (sum(lo <= c <= hi for c in raw) for lo, hi in ((65, 90), (97, 122), (48, 57)))
+    other = sum(c & 0xC0 == 0xC0 for c in raw)
+    chars = max(1, sum(c & 0xC0 != 0x80 and c not in b" \t\n\v\f\r" for c in raw))
+    marks = b"#*$%&|<>"
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:k] for k, x in enumerate(lines)) / max(1, len(lines))
+    windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    seen = {}
+    for x in windows:
+        seen[x] = seen.get(x, 0) + 1
+    again = len({k + j for k, x in enumerate(windows) if seen[x] > 1 for j in range(5)}) / n
+    variety, mean = len(set(w)) / n, chars / n
+    breaks = raw.count(b"\n")
+    ends = sum(raw[k - 1] in b".!?:;\"')" for k in range(1, len(raw)) if raw[k] == 10) / max(1, breaks)
+    letters = (upper + lower + other) / chars
+    bad = [
+        upper / max(1, upper + lower) > 0.5,
+        raw.count(b"!") / n > 0.2,
+        sum(c in marks for c in raw) / chars > 0.02,
+        sum(x[-1] in marks for x in w) / n > 0.15,
+        len(w) < 10,
+        dup > 0.3,
+        again > 0.2,
+        len(w) >= 30 and variety < min(0.35, 6 / n**0.5),
+        mean < 2.5 or mean > 14,
+        digit / chars > 0.15,
+        letters < 0.75,
+        breaks > 1 and ends < 0.2,
+    ]
+    good = [False] * 4 + [len(w) >= 50] + [False] * 5 + [letters > 0.9, breaks > 0 and ends > 0.8]
+    return [-1 if b else 1 if g else 0 for b, g in zip(bad, good)]
+
+
+def weak_posteriors(rows, rounds=200):
+    """Expectation-maximisation over texts' votes, text by text."""
+    import math
+
+    good = [0.1 if -1 in v else 0.95 for v in rows]
+    for _ in range(rounds):
+        prior = min(0.98, max(0.5, (sum(good) + 8) / (len(rows) + 10)))
+        chance = []
+        for share in (good, [1 - g for g in good]):
+            table = []
+            for j in range(len(rows[0])):
+                mass = {x: 0.5 + sum(s for v, s in zip(rows, share) if v[j] == x) for x in (-1, 0, 1)}
+                table.append({x: m / sum(mass.values()) for x, m in mass.items()})
+            chance.append(table)
+        new = []
+        for v in rows:
+            odds = math.log(prior / (1 - prior))
+            for j, x in enumerate(v):
+                each = math.log(chance[0][j][x] / chance[1][j][x])
+                odds += min(each, 0) if x < 0 else max(each, 0) if x > 0 else each
+            new.append(1 / (1 + math.exp(-odds)))
+        done = max(abs(a - b) for a, b in zip(new, good)) < 1e-9
+        good = new
+        if done:
+            break
+    return good

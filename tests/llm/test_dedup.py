@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellweave.llm import blocks, common, components, phrases, simhash, suffixes
+from cellweave.llm import blocks, common, phrases, simhash, suffixes
+from cellweave.operators import components
 from tests.llm import plain
 
 

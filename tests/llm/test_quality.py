@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -19,6 +20,38 @@ def test_languages_of_held_out_rows(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
+def test_predictions_are_the_plain_ones(spark):
+    """Dictionaries of counts, discounts and interpolation for every language, and the least cross-entropy of whole texts."""
+    docs = [x for x in common.documents(spark, plain.SF).collect() if len(x["text"] or "") < 2500]
+    table = spark.createDataFrame([(x["doc_id"], x["text"], x["lang"]) for x in docs], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.identify(table, langid.train(table)).collect()}
+    by = {}
+    for x in docs:
+        if x["lang"] is not None and x["text"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 4 != 2:
+            by.setdefault(x["lang"], []).append(x["text"])
+    models = {x: plain.KneserNey(t) for x, t in sorted(by.items())}
+    alphabet = max(2, len({g for m in models.values() for g in m.counts[1]}))
+    assert len(models) > 2 and len(docs) > 80
+    for x in docs:
+        grams = plain.KneserNey.grams(x["text"])
+        assert got[x["doc_id"]]["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in x["text"] or ""):
+            assert got[x["doc_id"]]["lang_pred"] == "und"
+            continue
+        seen = {}
+        entropy = {}
+        for name, m in models.items():
+            total = 0
+            for g in grams:
+                if (name, g) not in seen:
+                    seen[name, g] = np.log(m.prob(g, alphabet))
+                total -= seen[name, g]
+            entropy[name] = total / len(grams)
+        best = min(entropy, key=lambda k: (entropy[k], k))
+        assert got[x["doc_id"]]["lang_pred"] == best
+        assert got[x["doc_id"]]["entropy"] == pytest.approx(entropy[best], rel=1e-3)
+
+
 def test_probabilities_sum_to_one():
     counts = np.unique(langid.grams(["the cat sat on the mat", "a tab at the mast"])[0], return_counts=True)
     model = langid.Model({"en": counts, "xx": np.unique(langid.grams(["zzz yyy zz"])[0], return_counts=True)})
@@ -231,6 +264,16 @@ def test_weak_label_accuracies():
     assert ((model.posterior(votes) < 0.5) == bad).mean() > 0.99
 
 
+def test_weak_labels_are_the_plain_ones(spark):
+    docs = common.documents(spark, plain.SF)
+    got = {x["doc_id"]: x["weak_label"] for x in weaklabel.classify(docs, weaklabel.train(docs)).collect()}
+    rows = docs.collect()
+    expected = plain.weak_posteriors([plain.votes(x["text"]) for x in rows])
+    assert {x["doc_id"] for x in rows} == set(got)
+    for x, p in zip(rows, expected):
+        assert got[x["doc_id"]] == pytest.approx(p, abs=1e-6), x["doc_id"]
+
+
 def test_weak_label_awkward(spark):
     df, rows = plain.awkward(spark)
     model = weaklabel.train(df)
