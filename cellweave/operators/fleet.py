@@ -166,14 +166,10 @@ def patrol_targets(cells: DataFrame, n: int, divisions: int = 4, seed: int = 0)
     """map_id, i, r, c: n free cells, one from each sector in turn, in the order of a hash within the sector."""
     sector = F.floor(F.col("r") * divisions / F.col("rows")) * divisions + F.floor(F.col("c") * divisions / F.col("cols"))
     free = cells.where("observed = 1").withColumn("sector", sector.cast("int"))
-    dealt = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "sector").orderBy(_shuffled(seed), "r", "c"))).where(F.col("turn") <= n)
+    dealt = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "sector").orderBy(sampling.shuffled(seed), "r", "c"))).where(F.col("turn") <= n)
     return sampling.first_of_each_map(dealt, F.row_number().over(W.partitionBy("map_id").orderBy("turn", "sector")), n)
 
 
-def _shuffled(seed: int):
-    return ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
-
-
 def unvisited(targets: DataFrame, robots: DataFrame) -> DataFrame:
     """The targets (map_id, i, r, c) that no robot (map_id, r, c) has come within VISIT cells of."""
     near = robots.select("map_id", F.col("r").alias("rr"), F.col("c").alias("rc"))
@@ -189,7 +185,7 @@ def replenished(targets: DataFrame, cells: DataFrame, n: int, seed: int = 0) ->
     """
     ahead = n * (2 * APART - 1) ** 2
     kept = targets.select("map_id", "i", "r", "c")
-    order = F.row_number().over(W.partitionBy("map_id").orderBy(_shuffled(seed), "r", "c"))
+    order = F.row_number().over(W.partitionBy("map_id").orderBy(sampling.shuffled(seed), "r", "c"))
     old = kept.select("map_id", F.col("r").alias("tr"), F.col("c").alias("tc"))
     dr, dc = F.col("r") - F.col("tr"), F.col("c") - F.col("tc")
     free = cells.where("gt = 1").select("map_id", "r", "c")

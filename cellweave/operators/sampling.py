@@ -63,7 +63,7 @@ def farthest(component: DataFrame, n: int, seed: int = 0) -> DataFrame:
         first = min(zip(*(table.column(x).to_pylist() for x in ("h", "r", "c"))))
         return _listed(table, _farthest(table, n, [first[1:]])[:n])
 
-    return component.select(F.col("map_id").cast("string").alias("map_id"), "r", "c", F.xxhash64(F.lit(seed), "r", "c").alias("h")).groupBy("map_id").applyInArrow(run, DDL)
+    return component.select(F.col("map_id").cast("string").alias("map_id"), "r", "c", shuffled(seed).alias("h")).groupBy("map_id").applyInArrow(run, DDL)
 
 
 def nearest(component: DataFrame, n: int, centre_r, centre_c) -> DataFrame:
@@ -78,10 +78,14 @@ def first_of_each_map(df: DataFrame, order, n: int) -> DataFrame:
     return df.withColumn("number", order).where(F.col("number") <= n).select("map_id", (F.col("number") - 1).cast("int").alias("i"), "r", "c")
 
 
+def shuffled(seed: int):
+    """An arithmetic hash of a cell, by which draws are ordered."""
+    return ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
+
+
 def uniform(component: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """map_id, i, r, c: k cells in the order of an arithmetic hash of seed, r and c."""
-    h = ((F.col("r") * 100_003 + F.col("c")).cast("long") * 7919 + seed) % 1_000_003
-    order = F.row_number().over(W.partitionBy("map_id").orderBy(h, "r", "c"))
+    order = F.row_number().over(W.partitionBy("map_id").orderBy(shuffled(seed), "r", "c"))
     return first_of_each_map(component, order, k)
 
 
@@ -111,9 +115,8 @@ def withheld(component: DataFrame, want: int, side: int, protect: DataFrame, see
 
     All in one tile, the first that has enough; or, with spread, one from each tile in turn."""
     tile = (F.floor(F.col("r") / side) * F.ceil(F.col("cols") / side) + F.floor(F.col("c") / side)).cast("int")
-    h = F.xxhash64(F.lit(seed), "r", "c")
     free = component.join(protect.select("map_id", "r", "c").distinct(), ["map_id", "r", "c"], "left_anti").withColumn("tile", tile)
-    free = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "tile").orderBy(h, "r", "c"))).withColumn("room", F.count("*").over(W.partitionBy("map_id", "tile")))
+    free = free.withColumn("turn", F.row_number().over(W.partitionBy("map_id", "tile").orderBy(shuffled(seed), "r", "c"))).withColumn("room", F.count("*").over(W.partitionBy("map_id", "tile")))
     if spread:
         order = F.row_number().over(W.partitionBy("map_id").orderBy("turn", "tile"))
     else:

@@ -247,7 +247,10 @@ def opened_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.update(updates(spark, sf_dir).where("op = 'open'")).batch_stats().select("touched", "ancestors")
 
 
-@query()
+@query(f"""with {UPDATED}, {FOUR}, lv as (select k, cast(8 * pow(2, k) as int) as s from range(1, 12) a(k), (select cast(ceil(log2(greatest(max(rows), max(cols)) / 8.0)) as int) as h from cells) where k <= h),
+  t as (select distinct r // 8 as tx, c // 8 as ty from u), up as (select distinct k, tx * 8 // s as x, ty * 8 // s as y from t, lv), free as (select r, c from updated where observed = 1),
+  ends as (select distinct k, a.r // s as x, a.c // s as y, a.r, a.c from free a, four, free b, lv where b.r = a.r + dr and b.c = a.c + dc and a.r // s = b.r // s and a.c // s = b.c // s and (a.r // (s // 2) <> b.r // (s // 2) or a.c // (s // 2) <> b.c // (s // 2)))
+  select (select count(*) from t) as touched, (select count(*) from up) as ancestors, (select count(*) from ends semi join up using (k, x, y)) as pivots""")
 def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(spark, sf_dir)[1].batch_stats().select("touched", "ancestors", "pivots")
 

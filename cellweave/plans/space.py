@@ -205,17 +205,24 @@ def _component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.largest_component(own).join(own.select("map_id", "rows", "cols").distinct(), "map_id").select("map_id", "rows", "cols", "r", "c")
 
 
-@query(f"""with recursive {CELLS}, {COMPONENTS},
-  st as materialized (select cast(greatest(1, max(rows) // 8) as int) as sr, cast(greatest(1, max(cols) // 8) as int) as sc from cells),
+def _sectors(n: int) -> str:
+    """A table `best` of the nearest cell to each of n x n centres."""
+    return f"""st as materialized (select cast(greatest(1, max(rows) // {n}) as int) as sr, cast(greatest(1, max(cols) // {n}) as int) as sc from cells),
   near as (select l.r, l.c, sr, sc, l.r // sr + a.x as y, l.c // sc + b.x as x from largest l, st, (values (-2), (-1), (0), (1), (2)) a(x), (values (-2), (-1), (0), (1), (2)) b(x)),
-  gap as (select y * 8 + x as sector, r, c, abs(r - (y * sr + sr // 2)) as gr, abs(c - (x * sc + sc // 2)) as gc, sr, sc from near where y between 0 and 7 and x between 0 and 7),
-  best as (select sector, min(((gr + gc) * 10000 + r) * 1000 + c) as m from gap where gr <= greatest(1, sr // 2) and gc <= greatest(1, sc // 2) group by 1)
+  gap as (select y * {n} + x as sector, r, c, abs(r - (y * sr + sr // 2)) as gr, abs(c - (x * sc + sc // 2)) as gc, sr, sc from near where y between 0 and {n - 1} and x between 0 and {n - 1}),
+  best as (select sector, min(((gr + gc) * 10000 + r) * 1000 + c) as m from gap where gr <= greatest(1, sr // 2) and gc <= greatest(1, sc // 2) group by 1)"""
+
+
+@query(f"""with recursive {CELLS}, {COMPONENTS}, {_sectors(8)}
   select cast(sector as int) as sector, cast(m // 1000 % 10000 as int) as r, cast(m % 1000 as int) as c from best""")
 def sector_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sectors(_component(spark, sf_dir), 8).select("sector", "r", "c")
 
 
-@query()
+@query(f"""with recursive {CELLS}, {COMPONENTS}, start as (select r, c from largest order by ((r * 100003 + c)::bigint * 7919 + 7) % 1000003, r, c limit 1),
+  pick(i, r, c, far, pr, pc) as (select 0, l.r, l.c, abs(l.r - s.r) + abs(l.c - s.c), s.r, s.c from largest l, start s
+    union all select i + 1, r, c, least(far, abs(r - qr) + abs(c - qc)), qr, qc from (select *, first_value(r) over (order by far desc, r, c) as qr, first_value(c) over (order by far desc, r, c) as qc from pick where i < 24))
+  select distinct cast(i as int) as i, pr as r, pc as c from pick""")
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.geometry(_component(spark, sf_dir), "spread", 25, 7).select("i", "r", "c")
 
@@ -226,12 +233,16 @@ def cluster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.nearest(_component(spark, sf_dir), 25, F.lit(50), F.lit(50)).select("i", "r", "c")
 
 
-@query()
+@query(f"""with recursive {CELLS}, {COMPONENTS}, {_sectors(16)}, once as (select m // 1000 % 10000 as r, m % 1000 as c, min(sector) as sector from best group by all)
+  select cast(row_number() over (order by sector) - 1 as int) as i, cast(r as int) as r, cast(c as int) as c from once qualify i < 80""")
 def geometry_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 80 of 16 x 16 sectors; the SQL is for maps that have as many and need no padding."""
     return sampling.geometry(_component(spark, sf_dir), "sector", 80).select("i", "r", "c")
 
 
-@query()
+@query(f"""with recursive {CELLS}, {COMPONENTS}, known as (select r, c from largest qualify row_number() over (order by ((r * 100003 + c)::bigint * 7919) % 1000003, r, c) <= 25),
+  open as (select r, c, (r // 8) * 13 + c // 8 as tile, row_number() over (partition by (r // 8) * 13 + c // 8 order by ((r * 100003 + c)::bigint * 7919) % 1000003, r, c) as turn from largest anti join known using (r, c))
+  select cast(row_number() over (order by turn, tile) - 1 as int) as i, r, c from open qualify i < 64""")
 def withheld_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _component(spark, sf_dir)
     return sampling.withheld(own, 64, B, sampling.uniform(own, 25), spread=True).select("i", "r", "c")
