@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import raster
-from cellweave.operators.tiles import FAR, KEY, Index, border, matrix_of
+from cellweave.operators.tiles import FAR, KEY, Index, border, edge_weights, matrix_of, places
 from cellweave.session import INF, stored
 
 POINT = ["map_id", "query_id", "i"]
@@ -132,6 +132,98 @@ def _node_step(lifts: DataFrame, nodes: DataFrame, level: int, side: int, g: int
     return up.groupBy("map_id", "tx", "ty").cogroup(nodes.select("map_id", "tx", "ty", "D", "A").groupBy("map_id", "tx", "ty")).applyInArrow(run, LIFT_DDL)
 
 
+ROUND_DDL = "map_id string, tx int, ty int, query_id string, i int, kind int, X binary"
+ROUND = pa.schema([("map_id", pa.string()), ("tx", pa.int32()), ("ty", pa.int32()), ("query_id", pa.string()), ("i", pa.int32()), ("kind", pa.int32()), ("X", pa.binary())])
+#: What a row of a round is: distances to a tile's ports, the same when they are first seen, or what comes over its top, bottom, left or right side.
+STATE, FIRST, SIDES = 0, 1, (2, 3, 4, 5)
+#: For each side, the neighbour beyond it and the side of that one where it arrives.
+BEYOND = ((-1, 0, 1), (1, 0, 0), (0, -1, 3), (0, 1, 2))
+
+
+def side_ports(side: int) -> list[np.ndarray]:
+    """For each side of a tile the places of its cells in perimeter()."""
+    inner = np.arange(side - 2)
+    left = np.concatenate(([0], 2 * side + inner, [side]))
+    right = np.concatenate(([side - 1], 2 * side + side - 2 + inner, [2 * side - 1]))
+    return [np.arange(side), side + np.arange(side), left, right]
+
+
+def across(index: Index, tops: DataFrame) -> DataFrame:
+    """map_id, query_id, i, j, d: the finite distances by ways through several tiles of the top level; tops: the lifts there.
+
+    Distances spread from tile to tile. In a round every tile takes what comes over its sides, carries it on to its other
+    ports, and sends what became shorter to its neighbours; there are about as many rounds as a shortest path meets tiles.
+    """
+    side = index.config.side(index.height)
+    edges = side_ports(side)
+    tiles = index.at().where(F.col("lvl") == index.height).select("map_id", "tx", "ty", "S", "E", "P")
+    own = tops.select("map_id", "tx", "ty", "query_id", "i", "X")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return ROUND.empty_table()
+        short, weight = matrix_of(right.column("S")[0].as_py()), np.frombuffer(right.column("P")[0].as_py(), "<i4")
+        place = places(np.frombuffer(right.column("E")[0].as_py(), "<i4"), 4 * side - 4)
+        name, x, y = (left.column(c)[0].as_py() for c in ("map_id", "tx", "ty"))
+        numbers: dict[tuple, int] = {}
+        for key in zip(left.column("query_id").to_pylist(), left.column("i").to_pylist()):
+            numbers.setdefault(key, len(numbers))
+        known, come = (np.full((len(numbers), len(weight)), FAR, np.int32) for _ in range(2))
+        tell = np.zeros(len(numbers), bool)
+        for q, i, kind, blob in zip(*(left.column(c).to_pylist() for c in ("query_id", "i", "kind", "X"))):
+            row, value = numbers[q, i], np.frombuffer(blob, "<i4")
+            if kind in (STATE, FIRST):
+                known[row] = np.minimum(known[row], value)
+                tell[row] |= kind == FIRST
+                continue
+            at = place[edges[kind - SIDES[0]]]
+            on = np.flatnonzero((at >= 0) & (value[:side] < FAR))
+            at = at[on]
+            np.minimum.at(come[row], at, np.minimum(FAR, value[:side][on] + edge_weights(value[side:][on], weight[at])))
+        come[come >= known] = FAR
+        better = np.flatnonzero((come < FAR).any(axis=1))
+        if len(better):
+            through = min_plus_dense(come[better], short)
+            tell[better] |= (through < known[better]).any(axis=1)
+            known[better] = np.minimum(known[better], through)
+        rows = []
+        for (q, i), row in numbers.items():
+            rows.append((name, x, y, q, i, STATE, known[row].tobytes()))
+            for k, (dx, dy, there) in enumerate(BEYOND if tell[row] else ()):
+                at = place[edges[k]]
+                value, heavy = np.where(at >= 0, known[row][at], FAR), np.where(at >= 0, weight[at], 0)
+                if (value < FAR).any():
+                    rows.append((name, x + dx, y + dy, q, i, SIDES[there], np.concatenate((value, heavy)).astype("<i4").tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ROUND)], schema=ROUND)
+
+    tile = ["map_id", "tx", "ty"]
+    at_tiles = tiles.select(F.col("map_id").alias("map_id"), "tx", "ty", "S", "E", "P").groupBy(*tile)
+    state = own.select(*tile, "query_id", "i", F.lit(FIRST).alias("kind"), "X")
+    while True:
+        state = stored(state.groupBy(*tile).cogroup(at_tiles).applyInArrow(run, ROUND_DDL), "round")
+        if not state.where(F.col("kind") != STATE).head(1):
+            break
+    met = pa.schema([("map_id", pa.string()), ("query_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("d", pa.int32())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return met.empty_table()
+        rows = []
+        for q in sorted(set(right.column("query_id").to_pylist())):
+            sides = [[(i, np.frombuffer(x, "<i4")) for p, i, x in zip(*(t.column(c).to_pylist() for c in ("query_id", "i", "X"))) if p == q] for t in (left, right)]
+            if not sides[0]:
+                continue
+            a, b = (np.array([x for _, x in s], np.int32).reshape(len(s), -1) for s in sides)
+            dist = min_plus_dense(a, np.ascontiguousarray(b.T))
+            u, v = np.nonzero(dist < FAR)
+            rows += [(left.column("map_id")[0].as_py(), q, sides[0][m][0], sides[1][n][0], int(dist[m, n])) for m, n in zip(u.tolist(), v.tolist())]
+        columns = list(zip(*rows)) if rows else [()] * len(met)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, met)], schema=met)
+
+    ends = own.select(F.col("map_id").alias("map_id"), "tx", "ty", "query_id", "i", "X")
+    return state.groupBy(*tile).cogroup(ends.groupBy(*tile)).applyInArrow(meet, "map_id string, query_id string, i int, j int, d int")
+
+
 class Answer:
     """The distances between viewpoints (map_id, query_id, i, r, c) at a version, kept by tile so that they can be refreshed."""
 
@@ -153,7 +245,10 @@ class Answer:
 
     def matrix(self) -> DataFrame:
         """map_id, query_id, i, j, d: INF where there is no path, on the diagonal too if the viewpoint is impassable."""
-        found = _union(self.levels).where("d is not null").groupBy(*POINT, "j").agg(F.min("d").alias("d"))
+        found = _union(self.levels).where("d is not null").select(*POINT, "j", "d")
+        if not self.index.whole:
+            found = found.unionByName(across(self.index, self.levels[-1].where("X is not null")))
+        found = found.groupBy(*POINT, "j").agg(F.min("d").alias("d"))
         a = self.viewpoints.select(F.col("map_id").cast("string").alias("map_id"), "query_id", F.col("i").cast("int").alias("i"))
         both = a.join(a.withColumnRenamed("i", "j"), ["map_id", "query_id"])
         return both.join(found, [*POINT, "j"], "left").select(*POINT, "j", F.coalesce("d", F.lit(INF)).cast("int").alias("d"))

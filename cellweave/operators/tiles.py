@@ -286,32 +286,45 @@ def open_level(children: DataFrame, old: DataFrame, config: Config, level: int,
     return _by_parent(children, config.g).groupBy("map_id", "px", "py").cogroup(nodes.groupBy("map_id", "px", "py")).applyInArrow(run, DDL)
 
 
+def fits(children: DataFrame, config: Config, level: int) -> bool:
+    """Whether the nodes above these rows keep to max_ports; counted only where a full perimeter would not."""
+    if config.g**2 * (4 * config.side(level - 1) - 4) <= config.max_ports:
+        return True
+    most = _by_parent(children, config.g).groupBy("map_id", "px", "py").agg(F.sum(F.octet_length("E")).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) // 4 <= config.max_ports
+
+
 class Index:
-    """Versions of the leaf and node rows of some maps, and of their cells."""
+    """Versions of the leaf and node rows of some maps, and of their cells.
 
-    def __init__(self, cells: DataFrame, rows: DataFrame, current: DataFrame, config: Config, height: int, ver: int):
+    Levels end below the first that has a node of over max_ports passable ports. Then no root covers a map (`whole` is false),
+    and queries go from tile to tile of the top level.
+    """
+
+    def __init__(self, cells: DataFrame, rows: DataFrame, current: DataFrame, config: Config, height: int, ver: int, whole: bool = True):
         """rows: of all versions, for readers that pin one; current: those of this version."""
-        self.cells, self.rows, self.current, self.config, self.height, self.ver = cells, rows, current, config, height, ver
+        self.cells, self.rows, self.current, self.config, self.height, self.ver, self.whole = cells, rows, current, config, height, ver, whole
 
     @classmethod
     def build(cls, cells: DataFrame, config: Config | None = None) -> Index:
         """Leaves, then one grouped pass for each level. All maps get the height of the largest."""
         config = config or Config()
         size = cells.agg(F.max("rows"), F.max("cols")).first()
-        height = config.height(size[0] or 1, size[1] or 1)
+        height, top = config.height(size[0] or 1, size[1] or 1), 0
         level = stored(build_leaves(cells, config), "leaves")
         rows = level
-        for k in range(1, height + 1):
-            level = stored(build_level(level, config, k), f"level-{k}")
+        while top < height and fits(level, config, top + 1):
+            top += 1
+            level = stored(build_level(level, config, top), f"level-{top}")
             rows = rows.union(level)
-        return cls(cells, rows, rows, config, height, 0)
+        return cls(cells, rows, rows, config, top, 0, top == height)
 
     def at(self, ver: int | None = None) -> DataFrame:
         """The newest row of each tile up to a version; a row without D says that the tile has no passable cell any more."""
         if ver is None or ver == self.ver:
             return self.current
         newest = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("ver")))
-        return self.rows.where(F.col("ver") <= ver).withColumn("n", newest).where("n = 1 and D is not null").drop("n")
+        return self.rows.where((F.col("ver") <= ver) & (F.col("lvl") <= self.height)).withColumn("n", newest).where("n = 1 and D is not null").drop("n")
 
     def update(self, updates: DataFrame) -> Index:
         """A new version after updates (map_id, r, c, seq, op, weight) in any mix of open, block and reweight."""
@@ -337,21 +350,24 @@ class Index:
             fresh = self._closed(build_leaves(near, config, ver), touched, 0, ver)
         else:
             fresh = stored(open_leaves(near, opened, old.where("lvl = 0").join(touched, tile, "left_semi"), config, ver), f"version-{ver}-0")
-        rows, made = rows.union(fresh), fresh
+        rows, made, height = rows.union(fresh), fresh, self.height
         for k in range(1, self.height + 1):
             touched = touched.select("map_id", F.floor(F.col("tx") / g).cast("int").alias("tx"), F.floor(F.col("ty") / g).cast("int").alias("ty")).distinct()
             below = old.where(F.col("lvl") == k - 1).join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh.where("D is not null"))
             parent = below.withColumn("px", F.floor(F.col("tx") / g).cast("int")).withColumn("py", F.floor(F.col("ty") / g).cast("int"))
             mine = parent.join(touched.select("map_id", F.col("tx").alias("px"), F.col("ty").alias("py")), ["map_id", "px", "py"], "left_semi").drop("px", "py")
+            if not fits(mine, config, k):  # openings can make a level too wide
+                height = k - 1
+                break
             if opened is None:
                 fresh = self._closed(build_level(mine, config, k, ver), touched, k, ver)
             else:
                 fresh = stored(open_level(mine, old.where(F.col("lvl") == k).join(touched, tile, "left_semi"), config, k, ver), f"version-{ver}-{k}")
             rows, made = rows.union(fresh), made.union(fresh)
-        current = old.join(made.select(*KEY), KEY, "left_anti").unionByName(made.where("D is not null")).select(*(f.name for f in SCHEMA))
+        current = old.join(made.select(*KEY), KEY, "left_anti").unionByName(made.where("D is not null")).where(F.col("lvl") <= height).select(*(f.name for f in SCHEMA))
         if ver % COMPACT == 0:
             current = stored(current, f"current-{ver}")
-        return Index(cells, rows, current, config, self.height, ver)
+        return Index(cells, rows, current, config, height, ver, self.whole and height == self.height)
 
     @staticmethod
     def _closed(made: DataFrame, touched: DataFrame, lvl: int, ver: int) -> DataFrame:
@@ -361,8 +377,14 @@ class Index:
         return stored(out.select(*(F.col(f.name) for f in SCHEMA)), f"version-{ver}-{lvl}")
 
     def grow(self, cells: DataFrame) -> Index:
-        """One more level: cells is the map in its new size; tiles outside the old root are built, the others are kept."""
+        """One more level: cells is the map in its new size; tiles outside the old root are built, the others are kept.
+
+        Without a root, or where the new one would be too wide, the index is built anew."""
         ver, height = self.ver + 1, self.height + 1
+        if not self.whole or self.config.g**2 * (4 * self.config.side(self.height) - 4) > self.config.max_ports:
+            new = Index.build(cells, self.config)
+            made = new.rows.withColumn("ver", F.lit(ver).cast("long")).select(*(f.name for f in SCHEMA))
+            return Index(cells, self.rows.union(made), made, self.config, new.height, ver, new.whole)
         old_side = self.config.side(self.height)
         level = stored(build_leaves(cells.where((F.col("r") >= old_side) | (F.col("c") >= old_side)), self.config, ver), "grown")
         made = level

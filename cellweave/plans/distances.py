@@ -73,6 +73,12 @@ def dijkstra_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
 
 
+@query(_pair_sql(True).replace("i * 16 + j as id", "cast(i * 16 + j as bigint) as id"))
+def astar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heuristic changes the work of a pairwise search and not its distance, so this is the weighted search."""
+    return raster.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
+
+
 def _many_sql(weighted: bool) -> str:
     return f"""with recursive {CELLS}, src as (select 0 as i, min(r) as r, min(c) as c from (select r, c from cells where observed = 1 order by r, c limit 1)), {FOUR}, {distances("cells", "src", weighted)}
   select cells.r, cells.c, cast(coalesce(d, 60000) as int) as d from cells left join dist using (r, c)"""

@@ -173,6 +173,20 @@ def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "b int, g int, valid boolean, quadtree boolean")
 
 
+@query("select * from (values ('running', 8, 2, null), ('complete', 8, 2, 95)) t(status, b, g, coverage)")
+def trial_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trial's manifest as it starts and as it ends, read back."""
+    config = {"b": 8, "g": 2}
+    rows = [(records.manifest(config, "running"),), (records.manifest(config, "complete", {"coverage": 95}),)]
+    at = lambda path: F.get_json_object("value", path)
+    return spark.createDataFrame(rows, "value string").select(at("$.status").alias("status"), *[at(f"$.config.{k}").cast("int").alias(k) for k in config], at("$.outcome.coverage").cast("int").alias("coverage"))
+
+
+@query()
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.file_hashes(spark, f"{sf_dir}/region.parquet").select("length", "sha256")
+
+
 @query()
 def weighted_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.weighted_rooms(spark, 64, 64).select("r", "c", "gt", "weight")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import zlib
 
 import duckdb
 import pandas as pd
@@ -11,6 +12,20 @@ from cellweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
+#: Rows and the CRC of their sorted texts for queries without SQL, as these gave them when their operators' own tests passed:
+#: a change in what they return is to be looked at.
+PINNED = {
+    "exploration_snapshot": (1000, 1094770216),
+    "fleet_plan": (12, 1385075017),
+    "frontier_clusters": (7, 1870733503),
+    "lifted_viewpoints": (75, 2887190379),
+    "mission_summary_json": (5, 1885518739),
+    "procedural_rooms": (4096, 4223805177),
+    "recovery_states": (1000, 2097780673),
+    "replenished_targets": (6, 1699781871),
+    "weighted_rooms": (4096, 104003364),
+}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -30,7 +45,12 @@ def plain(df):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    ours = QUERIES[name](spark, SF).toPandas()
+    found = QUERIES[name](spark, SF)
+    if name in PINNED:
+        rows = sorted(repr([row[c] for c in sorted(found.columns)]) for row in found.collect())
+        assert (len(rows), zlib.crc32("\n".join(rows).encode())) == PINNED[name]
+        return
+    ours = found.toPandas()
     if name in ORACLE_SQL:
         pd.testing.assert_frame_equal(plain(ours), plain(duck.execute(ORACLE_SQL[name]).df()), check_dtype=False)
     else:

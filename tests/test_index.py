@@ -92,6 +92,33 @@ def test_random_scripts(spark, seed, b, g):
         assert (m == m.T).all()
 
 
+def test_a_map_that_no_root_can_hold(spark):
+    """Open maps whose upper levels would have too many ports: paths through many tiles of the top level, before and after updates."""
+    draw = random.Random(11)
+    states = [[2 if draw.random() < 0.15 or (c == 13 and r > 2) else 1 for c in range(27)] for r in range(20)]
+    weights = [[draw.randint(1, 9) for _ in range(27)] for _ in range(20)]
+    points = [(0, 0), (19, 26), (18, 1), (3, 20), (13, 13), (0, 26), (18, 1)]
+    config = tiles.Config(b=4, max_ports=20)
+    index = tiles.Index.build(table(spark, states, weights), config)
+    assert index.height == 0 and not index.whole
+    script = [[(r, 13, "open", None) for r in (8, 9)], [(0, 13, "block", None), (1, 13, "block", None), (5, 5, "reweight", 30)]]
+    check(spark, states, points, config, weights, script)
+
+
+def test_an_opening_makes_a_level_too_wide(spark):
+    """The index goes on without the level above."""
+    states = [[1 if r in (3, 4) or c in (3, 4) else 2 for c in range(16)] for r in range(16)]
+    index = tiles.Index.build(table(spark, states), tiles.Config(b=4, max_ports=40))
+    assert index.whole and index.height == 2
+    batch = [(r, c, "open", None) for r in range(8) for c in range(8)]
+    newer = index.update(updates(spark, batch))
+    assert not newer.whole and newer.height < 2
+    for r, c, *_ in batch:
+        states[r][c] = 1
+    points = [(0, 0), (15, 4), (4, 15), (7, 7)]
+    assert as_matrix(query.matrix(newer, viewpoints(spark, points)), 4) == plain_matrix(states, points)
+
+
 def test_growth_keeps_the_old_tree(spark):
     draw = random.Random(5)
     states = [[2 if draw.random() < 0.25 else 1 for _ in range(32)] for _ in range(32)]
