@@ -1,7 +1,7 @@
 """SQL with the rows of the queries that it can express on whole tables.
 
-The removal of repeated bytes and words can be said with windows, groups and islands; fingerprints, token ids, models,
-edit distances and packing cannot.
+The removal of repeated bytes and words can be said with windows, groups and islands, the trie with lists of prefixes;
+fingerprints, token ids, models, edit distances and packing cannot.
 """
 
 REPEATED_BYTES = r"""with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
@@ -22,3 +22,15 @@ REPEATED_WORDS = r"""with w as (select doc_id, regexp_extract_all(coalesce(text,
   word as (select doc_id, p, ws[p] as x from w, unnest(range(1, len(ws) + 1)) t(p)),
   kept as (select doc_id, count(gone.p) as n, string_agg(x, ' ' order by p) filter (gone.p is null) as t from word left join gone using (doc_id, p) group by 1)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+PREFIX_TRIE = r"""with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos from conversations where conv_id is not null),
+  steps as (select c, list_concat([4294967295], flatten(list_transform(range(1, len(cast(c as varchar)) + 1), lambda i: list_concat([cast(ord(cast(c as varchar)[i]) as bigint)], [-1, -1, -1, -1, -1, -1, -1, -1])))) as l from (select distinct c from t)),
+  h as (select c, xor(list_reduce(l, lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end) end), 4294967295) % 9 as h from steps),
+  whole as (select c, list(struct_pack(role, text) order by pos) as l from t group by 1),
+  seq as (select h.c, list_concat(coalesce(s.l, [])[1:h], o.l[h + 1:]) as l from h join whole o using (c) left join whole s on s.c = h.c - h.c % 5),
+  pre as (select c, d, sha256(cast(to_json(l[1:d]) as varchar)) as node, sha256(cast(to_json(l[1:d - 1]) as varchar)) as up, d = len(l) as ends, case when d > 0 then strlen(l[d].text) else 0 end as bytes from seq, unnest(range(len(l) + 1)) u(d)),
+  nodes as (select node, d, min(up) as up, min(c) as conv_id, count(*) as n_convs, min(bytes) as bytes, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ends), '')) as ends_sha256 from pre group by 1, 2),
+  kids as (select up as node, count(*) as n from nodes where d > 0 group by 1),
+  below as (select a.node, sum((n.n_convs - 1) * n.bytes) as saved, count(*) filter (kids.n is null) as leaves from nodes n join pre a on a.c = n.conv_id and a.d <= n.d left join kids on kids.node = n.node group by 1)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children, b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+  from nodes n join below b using (node) left join kids k using (node) left join nodes p on p.node = n.up and n.d > 0"""
