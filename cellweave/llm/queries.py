@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, simhash, sql, suffixes, tries, weaklabel, whitening
+from . import decontaminate, fertility, kdtree, langid, materialise, packing, phrases, signatures, simhash, sql, suffixes, tries, weaklabel, whitening
 
 QUERIES = {
     "op1_suffix_array": suffixes.op1_suffix_array,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_packing": packing.op9_packing,
     "op10_weak_label": weaklabel.op10_weak_label,
+    "op11_signature_trees": signatures.op11_signature_trees,
     "op12_whitening": whitening.op12_whitening,
     "op13_prefix_trie": tries.op13_prefix_trie,
 }
