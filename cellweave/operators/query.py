@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import raster
+from cellweave.operators import search
 from cellweave.operators.tiles import FAR, KEY, Index, border, edge_weights, matrix_of, places
 from cellweave.session import INF, stored
 
@@ -287,7 +287,7 @@ def matrix(index: Index, viewpoints: DataFrame, k: int | None = None) -> DataFra
     if k is not None and 0 < k <= index.config.hybrid_k:
         one = viewpoints.withColumn("map", F.col("map_id")).withColumn("map_id", F.concat_ws("\u0001", "map_id", "query_id"))
         cells = index.cells.join(viewpoints.select("map_id", "query_id").distinct(), "map_id").withColumn("map_id", F.concat_ws("\u0001", "map_id", "query_id"))
-        named = raster.matrix(cells, one, weighted=True)
+        named = search.matrix(cells, one, weighted=True)
         parts = F.split("map_id", "\u0001")
         return named.select(parts[0].alias("map_id"), parts[1].alias("query_id"), "i", "j", "d")
     return ask(index, viewpoints).matrix()

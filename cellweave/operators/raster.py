@@ -1,14 +1,7 @@
-"""Maps as rows: one binary raster a map, and the search kernels that run on it.
-
-A raster row is what a search needs of one map: its size and a byte array of weights, 0 where a cell is impassable. Rasters
-meet chunks of sources by an equi-join on map_id, so sources spread over tasks and only their map goes along. Maps too
-large for one task go through the tile index instead.
-"""
+"""Components of maps, labelled in squares and joined across their sides."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,130 +11,6 @@ from pyspark.sql import functions as F
 from cellweave.operators.components import connected
 from cellweave.session import INF, stored
 
-FAR = np.int32(INF)
-#: Source rows of one chunk: they share a task and one wave.
-CHUNK = 4
-
-
-def rasters(cells: DataFrame, layer: str = "observed") -> DataFrame:
-    """map_id, rows, cols, grid: the weights of passable cells as int32, row-major."""
-
-    def build(table: pa.Table) -> pa.Table:
-        rows, cols = table.column("rows")[0].as_py(), table.column("cols")[0].as_py()
-        grid = np.zeros(rows * cols, np.int32)
-        grid[table.column("r").to_numpy() * cols + table.column("c").to_numpy()] = table.column("w").to_numpy()
-        return pa.table({"map_id": pa.array([table.column("map_id")[0].as_py()], pa.string()), "rows": pa.array([rows], pa.int32()), "cols": pa.array([cols], pa.int32()), "grid": pa.array([grid.tobytes()], pa.binary())})
-
-    free = F.when((F.col(layer) == 1) & (F.col("weight") < INF), F.greatest(F.col("weight"), F.lit(1))).otherwise(0).cast("int")
-    slim = cells.select(F.col("map_id").cast("string").alias("map_id"), "rows", "cols", "r", "c", free.alias("w"))
-    return slim.groupBy("map_id").applyInArrow(build, "map_id string, rows int, cols int, grid binary")
-
-
-def padded(rows: int, cols: int, grid: bytes) -> tuple[np.ndarray, int]:
-    """The weights with an impassable border, flat, and the width of a row."""
-    out = np.zeros((rows + 2, cols + 2), np.int32)
-    out[1:-1, 1:-1] = np.frombuffer(grid, "<i4").reshape(rows, cols)
-    return out.ravel(), cols + 2
-
-
-def spread(weights: np.ndarray, width: int, sources: np.ndarray, weighted: bool) -> np.ndarray:
-    """Distances (sources, cells) over a padded raster, INF where none; all sources move in one wave.
-
-    Each direction moves different cells to different cells, so a wave is four masked assignments. Cells that became
-    nearer move again, until none does or the distance would reach INF. With weights, cells move in order of distance, a
-    band at a time, so that few of them move twice.
-    """
-    n, k = len(weights), len(sources)
-    dist = np.full(k * n, FAR, np.int32)
-    tiled = np.tile(weights, k)
-    start = np.arange(k) * n + sources
-    wave = start[weights[sources] > 0]
-    dist[wave] = 0
-    band = max(1, int(np.median(weights[weights > 0]))) if weighted and (weights > 0).any() else 0
-    later, bound = wave[:0], band
-    while len(wave) or len(later):
-        if weighted:
-            wave = np.unique(np.concatenate((wave, later)))
-            far = dist[wave] >= bound
-            if far.all():
-                bound = int(dist[wave].min()) + band
-                far = dist[wave] >= bound
-            wave, later = wave[~far], wave[far]
-        moved = []
-        for step in (-width, width, -1, 1):
-            to = wave + step
-            on = tiled[to] > 0
-            at, to = wave[on], to[on]
-            new = dist[at] + (np.maximum(1, (tiled[at] + tiled[to]) // 2) if weighted else 1)
-            nearer = new < dist[to]
-            dist[to[nearer]] = new[nearer]
-            moved.append(to[nearer])
-        wave = np.concatenate(moved)  # with unit steps only the first to reach a cell is nearer, so none is in it twice
-    return dist.reshape(k, n)
-
-
-def matrix(cells: DataFrame, viewpoints: DataFrame, weighted: bool = False, zero_diagonal: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """map_id, i, j, d over viewpoints (map_id, i, r, c): the search from every viewpoint, or from `sources`, to all of its map.
-
-    d is INF (60000) where there is no path or it is that long, on the whole row, column and diagonal of an impassable
-    viewpoint too, unless zero_diagonal. Viewpoints outside the map are impassable, duplicates are rows of their own, and a
-    map without cells gives INF.
-    """
-    slim = lambda t: t.select(F.col("map_id").cast("string").alias("map_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
-    points = slim(viewpoints)
-    targets = points.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "c"))).alias("to"))
-    chunks = slim(viewpoints if sources is None else sources).groupBy("map_id", F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("i", "r", "c")).alias("from")).drop("chunk")
-    work = chunks.join(targets, "map_id").join(rasters(cells), "map_id", "left")
-    schema = pa.schema([("map_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("d", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                i, j = ([p["i"] for p in row[side]] for side in ("from", "to"))
-                d = between(row, [(p["r"], p["c"]) for p in row["from"]], [(p["r"], p["c"]) for p in row["to"]], weighted)
-                if zero_diagonal:
-                    d[np.equal.outer(i, j)] = 0
-                yield pa.RecordBatch.from_arrays([pa.array([row["map_id"]] * d.size, pa.string()), pa.array(np.repeat(i, len(j)).astype(np.int32)), pa.array(np.tile(j, len(i)).astype(np.int32)), pa.array(d.ravel())], schema=schema)
-
-    return work.mapInArrow(run, "map_id string, i int, j int, d int")
-
-
-def between(row: dict, sources: list, targets: list, weighted: bool) -> np.ndarray:
-    """Distances from some cells to others on one raster row."""
-    out = np.full((len(sources), len(targets)), FAR, np.int32)
-    if row["grid"] is None:
-        return out
-    weights, width = padded(row["rows"], row["cols"], row["grid"])
-    inside = lambda p: 0 <= p[0] < row["rows"] and 0 <= p[1] < row["cols"]
-    s, t = [k for k, p in enumerate(sources) if inside(p)], [k for k, p in enumerate(targets) if inside(p)]
-    flat = lambda ps: np.array([(p[0] + 1) * width + p[1] + 1 for p in ps], np.int64)
-    if s and t:
-        dist = spread(weights, width, flat([sources[k] for k in s]), weighted)
-        out[np.ix_(s, t)] = dist[:, flat([targets[k] for k in t])]
-    return out
-
-
-def pairs(cells: DataFrame, wanted: DataFrame, weighted: bool = False) -> DataFrame:
-    """wanted (map_id, id, r1, c1, r2, c2) with d, one search for each different source."""
-    points = wanted.select("map_id", "r1", "c1", "r2", "c2", "id")
-    by = points.groupBy("map_id", "r1", "c1").agg(F.collect_list(F.struct("id", "r2", "c2")).alias("to")).join(rasters(cells), "map_id", "left")
-    schema = pa.schema([("id", pa.int64()), ("d", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                d = between(row, [(row["r1"], row["c1"])], [(p["r2"], p["c2"]) for p in row["to"]], weighted)
-                yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in row["to"]], pa.int64()), pa.array(d[0])], schema=schema)
-
-    return wanted.join(by.mapInArrow(run, "id long, d int"), "id")
-
-
-def one_to_many(cells: DataFrame, source: tuple[int, int], targets: DataFrame, weighted: bool = False) -> DataFrame:
-    """targets (map_id, j, r, c) with d from one cell of each map."""
-    wanted = targets.select("map_id", F.col("j").cast("long").alias("id"), F.lit(source[0]).alias("r1"), F.lit(source[1]).alias("c1"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-    return pairs(cells, wanted, weighted).select("map_id", F.col("id").cast("int").alias("j"), F.col("r2").alias("r"), F.col("c2").alias("c"), "d")
-
-
 #: Side of the squares in which components are labelled; a larger map is joined from them.
 SQUARE = 1024
 

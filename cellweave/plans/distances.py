@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import query as lifted
-from cellweave.operators import raster, tiles
+from cellweave.operators import search, tiles
 from cellweave.plans.registry import query
 from cellweave.operators.neighbourhood import update_cells
 from cellweave.plans.scalars import OPENED, UPDATED, cells, updates
@@ -38,18 +38,18 @@ def _matrix(weighted: bool, base: str = CELLS, table: str = "cells", k: int = K)
 
 @query(_matrix(False))
 def bfs_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.matrix(*_points(spark, sf_dir)).select("i", "j", "d")
+    return search.matrix(*_points(spark, sf_dir)).select("i", "j", "d")
 
 
 @query(_matrix(True))
 def dijkstra_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
+    return search.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
 
 
 @query(f"select i, j, cast(case when i = j then 0 else d end as int) as d from ({_matrix(True)})")
 def astar_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix of pairwise searches, whose diagonal is 0 for impassable viewpoints too."""
-    return raster.matrix(*_points(spark, sf_dir), weighted=True, zero_diagonal=True).select("i", "j", "d")
+    return search.matrix(*_points(spark, sf_dir), weighted=True, zero_diagonal=True).select("i", "j", "d")
 
 
 def _pair_sql(weighted: bool) -> str:
@@ -65,18 +65,18 @@ def _wanted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_pair_sql(False).replace("i * 16 + j as id", "cast(i * 16 + j as bigint) as id"))
 def bfs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.pairs(*_wanted(spark, sf_dir)).select("id", "d")
+    return search.pairs(*_wanted(spark, sf_dir)).select("id", "d")
 
 
 @query(_pair_sql(True).replace("i * 16 + j as id", "cast(i * 16 + j as bigint) as id"))
 def dijkstra_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
+    return search.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
 
 
 @query(_pair_sql(True).replace("i * 16 + j as id", "cast(i * 16 + j as bigint) as id"))
 def astar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A heuristic changes the work of a pairwise search and not its distance, so this is the weighted search."""
-    return raster.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
+    return search.pairs(*_wanted(spark, sf_dir), weighted=True).select("id", "d")
 
 
 def _many_sql(weighted: bool) -> str:
@@ -87,7 +87,7 @@ def _many_sql(weighted: bool) -> str:
 def _one_to_many(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     own = cells(spark, sf_dir)
     first = own.where("observed = 1").agg(F.min(F.struct("r", "c")).alias("p")).select("p.r", "p.c").first()
-    return raster.one_to_many(own, (first["r"], first["c"]), own.select("map_id", (F.col("r") * 100 + F.col("c")).alias("j"), "r", "c"), weighted).select("r", "c", "d")
+    return search.one_to_many(own, (first["r"], first["c"]), own.select("map_id", (F.col("r") * 100 + F.col("c")).alias("j"), "r", "c"), weighted).select("r", "c", "d")
 
 
 @query(_many_sql(False))
@@ -129,7 +129,7 @@ def min_plus_product(spark: SparkSession, sf_dir: str) -> DataFrame:
   select d.i, d.j, cast(least(d.d, 60000, ui.du + 3 + vj.dv, vi.dv + 3 + uj.du) as int) as d from d join u ui on ui.y = d.i join v vi on vi.y = d.i join u uj on uj.y = d.j join v vj on vj.y = d.j""")
 def rank_one_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix after an edge of weight 3 between viewpoints 2 and 5."""
-    dist = raster.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
+    dist = search.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
     return lifted.rank_one(dist, spark.sql("select 2 as u, 5 as v, 3 as w"))
 
 
@@ -137,7 +137,7 @@ def rank_one_update(spark: SparkSession, sf_dir: str) -> DataFrame:
   n as (select d.i, d.j, d.d as was, cast(least(d.d, 60000, ui.du + 3 + vj.dv, vi.dv + 3 + uj.du) as int) as w from d join u ui on ui.y = d.i join v vi on vi.y = d.i join u uj on uj.y = d.j join v vj on vj.y = d.j)
   select i, j, w from n where w < was""")
 def summary_decreases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dist = raster.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
+    dist = search.matrix(*_points(spark, sf_dir), weighted=True).select("i", "j", "d")
     return lifted.summary_decreases(dist, lifted.rank_one(dist, spark.sql("select 2 as u, 5 as v, 3 as w")))
 
 

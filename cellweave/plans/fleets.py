@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import cache, fleet, raster, tiles
+from cellweave.operators import cache, fleet, search, tiles
 from cellweave.operators import query as lifted
 from cellweave.operators.neighbourhood import update_cells
 from cellweave.plans.distances import K, _matrix, _points, _vp
@@ -22,7 +22,7 @@ ROBOTS = 4
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The viewpoints as a plan: the first are robots, the rest targets."""
     own, points = _points(spark, sf_dir)
-    dist = raster.matrix(own, points).select(F.lit("p").alias("plan_id"), "i", "j", "d")
+    dist = search.matrix(own, points).select(F.lit("p").alias("plan_id"), "i", "j", "d")
     kind = F.when(F.col("i") < ROBOTS, "robot").otherwise("target")
     idx = F.when(F.col("i") < ROBOTS, F.col("i")).otherwise(F.col("i") - ROBOTS)
     return points.select(F.lit("p").alias("plan_id"), kind.alias("kind"), idx.alias("idx"), "r", "c"), dist
@@ -40,7 +40,7 @@ def fleet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tour_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of given tours: each robot visits every fourth viewpoint in order."""
     own, points = _points(spark, sf_dir)
-    dist = raster.matrix(own, points).select(F.lit("p").alias("plan_id"), "i", "j", "d")
+    dist = search.matrix(own, points).select(F.lit("p").alias("plan_id"), "i", "j", "d")
     stops = points.select(F.lit("p").alias("plan_id"), (F.col("i") % ROBOTS).cast("int").alias("robot_id"), F.col("i").alias("ord"), F.col("i").alias("point"))
     return fleet.tour_cost(stops, dist).select("robot_id", "cost")
 
@@ -108,7 +108,7 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The cache after all updates, refreshed around cell (40, 40), and the true matrix."""
     own, points = _points(spark, sf_dir)
     after = update_cells(own, updates(spark, sf_dir))
-    return cache.refresh(cache.build(own, points), after, points, (40, 40)), raster.matrix(after, points)
+    return cache.refresh(cache.build(own, points), after, points, (40, 40)), search.matrix(after, points)
 
 
 _CACHED = f"""{UPDATED}, {_vp()}, {FOUR}, {distances("cells", "vp", False)},

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cellweave.operators import query, raster, tiles
+from cellweave.operators import query, raster, search, tiles
 from cellweave.session import INF
 from cellweave.sources import maps
 from tests.grids import as_matrix, opened, plain_matrix, table, updates, viewpoints
@@ -168,7 +168,7 @@ def test_rooms(spark):
     assert cells.where("observed = 1").count() == 3184
     assert raster.components(cells, "observed").select("comp").distinct().count() == 1
     wanted = spark.createDataFrame([("rooms", 1, 8, 8, 56, 56)], "map_id string, id long, r1 int, c1 int, r2 int, c2 int")
-    assert raster.pairs(cells, wanted).first()["d"] == 100
+    assert search.pairs(cells, wanted).first()["d"] == 100
     assert maps.rooms(spark, 32, 32, 16, 42).where("observed = 1").count() == 792
 
 
@@ -180,14 +180,14 @@ def test_twister():
 def test_long_ways_are_no_ways(spark):
     weights = [[30000] * 4]
     cells = table(spark, [[1] * 4], weights)
-    m = as_matrix(raster.matrix(cells, viewpoints(spark, [(0, 0), (0, 1), (0, 2)]).drop("query_id"), weighted=True), 3)
+    m = as_matrix(search.matrix(cells, viewpoints(spark, [(0, 0), (0, 1), (0, 2)]).drop("query_id"), weighted=True), 3)
     assert m == [[0, 30000, INF], [30000, 0, 30000], [INF, 30000, 0]]
 
 
 def test_outside_empty_and_duplicate_viewpoints(spark):
     cells = table(spark, [[1, 1], [1, 2]])
-    m = as_matrix(raster.matrix(cells, viewpoints(spark, [(0, 0), (5, 5), (0, 0), (1, 1)]).drop("query_id")), 4)
+    m = as_matrix(search.matrix(cells, viewpoints(spark, [(0, 0), (5, 5), (0, 0), (1, 1)]).drop("query_id")), 4)
     assert m == [[0, INF, 0, INF], [INF] * 4, [0, INF, 0, INF], [INF] * 4]
-    other = raster.matrix(cells, viewpoints(spark, [(0, 0)], "no such map").drop("query_id"))
+    other = search.matrix(cells, viewpoints(spark, [(0, 0)], "no such map").drop("query_id"))
     assert [x["d"] for x in other.collect()] == [INF]
-    assert raster.matrix(cells.limit(0), viewpoints(spark, [(0, 0)]).drop("query_id")).first()["d"] == INF
+    assert search.matrix(cells.limit(0), viewpoints(spark, [(0, 0)]).drop("query_id")).first()["d"] == INF

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalar
-from cellweave.operators import cache, fleet, frontier, neighbourhood, raster, sampling, stats
+from cellweave.operators import cache, fleet, frontier, neighbourhood, raster, sampling, search, stats
 from cellweave.plans import space
 from cellweave.session import INF
 from cellweave.sources import maps, records
@@ -92,7 +92,7 @@ def test_stale_cache(spark):
     cached = cache.build(before, points)
     assert as_matrix(cached.select("i", "j", "d"), 2)[0][1] == 58
     kept = cache.refresh(cached, after, points, (10, 15), 5)
-    truth = raster.matrix(after, points)
+    truth = search.matrix(after, points)
     assert as_matrix(kept.select("i", "j", "d"), 2)[0][1] == 58 and as_matrix(truth.select("i", "j", "d"), 2)[0][1] == 22
     report = cache.staleness(kept, truth).first()
     assert (report["stale_pairs"], report["max_absolute_error"], round(report["max_relative_error"], 3)) == (2, 36, 1.636)
