@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators import search
-from cellweave.session import INF
+from cellweave.session import INF, stored
 
 
 def build(cells: DataFrame, viewpoints: DataFrame) -> DataFrame:
-    """map_id, i, j, d, ri, ci, rj, cj: the full matrix with the viewpoints' cells."""
-    return _placed(search.matrix(cells, viewpoints), viewpoints)
+    """map_id, i, j, d, ri, ci, rj, cj: the full matrix with the viewpoints' cells, written to the shared folder."""
+    return stored(_placed(search.matrix(cells, viewpoints), viewpoints), "cache")
 
 
 def _placed(dist: DataFrame, viewpoints: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def refresh(cache: DataFrame, cells: DataFrame, viewpoints: DataFrame, centre: t
     old_points = cache.select("map_id", "i", "ri", "ci").distinct().withColumn("k", F.row_number().over(first)).where("k = 1").select("map_id", F.col("ri").alias("r"), F.col("ci").alias("c"), F.col("i").alias("old"))
     near = (F.abs(F.col("r") - centre[0]) <= radius) & (F.abs(F.col("c") - centre[1]) <= radius)
     points = viewpoints.select("map_id", "i", "r", "c").join(old_points, ["map_id", "r", "c"], "left").withColumn("modified", F.col("old").isNull() | near)
+    points = stored(points, "points")
     own = search.matrix(cells, points, sources=points.where("modified")).withColumnRenamed("d", "now")
+    own = stored(own, "searched")
     still = points.where("not modified").select("map_id", F.col("i").alias("j"))
     searched = own.unionByName(own.join(still, ["map_id", "j"], "left_semi").select("map_id", F.col("j").alias("i"), F.col("i").alias("j"), "now"))
     side = lambda x: points.select("map_id", F.col("i").alias(x), F.col("r").alias(f"r{x}"), F.col("c").alias(f"c{x}"), F.col("old").alias(f"old_{x}"), F.col("modified").alias(f"mod_{x}"))
