@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import search
-from cellweave.operators.tiles import FAR, KEY, Index, border, edge_weights, matrix_of, places
+from cellweave.operators.tiles import FAR, KEY, Index, border, branch, edge_weights, matrix_of, places
 from cellweave.session import INF, stored
 
 POINT = ["map_id", "query_id", "i"]
@@ -231,12 +231,12 @@ class Answer:
         self.index, self.viewpoints, self.levels = index, viewpoints, levels
 
     def refresh(self, index: Index) -> Answer:
-        """At a newer version of the index: only tiles rebuilt since, which include all their ancestors, are met again."""
+        """At a newer version of the index: only tiles rebuilt since and all their ancestors are met again."""
         if index.ver == self.index.ver:
             return self
         if index.height != self.index.height:
             return ask(index, self.viewpoints)
-        changed = index.rows.where(F.col("ver") > self.index.ver).select(*KEY).distinct()
+        changed = branch(index.rows.where(F.col("ver") > self.index.ver).select(*KEY), index.config.g, index.height)
         return Answer(index, self.viewpoints, _levels(index, self.viewpoints, self.levels, stored(changed, "changed")))
 
     def lifts(self) -> DataFrame:

@@ -10,6 +10,11 @@ A level is one grouped kernel over its children's S and P alone. Updates renew t
 to the root and append them under a new version: a summary that stays equal is no reason to stop, because a changed seam above
 may not show in it. A batch that only opens cells starts from the old distances and inserts the edges that became shorter;
 any other batch computes these tiles anew.
+
+A batch of a few openings climbs in one grouped kernel a root, over the touched leaves and their ancestors alone. Ways that
+became shorter pass an opened cell, so all that a tile hands its parent is one row of distances for each such cell; the parent
+lowers its old D by their sums. A branch ends where no entry of S became shorter and no port is new: a new port stays one on
+every level at whose border it lies, so a seam that is still to come keeps its branch alive.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ SCHEMA = pa.schema([("map_id", pa.string()), ("ver", pa.int64()), ("lvl", pa.int
 KEY = ["map_id", "lvl", "tx", "ty"]
 #: Versions after which the current rows are written anew, so that reading them stays one scan and a few anti joins.
 COMPACT = 16
+#: Openings of a batch that climbs in one kernel, at most.
+FEW = 256
 
 
 @dataclass(frozen=True)
@@ -294,6 +301,150 @@ def fits(children: DataFrame, config: Config, level: int) -> bool:
     return (most or 0) // 4 <= config.max_ports
 
 
+def branch(tiles: DataFrame, g: int, height: int) -> DataFrame:
+    """map_id, lvl, tx, ty of some tiles and all their ancestors, once each."""
+    up = tiles.select("map_id", "lvl", "tx", "ty", F.explode(F.sequence("lvl", F.lit(height))).alias("k"))
+    at = lambda x: F.floor(F.col(x) / F.pow(F.lit(g), F.col("k") - F.col("lvl"))).cast("int").alias(x)
+    return up.select("map_id", F.col("k").alias("lvl"), at("tx"), at("ty")).distinct()
+
+
+@dataclass
+class Change:
+    """What a tile hands its parent: its ports (places on its perimeter) with their weights, and for each cell that was opened
+    in it (a row) its place on the perimeter or -1, its distances X to the ports, and Y to the other opened cells.
+
+    Every way that became shorter passes one of these cells, so X and Y are all that a parent needs; alive: whether any
+    entry of S became shorter or any port is new.
+    """
+
+    own: np.ndarray
+    weight: np.ndarray
+    at: np.ndarray
+    X: np.ndarray
+    Y: np.ndarray
+    alive: bool
+
+
+def through(start: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Min-plus product of some rows with a matrix, at most FAR."""
+    out = np.full((len(start), dist.shape[1]), FAR, np.int32)
+    for k, row in enumerate(start):
+        on = np.flatnonzero(row < FAR)
+        if len(on):
+            np.minimum(out[k], (row[on, None] + dist[on]).min(axis=0), out=out[k])
+    return out
+
+
+def climb(cells: pa.Table, rows: pa.Table, config: Config, height: int, ver: int) -> pa.Table:
+    """The new rows of a root's touched leaves and of the ancestors that changed. cells: the passable ones of the touched leaves
+    (r, c, w, new); rows: of the touched leaves and their ancestors, and E and P of the ancestors' other children."""
+    if not cells.num_rows:
+        return SCHEMA.empty_table()
+    b, g, name = config.b, config.g, cells.column("map_id")[0].as_py()
+    keys = zip(*(rows.column(k).to_pylist() for k in ("lvl", "tx", "ty")))
+    old = {key: k for k, key in enumerate(keys)}
+    ints = lambda key, c: np.frombuffer(rows.column(c)[old[key]].as_buffer() or b"", "<i4") if key in old else np.zeros(0, np.int32)
+    square = lambda x: x.reshape(math.isqrt(len(x)), -1) if len(x) else np.zeros((0, 0), np.int32)
+    out, changes = [], {}
+    pr, pc = perimeter(b)
+    ports = pr * b + pc
+    tx, ty, r, c, w, new = (cells.column(k).to_numpy(zero_copy_only=False) for k in ("tx", "ty", "r", "c", "w", "new"))
+    for x, y in sorted(set(zip(tx.tolist(), ty.tolist()))):
+        mine = (tx == x) & (ty == y)
+        place = (r[mine] % b) * b + c[mine] % b
+        weight = np.zeros(b * b, np.int32)
+        weight[place] = w[mine]
+        opened, was = place[new[mine]], square(ints((0, x, y), "D"))
+        if len(was):
+            dist, ends = open_cells(was.copy(), weight.reshape(b, b), opened)
+        else:
+            dist, ends = leaf_distances(weight.reshape(b, b)), opened
+        own, before = np.flatnonzero(weight[ports]), ports[ints((0, x, y), "E")]
+        at = ports[own]
+        out.append(_row(name, ver, 0, x, y, len(ends), dist, dist[np.ix_(at, at)], weight[at], own, own[:0]))
+        alive = len(own) > len(before) or bool((dist[np.ix_(before, before)] < was[np.ix_(before, before)]).any())
+        changes[x, y] = Change(own, weight[at], places(ports, b * b)[opened], dist[np.ix_(opened, at)], dist[np.ix_(opened, opened)], alive)
+    for k in range(1, height + 1):
+        above: dict[tuple[int, int], Change] = {}
+        for x, y in sorted({(x // g, y // g) for (x, y), change in changes.items() if change.alive}):
+            kids = {q: (x * g + q // g, y * g + q % g) for q in range(g * g)}
+            near = {q: (ints((k - 1, *kid), "E"), ints((k - 1, *kid), "P")) for q, kid in kids.items() if kid not in changes}
+            row, above[x, y] = _carried({q: changes[kid] for q, kid in kids.items() if kid in changes}, near, square(ints((k, x, y), "D")), ints((k, x, y), "A"), config, k)
+            out.append(_row(name, ver, k, x, y, *row))
+        changes = above
+    return pa.concat_tables(out)
+
+
+def _carried(changed: dict[int, Change], near: dict[int, tuple], was: np.ndarray, had: np.ndarray, config: Config, level: int) -> tuple[tuple, Change]:
+    """A node after its children changed: pivots, D, S, P, E and A, and what it hands on. near: (E, P) of the other children."""
+    side, g = config.side(level - 1), config.g
+    geo, n = geometry(side, g), 4 * side - 4
+    weight = np.zeros(g * g * n, np.int32)
+    for q, (e, p) in near.items():
+        weight[q * n + e] = p
+    moving = [(q, c) for q, c in changed.items() if c.alive]
+    for q, c in changed.items():
+        weight[q * n + c.own] = c.weight
+    at = np.concatenate([np.where(c.at >= 0, q * n + c.at, -1) for q, c in moving])
+    fresh = np.unique(at[at >= 0])
+    cell = places_of(at, g * g * n)
+    spot = places(had, g * g * n)
+    m = len(at)
+    step, between = np.full((m, len(had)), FAR, np.int32), np.full((m, m), FAR, np.int32)
+    np.fill_diagonal(between, 0)
+    first = 0
+    for q, c in moving:
+        here = slice(first, first + len(c.at))
+        first += len(c.at)
+        to = spot[q * n + c.own]
+        step[here, to[to >= 0]] = c.X[:, to >= 0]
+        between[here, here] = c.Y
+    u, v = np.concatenate((geo["seams"], geo["seams"][:, ::-1])).T
+    on = (cell[u] >= 0) & (weight[u] > 0) & (weight[v] > 0)  # edges over seams from the opened cells
+    u, v = u[on], v[on]
+    cost = edge_weights(weight[u], weight[v])
+    known = spot[v] >= 0
+    np.minimum.at(step, (cell[u[known]], spot[v[known]]), cost[known])
+    np.minimum.at(between, (cell[u[~known]], cell[v[~known]]), cost[~known])
+    reach = np.minimum(step, through(step, was))
+    np.minimum(between, through(reach, step.T), out=between)
+    np.minimum(between, between.T, out=between)
+    relax(between, np.arange(m))
+    reach = through(between, reach)
+    active = np.union1d(had, fresh)
+    dist = np.full((len(active), len(active)), FAR, np.int32)
+    now = places(active, g * g * n)
+    old_at, new_at = now[had], now[fresh]
+    inner = was.copy()
+    for row in reach:
+        near_ = np.flatnonzero(row < FAR)
+        if len(near_):
+            some = np.ix_(near_, near_)
+            inner[some] = np.minimum(inner[some], row[near_, None] + row[None, near_])
+    dist[np.ix_(old_at, old_at)] = inner
+    which = cell[fresh]
+    dist[np.ix_(new_at, old_at)], dist[np.ix_(old_at, new_at)] = reach[which], reach[which].T
+    dist[np.ix_(new_at, new_at)] = between[np.ix_(which, which)]
+    own, mine = border(active, side, g)
+    s = dist[np.ix_(mine, mine)]
+    before, mine_old = border(had, side, g)
+    alive = len(own) > len(before) or bool((inner[np.ix_(mine_old, mine_old)] < was[np.ix_(mine_old, mine_old)]).any())
+    x = np.full((m, len(active)), FAR, np.int32)
+    x[:, old_at], x[:, new_at] = reach, between[:, which]
+    out = np.full(g * g * n, -1)
+    out[geo["ext"]] = np.arange(len(geo["ext"]))
+    change = Change(own, weight[active[mine]], np.where(at >= 0, out[at], -1), x[:, mine], between, alive)
+    return (m, dist, s, weight[active[mine]], own, active), change
+
+
+def places_of(at: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the row that has it, or -1; negative places are left out."""
+    out = np.full(n, -1)
+    on = np.flatnonzero(at >= 0)
+    out[at[on]] = on
+    return out
+
+
 class Index:
     """Versions of the leaf and node rows of some maps, and of their cells.
 
@@ -329,6 +480,9 @@ class Index:
     def update(self, updates: DataFrame) -> Index:
         """A new version after updates (map_id, r, c, seq, op, weight) in any mix of open, block and reweight."""
         config, ver = self.config, self.ver + 1
+        few = updates.select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int"), F.col("c").cast("int"), "op").limit(FEW + 1).collect()
+        if 0 < len(few) <= FEW and all(u["op"] == "open" for u in few) and self._narrow():
+            return self._climbed(sorted({(u["map_id"], u["r"], u["c"]) for u in few}), ver)
         cells = stored(update_cells(self.cells, updates), "cells")
         touched = updates.select(F.col("map_id").cast("string").alias("map_id"), F.floor(F.col("r") / config.b).cast("int").alias("tx"), F.floor(F.col("c") / config.b).cast("int").alias("ty")).distinct()
         opened = None
@@ -369,6 +523,42 @@ class Index:
             current = stored(current, f"current-{ver}")
         return Index(cells, rows, current, config, height, ver, self.whole and height == self.height)
 
+    def _narrow(self) -> bool:
+        """Whether no opening can make a node wider than max_ports."""
+        return self.height == 0 or self.config.g**2 * (4 * self.config.side(self.height - 1) - 4) <= self.config.max_ports
+
+    def _climbed(self, opened: list[tuple[str, int, int]], ver: int) -> Index:
+        """A new version after a few openings."""
+        spark, config, height, old = self.cells.sparkSession, self.config, self.height, self.at()
+        b, g = config.b, config.g
+        leaves = {(m, r // b, c // b) for m, r, c in opened}
+        keys = {}
+        for m, x, y in leaves:
+            keys[m, 0, x, y] = True
+            for k in range(1, height + 1):
+                x, y = x // g, y // g
+                keys[m, k, x, y] = True
+                for q in range(g * g):
+                    keys.setdefault((m, k - 1, x * g + q // g, y * g + q % g), False)
+        root = lambda x, k: x // g ** (height - k)
+        wanted = spark.createDataFrame([(*key, full, root(key[2], key[1]), root(key[3], key[1])) for key, full in keys.items()], "map_id string, lvl int, tx int, ty int, full boolean, rx int, ry int")
+        blob = lambda c: F.when(F.col("full"), F.col(c)).alias(c)
+        tiles = old.where(F.col("tx").isin(sorted({k[2] for k in keys})) & F.col("ty").isin(sorted({k[3] for k in keys}))).join(F.broadcast(wanted), KEY).select("map_id", "rx", "ry", "lvl", "tx", "ty", "full", blob("D"), blob("A"), "P", "E")
+        marks = spark.createDataFrame([(*p, True) for p in opened], "map_id string, r int, c int, mark boolean")
+        places = spark.createDataFrame([(m, x, y, root(x, 0), root(y, 0)) for m, x, y in leaves], "map_id string, tx int, ty int, rx int, ry int")
+        own = self.cells.select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "observed", "weight", F.floor(F.col("r") / b).cast("int").alias("tx"), F.floor(F.col("c") / b).cast("int").alias("ty"))
+        own = own.where(F.col("tx").isin(sorted({x for _, x, _ in leaves})) & F.col("ty").isin(sorted({y for *_, y in leaves})) & (F.col("weight") < INF))
+        near = own.join(F.broadcast(places), ["map_id", "tx", "ty"]).join(F.broadcast(marks), ["map_id", "r", "c"], "left").where("observed = 1 or mark")
+        near = near.select("map_id", "rx", "ry", "tx", "ty", "r", "c", F.greatest("weight", F.lit(1)).cast("int").alias("w"), (F.col("observed") != 1).alias("new"))
+        by = ["map_id", "rx", "ry"]
+        made = stored(near.groupBy(*by).cogroup(tiles.groupBy(*by)).applyInArrow(lambda cells, rows: climb(cells, rows, config, height, ver), DDL), f"version-{ver}")
+        updates = spark.createDataFrame([(m, r, c, 0, "open", None) for m, r, c in opened], "map_id string, r int, c int, seq long, op string, weight int")
+        cells = update_cells(self.cells, updates)
+        current = old.join(F.broadcast(made.select(*KEY)), KEY, "left_anti").unionByName(made).select(*(f.name for f in SCHEMA))
+        if ver % COMPACT == 0:
+            cells, current = stored(cells, f"cells-{ver}"), stored(current, f"current-{ver}")
+        return Index(cells, self.rows.union(made), current, config, height, ver, self.whole)
+
     @staticmethod
     def _closed(made: DataFrame, touched: DataFrame, lvl: int, ver: int) -> DataFrame:
         """The rows of touched tiles, with an empty one where nothing passable is left."""
@@ -401,9 +591,11 @@ class Index:
         return self.at().groupBy("map_id", "lvl").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("D") + F.octet_length("S")).alias("bytes"))
 
     def batch_stats(self) -> DataFrame:
-        """map_id, touched leaves, rebuilt ancestors and pivots of the newest version."""
-        mine = self.rows.where(F.col("ver") == self.ver)
-        return mine.groupBy("map_id").agg(F.count_if(F.col("lvl") == 0).alias("touched"), F.count_if(F.col("lvl") > 0).alias("ancestors"), F.coalesce(F.sum("pivots"), F.lit(0)).alias("pivots"))
+        """map_id, touched leaves, their ancestors and pivots of the newest version."""
+        mine = self.rows.where(F.col("ver") == self.ver).select(*KEY, "pivots")
+        up = branch(mine.select(*KEY), self.config.g, self.height).where("lvl > 0").groupBy("map_id").agg(F.count("*").alias("ancestors"))
+        out = mine.groupBy("map_id").agg(F.count_if(F.col("lvl") == 0).alias("touched"), F.coalesce(F.sum("pivots"), F.lit(0)).alias("pivots"))
+        return out.join(up, "map_id", "left").select("map_id", "touched", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), "pivots")
 
 
 def dense_bytes(size: int, b: int, g: int, width: int = 2) -> int:

@@ -92,6 +92,44 @@ def test_random_scripts(spark, seed, b, g):
         assert (m == m.T).all()
 
 
+@pytest.mark.parametrize(("seed", "b", "g"), [(4, 4, 2), (5, 3, 3)])
+def test_few_openings_climb_to_the_rows_of_a_build(spark, seed, b, g):
+    """Openings one by one and together, in tiles that had no passable cell too: every summary equals a new build's."""
+    draw = random.Random(seed)
+    rows, cols = 22, 25
+    states = [[1 if draw.random() < 0.45 and not (r < 8 and c < 8) else 2 for c in range(cols)] for r in range(rows)]
+    weights = [[draw.randint(1, 20) for _ in range(cols)] for _ in range(rows)]
+    points = [(draw.randrange(rows), draw.randrange(cols)) for _ in range(6)]
+    script = [[(draw.randrange(rows), draw.randrange(cols), "open", None) for _ in range(n)] for n in (1, 1, 9, 40)]
+    script[0].append((-1, 99, "open", None))  # outside the map
+    matrices = check(spark, states, points, tiles.Config(b=b, g=g), weights, [[u for u in batch if u[0] >= 0] for batch in script])
+    assert len(matrices) == 5
+    index = tiles.Index.build(table(spark, states, weights), tiles.Config(b=b, g=g))
+    for batch in script:
+        index = index.update(updates(spark, batch))
+        for r, c, *_ in batch:
+            if r >= 0:
+                states[r][c] = 1
+    new = tiles.Index.build(table(spark, states, weights), index.config)
+    key = lambda t: {(x["lvl"], x["tx"], x["ty"]): tuple(bytes(x[k]) for k in ("S", "P", "E", "A")) for x in t.at().collect()}
+    assert key(index) == key(new)
+    truth = {(x["lvl"], x["tx"], x["ty"]): tiles.matrix_of(x["D"]) for x in new.at().where("lvl > 0").collect()}
+    assert all((tiles.matrix_of(x["D"]) == truth[x["lvl"], x["tx"], x["ty"]]).all() for x in index.at().where("lvl > 0").collect())
+
+
+def test_a_branch_ends_where_nothing_changes(spark):
+    """A blind alley renews its leaf alone; readers of lifts still meet its ancestors."""
+    states = [[1] * 32 for _ in range(32)]
+    for r, c in ((3, 3), (2, 3), (4, 3), (3, 2)):
+        states[r][c] = 2
+    index = tiles.Index.build(table(spark, states), tiles.Config(b=8))
+    newer = index.update(updates(spark, [(3, 3, "open", None)]))
+    assert [(x["lvl"], x["tx"], x["ty"]) for x in newer.rows.where("ver = 1").collect()] == [(0, 0, 0)]
+    assert tuple(newer.batch_stats().first())[1:3] == (1, 2)
+    answer = query.ask(index, viewpoints(spark, [(3, 3), (30, 30)])).refresh(newer)
+    assert as_matrix(answer.matrix(), 2) == [[0, 54], [54, 0]]
+
+
 def test_a_map_that_no_root_can_hold(spark):
     """Open maps whose upper levels would have too many ports: paths through many tiles of the top level, before and after updates."""
     draw = random.Random(11)
