@@ -6,30 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellweave.operators import scans
 from cellweave.session import INF
 
 
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, min, max, mean and the linearly interpolated quartiles of a column, for each group."""
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), q.alias("q"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    out = _with(out, scans.quantiles(df, value, [0.25, 0.5, 0.75], [*by]), by)
     return out.select(*by, "n", "min", "max", "mean", *[F.col("q")[k].alias(name) for k, name in enumerate(("q1", "median", "q3"))])
 
 
 def median_p95(df: DataFrame, value: str, *by: str) -> DataFrame:
-    out = df.groupBy(*by).agg(F.percentile(value, [0.5, 0.95]).alias("q"))
+    out = _with(df.groupBy(*by).agg(F.lit(0).alias("none")), scans.quantiles(df, value, [0.5, 0.95], [*by]), by)
     return out.select(*by, F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
-def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """The upper of the two middle values where their number is even.
+def _with(groups: DataFrame, quantiles: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Groups with their quantiles, null for a group without values."""
+    if not by:
+        return groups.join(quantiles, F.lit(True), "left")  # one row each
+    other = quantiles.select(*(F.col(c).alias(f"q_{c}") for c in by), "q")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"q_{c}"))
+    return groups.join(other, same, "left").drop(*(f"q_{c}" for c in by))
+
 
-    Ranks are counted per group by windows over (group, value counts), so equal values are one row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    running = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
-    middle = F.floor(F.col("total") / 2)
-    return ranked.where((F.col("upto") > middle) & (F.col("upto") - F.col("n") <= middle)).select(*by, F.col(value).alias("upper_median"))
+def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """The upper of the two middle values where their number is even."""
+    kind = dict(df.dtypes)[value]
+    return scans.quantiles(df, value, [0.5], [*by], upper=True).select(*by, F.col("q")[0].cast(kind).alias("upper_median"))
 
 
 def compare_matrices(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
@@ -68,9 +75,11 @@ def moving_average(df: DataFrame, by: str, order: str, value: str, keep: float =
     """by, ema: the exponential average after the last value in order; it starts at the first.
 
     Each value counts with a power of `keep` by its place from the last, so a key's history is summed and never gathered."""
-    numbered = df.select(by, value, F.row_number().over(W.partitionBy(by).orderBy(F.desc(order))).alias("back"))
-    weight = F.pow(F.lit(keep), F.col("back") - 1)
-    first = F.max_by(F.struct(value, weight.alias("w")), "back")
+    numbered = scans.running(df.select(by, order, value), [by], [F.col(order).asc()], sums={"place": F.lit(1)})
+    size = numbered.groupBy(F.col(by).alias("whose")).agg(F.max("place").alias("size"))
+    numbered = numbered.join(size, F.col(by).eqNullSafe(F.col("whose")))
+    weight = F.pow(F.lit(keep), F.col("size") - F.col("place"))
+    first = F.min_by(F.struct(value, weight.alias("w")), "place")
     return numbered.groupBy(by).agg((F.sum((1 - keep) * weight * F.col(value)) + keep * first[value] * first["w"]).alias("ema"))
 
 
@@ -81,13 +90,18 @@ def idle_decay(rate: Column, idle_ticks: Column, patience: int = 40, factor: flo
 
 def distance_travelled(track: DataFrame, by: str, order: str, jump: float = 1.5) -> DataFrame:
     """by, distance: the lengths of steps between positions (x, y) in order, leaving out steps of `jump` and more."""
-    w = W.partitionBy(by).orderBy(order)
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    return track.withColumn("step", step).groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("step") < jump, F.col("step"))), F.lit(0.0)).alias("distance"))
+    step = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
+    return _moves(track, by, order).withColumn("step", step).groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("step") < jump, F.col("step"))), F.lit(0.0)).alias("distance"))
+
+
+def _moves(track: DataFrame, by: str, order: str) -> DataFrame:
+    """Positions with the one before, x0 and y0."""
+    return scans.running(track.select(by, order, "x", "y"), [by], [F.col(order).asc()], before={"x0": F.col("x"), "y0": F.col("y")})
 
 
 def lag_profile(df: DataFrame, lag: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(lag, 0.95).alias("p95"), F.max(lag).alias("max"), F.avg((F.col(lag) > 0).cast("double")).alias("busy"))
+    out = df.groupBy(*by).agg(F.max(lag).alias("max"), F.avg((F.col(lag) > 0).cast("double")).alias("busy"))
+    return _with(out, scans.quantiles(df, lag, [0.95], [*by]), by).select(*by, F.col("q")[0].alias("p95"), "max", "busy")
 
 
 def break_even(build: DataFrame, query: DataFrame) -> DataFrame:
@@ -99,10 +113,9 @@ def break_even(build: DataFrame, query: DataFrame) -> DataFrame:
 
 def stuck_runs(track: DataFrame, by: str, order: str, least: int, moved: float = 1e-3) -> DataFrame:
     """by, first, last, ticks: runs of at least `least` positions in a row without a move."""
-    w = W.partitionBy(by).orderBy(order)
-    still = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) < moved, F.lit(False))
-    run = F.sum(F.when(F.col("still"), 0).otherwise(1)).over(w)
-    runs = track.withColumn("still", still).withColumn("run", run).groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("ticks"))
+    still = F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) < moved, F.lit(False))
+    told = _moves(track, by, order).select(by, order, still.alias("still"))
+    runs = scans.running(told, [by], [F.col(order).asc()], sums={"run": F.when(F.col("still"), 0).otherwise(1)}).groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("ticks"))
     return runs.where(F.col("ticks") >= least).drop("run")
 
 

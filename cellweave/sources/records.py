@@ -11,9 +11,10 @@ import subprocess
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellweave.operators import scans
+
 #: The columns of the result and telemetry tables, in order.
 RESULTS = {
     "query_vs_k": """
@@ -189,9 +190,9 @@ def scrape_logs(lines: DataFrame) -> DataFrame:
     """
     number = lambda pattern: F.regexp_extract("line", pattern, 1).try_cast("long")
     name = F.when(F.col("line").rlike(r"^=== .* ===$"), F.regexp_extract("line", r"^=== (.*) ===$", 1))
-    suite = F.last(name, ignorenulls=True).over(W.partitionBy("log").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    lines = scans.running(lines.select("log", "n", "line"), ["log"], [F.col("n").asc()], lasts={"suite": name})
     checks = number(r"verifications=(\d+)")
-    marked = lines.select("log", suite.alias("suite"), F.coalesce(number(r"Queries: (\d+)"), checks).alias("q"), F.coalesce(number(r"Matches: (\d+)"), checks).alias("m"), number(r"MaxDiff: (\d+)").alias("d"))
+    marked = lines.select("log", "suite", F.coalesce(number(r"Queries: (\d+)"), checks).alias("q"), F.coalesce(number(r"Matches: (\d+)"), checks).alias("m"), number(r"MaxDiff: (\d+)").alias("d"))
     return marked.where("suite is not null").groupBy("log", "suite").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("entries"), F.coalesce(F.sum("m"), F.lit(0)).alias("matches"), F.coalesce(F.max("d"), F.lit(0)).alias("max_diff"))
 
 
