@@ -14,7 +14,7 @@ from cellweave.plans.scalars import UPDATED, cells, updates
 from cellweave.session import shared_dir
 from cellweave.sources import derived
 from cellweave.sources.sql import CELLS, EXPLORED, FOUR, distances, viewpoints
-from cellweave.streaming import mission, recovery
+from cellweave.streaming import mission, recovery, timers, versions
 
 ROBOTS = 4
 
@@ -182,6 +182,26 @@ def paired_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("speedup", F.round("speedup", 9))
 
 
+@query("""with a as (select event_id as job_id, value as us, ts as at from events where event_id % 2 = 0), b as (select event_id as job_id, value * 3 + 1 as us, ts + interval 1 second * (event_id % 90) as at from events where event_id % 3 = 0)
+  select job_id, a.us as index_us, b.us as search_us, round(case when a.us > 0 then b.us / a.us end, 9) as speedup from a join b using (job_id) where b.at between a.at and a.at + interval 60 second""")
+def paired_latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams of measurements, of which the second comes up to 89 seconds later: pairs within a minute, by a join whose
+    state is dropped as the watermarks pass."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder, out = shared_dir(spark, "measured"), shared_dir(spark, "pairs")
+    own = e.where("event_id % 2 = 0").select(F.col("event_id").alias("job_id"), F.col("value").alias("us"), F.col("ts").cast("timestamp").alias("at"))
+    base = e.where("event_id % 3 = 0").select(F.col("event_id").alias("job_id"), (F.col("value") * 3 + 1).alias("us"), (F.col("ts").cast("timestamp") + F.make_interval(secs=F.col("event_id") % 90)).alias("at"))
+    for name, table in (("own", own), ("base", base)):
+        table.repartitionByRange(4, "at").sortWithinPartitions("at").write.parquet(f"{folder}/{name}")
+    read = lambda name: spark.readStream.schema("job_id long, us double, at timestamp").parquet(f"{folder}/{name}")
+    stream = mission.paired_stream(read("own"), read("base")).writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "stream")).outputMode("append").start(out)
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(out).select("job_id", "index_us", "search_us", F.round("speedup", 9).alias("speedup"))
+
+
 @query("""with t as (select event_id // 100 as tick, count(*) as n from events group by 1), a as (select tick, tick - tick % 4 as upto from t)
   select a.tick, cast(coalesce(sum(t.n), 0) as bigint) as pending, any_value(a.tick - a.upto) as lag from a left join t on t.tick <= a.tick and t.tick > a.upto group by a.tick""")
 def lag_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,34 +213,35 @@ def lag_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_matrix(True, UPDATED, "updated"))
 def streamed_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates as a stream of files, each batch a version of the index; the matrix at the last."""
+    """Updates as a stream of files, each batch a version in a log; the writer is stopped between them, and another goes on."""
     own, points = _points(spark, sf_dir)
-    folder = shared_dir(spark, "updates")
+    folder, checkpoint = shared_dir(spark, "updates"), shared_dir(spark, "stream")
+    log = versions.VersionLog(spark, shared_dir(spark, "versions"))
     batch = updates(spark, sf_dir)
     half = batch.agg(F.max("seq")).first()[0] // 2
     for part in (batch.where(F.col("seq") <= half), batch.where(F.col("seq") > half)):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    writer = mission.IndexWriter(tiles.Index.build(own, tiles.Config(b=16)))
-    stream = writer.follow(mission.update_stream(spark, folder), shared_dir(spark, "stream"))
-    try:
-        stream.processAllAvailable()
-    finally:
-        stream.stop()
-    return lifted.matrix(writer.front, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
+        part.write.mode("append").parquet(folder)
+        start = tiles.Index.build(own, tiles.Config(b=16)) if log.manifest() is None else None
+        stream = versions.LoggedWriter(log, start).follow(mission.update_stream(spark, folder, 1000), checkpoint)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+    return lifted.matrix(log.index(), points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
 
 
 @query(_matrix(True, UPDATED, "updated"))
 def queued_index_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches offered while a third is being applied: they wait, and make one version together."""
+    """Three batches offered to a writer that applies them on a thread of its own; what waits goes into one version."""
     own, points = _points(spark, sf_dir)
-    writer = mission.QueuedWriter(tiles.Index.build(own, tiles.Config(b=16)))
+    log = versions.VersionLog(spark, shared_dir(spark, "versions"))
+    writer = versions.AsyncWriter(log, tiles.Index.build(own, tiles.Config(b=16)))
     batch = updates(spark, sf_dir)
-    writer.busy = True
+    last = batch.agg(F.max("seq")).first()[0] + 1
     for epoch in range(3):
-        writer(batch.where(F.col("seq") % 3 == epoch), epoch)
-    writer.busy = False
-    writer.flush()
-    return lifted.matrix(writer.front, points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
+        writer(batch.where(F.floor(F.col("seq") * 3 / last) == epoch), epoch)
+    writer.close()
+    return lifted.matrix(log.index(), points.withColumn("query_id", F.lit("q"))).select("i", "j", "d")
 
 
 @query("""with e as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as was from events),
@@ -239,3 +260,25 @@ def goal_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         stream.stop()
     return spark.read.parquet(out)
+
+
+@query("""with e as (select cast(user_id as int) as robot_id, event_id as tick, event_type as goal, lag(event_type) over (partition by user_id order by event_id) as was, lead(event_id) over (partition by user_id order by event_id) as next from events),
+  g as (select *, count(*) filter (was is null or was <> goal) over (partition by robot_id order by tick rows unbounded preceding) as run from e),
+  r as (select robot_id, any_value(goal) as goal, min(tick) as since, max(tick) as seen from g group by robot_id, run), n as (select *, lead(since) over (partition by robot_id order by since) as dropped from r),
+  now as (select max(tick) as t from e)
+  select robot_id, goal, since, since + 50 as until from n, now where since + 50 <= coalesce(dropped - 1, t)""")
+def expired_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as goals of users: those that run out before another is chosen, told by timers, without a new row of theirs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    goals = e.select(F.col("user_id").cast("int").alias("robot_id"), F.col("event_id").alias("tick"), F.col("event_type").alias("goal"))
+    folder, out = shared_dir(spark, "goals"), shared_dir(spark, "expired")
+    goals.repartitionByRange(4, "tick").sortWithinPartitions("tick").write.parquet(folder)
+    last = goals.agg(F.max("tick")).first()[0]
+    stream = timers.expiries(spark.readStream.schema(goals.schema).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "stream")).outputMode("append").start(out)
+    try:
+        stream.processAllAvailable()
+        goals.limit(1).select(F.lit(-1).alias("robot_id"), F.lit(last + timers.LATE).cast("long").alias("tick"), F.lit(None).cast("string").alias("goal")).write.mode("append").parquet(folder)  # the clock goes on
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(out)
