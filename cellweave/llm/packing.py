@@ -8,6 +8,8 @@ Every task packs the rows of its own input partition, so nothing is shuffled, an
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,17 +27,19 @@ PER_TASK = 1 << 32
 
 
 class SumOfSquares:
-    """Packs pieces online. Windows are lists of (doc_id, start, doc_tokens, ids)."""
+    """Packs pieces online. A window is a list of pieces (doc_id, start, doc_tokens, length, crc); the ids of open ones lie in a
+    scratch file of this task, a slot each, so that memory holds none and there may be any number of them."""
 
-    def __init__(self, window: int, max_open: int):
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int):
+        self.window = window
         self.level = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[list]] = {}
-        self.n_open = 0
+        self.open: dict[int, list[tuple[int, list]]] = {}
+        self.scratch, self.free, self.slots = tempfile.TemporaryFile(), [], 0
 
-    def place(self, piece: tuple) -> list | None:
+    def place(self, doc_id, start: int, total: int, ids: np.ndarray) -> list | None:
         """Add a piece; returns the window that it filled."""
-        s = len(piece[3])
+        s = len(ids)
+        piece = (doc_id, start, total, s, zlib.crc32(ids.tobytes()))
         if s == self.window:
             return [piece]
         n = self.level
@@ -45,57 +49,58 @@ class SumOfSquares:
         cost = np.where(fits > 0, cost, np.iinfo(np.int64).max)
         best = len(cost) - 1 - int(np.argmin(cost[::-1]))  # ties: the fullest window
         if cost[best] > 2 * n[s] + 1:
-            held, full = [piece], s
-            self.n_open += 1
+            slot, held, full = self.free.pop() if self.free else self.slots, [], 0
+            self.slots = max(self.slots, slot + 1)
         else:
-            h = best + 1
-            held, full = self.open[h].pop(), h + s
-            n[h] -= 1
-            held.append(piece)
-        if full == self.window:
-            self.n_open -= 1
+            full = best + 1
+            slot, held = self.open[full].pop()
+            n[full] -= 1
+        held.append(piece)
+        if full + s == self.window:
+            self.free.append(slot)
             return held
-        self.open.setdefault(full, []).append(held)
-        n[full] += 1
+        os.pwrite(self.scratch.fileno(), ids.astype("<u4").tobytes(), 4 * (slot * self.window + full))
+        self.open.setdefault(full + s, []).append((slot, held))
+        n[full + s] += 1
         return None
 
     def drain(self) -> Iterator[list]:
         """Close the open windows: their pieces in turn, cut where a window is full, so that one window at most stays partly filled."""
         held, room = [], self.window
         for full in sorted(self.open, reverse=True):
-            for window in self.open[full]:
-                for doc_id, start, total, ids in window:
-                    while len(ids):
-                        held.append((doc_id, start, total, ids[:room]))
-                        start, ids = start + len(held[-1][3]), ids[room:]
-                        room -= len(held[-1][3])
+            for slot, window in self.open[full]:
+                ids = np.frombuffer(os.pread(self.scratch.fileno(), 4 * full, 4 * slot * self.window), "<u4")
+                for doc_id, start, total, length, _ in window:
+                    own, ids = ids[:length], ids[length:]
+                    while len(own):
+                        part = own[:room]
+                        held.append((doc_id, start, total, len(part), zlib.crc32(part.tobytes())))
+                        start, own, room = start + len(part), own[room:], room - len(part)
                         if not room:
                             yield held
                             held, room = [], self.window
         if held:
             yield held
-        self.__init__(self.window, self.max_open)
+        self.scratch.close()
 
 
-def pack_documents(docs: Iterable[tuple], window: int, max_open: int) -> Iterator[list]:
-    """(doc_id, ids) in order -> windows as lists of (doc_id, start, doc_tokens, ids)."""
-    packer = SumOfSquares(window, max_open)
+def pack_documents(docs: Iterable[tuple], window: int) -> Iterator[list]:
+    """(doc_id, ids) in order -> windows as lists of (doc_id, start, doc_tokens, length, crc)."""
+    packer = SumOfSquares(window)
     for doc_id, ids in docs:
         for start in range(0, len(ids), window):
-            if done := packer.place((doc_id, start, len(ids), ids[start : start + window])):
+            if done := packer.place(doc_id, start, len(ids), ids[start : start + window]):
                 yield done
-        if packer.n_open >= packer.max_open:
-            yield from packer.drain()
     yield from packer.drain()
 
 
-def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, window: int = 2048, max_open: int = 4096) -> DataFrame:
+def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, window: int = 2048) -> DataFrame:
     """Pieces of documents with their place in a sequence of at most `window` tokens.
 
     A null or empty text is the closing id alone. Rows are packed as they are, so repeated rows are packed again, ties keep
     the input's order, and a null doc_id stays null. Texts longer than a window fill whole windows and their rest is
-    packed. Other columns are not read. An empty table gives no rows. `max_open` bounds a task's memory: at that many open
-    windows they are closed by cutting their pieces, as at the end of a task; no token is lost.
+    packed. Other columns are not read. An empty table gives no rows. Windows that are open at the end of a task are closed by
+    cutting their pieces; no token is lost.
     """
     path = vocabulary or tokens.vocabulary("byte_bpe_50k.tiktoken")
 
@@ -105,11 +110,11 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab
         sequence = TaskContext.get().partitionId() * PER_TASK
         docs = ((d, tokens.token_ids(t, path, end_id)) for b in batches for d, t in zip(*(c.to_pylist() for c in b.columns)))
         rows: list[tuple] = []
-        for windowed in pack_documents(docs, window, max_open):
+        for windowed in pack_documents(docs, window):
             offset = 0
-            for doc_id, start, total, ids in windowed:
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset))
-                offset += len(ids)
+            for doc_id, start, total, length, crc in windowed:
+                rows.append((doc_id, start, length, crc, total, sequence, offset))
+                offset += length
             sequence += 1
             if len(rows) >= 4096:
                 yield common.record_batch(rows, schema)

@@ -8,12 +8,14 @@ member of its own ring and a query of each ring within the radius. A task builds
 prunes branches by the triangle inequality, and returns a spanning forest of the exact pairs instead of all of them.
 Equal fingerprints are merged before anything is shuffled, so a group of copies is one row in its shards.
 
-Sixty-four bits tell similar texts from others up to a radius of about 8. For a similarity of shingles, wider links are
-confirmed by LONG more words of fingerprint (see `similarity` below).
+Sixty-four bits tell similar texts from others up to a radius of about 8. Where a similarity of shingles is asked for, links
+are wider: then the first partition is by minimum hashes of the shingles, of which similar texts share some, and the links
+that the trees find in its shards are confirmed by LONG more words of fingerprint.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -37,9 +39,11 @@ SHARD_POINTS = 1 << 15
 #: Times that a shard can be split by rings; points that all lie at the same distances can't be.
 MOST_SPLITS = 4
 #: Words of 64 bits by which a fingerprint is longer where a similarity is asked for.
-LONG = 3
+LONG = 15
 #: Standard deviations of a long fingerprint's distance by which the bound for a similarity is wider.
-SLACK = 1.5
+SLACK = 2.5
+#: Chance that texts just as similar as asked for share no shard.
+MISSED = 1e-6
 
 #: byte -> its bits as eight one-byte counters
 _SPREAD = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).view(np.uint64).ravel()
@@ -65,9 +69,8 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return majority(hashes) if len(hashes) else 0
 
 
-def long_fingerprint(text: bytes, width: int) -> bytes:
+def long_fingerprint(hashes: np.ndarray) -> bytes:
     """The SimHash and LONG more words, of the shingles' hashes mixed with the number of the word."""
-    hashes = shingle_hashes(text, width)
     words = [majority(common.mix(hashes + np.uint64(k)) if k else hashes) if len(hashes) else 0 for k in range(LONG + 1)]
     return np.array(words, "<u8").tobytes()
 
@@ -167,19 +170,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, long: bool = False) -> DataFrame:
-    """doc_id, the fingerprint as a signed long `fp`, and `key`: the same, or all bytes of the long fingerprint."""
-    ddl = f"doc_id long, fp long, key {'binary' if long else 'long'}"
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, ways: int = 0) -> DataFrame:
+    """doc_id, the fingerprint as a signed long `fp`, and `key`: the same.
+
+    ways: of a similarity, the number of minimum hashes; then key is a digest of `words`, the bytes of the long fingerprint,
+    and `minima` has the hashes, none for a text without words.
+    """
+    ddl = "doc_id long, fp long, key binary, words binary, minima array<long>" if ways else "doc_id long, fp long, key long"
     schema = common.arrow_schema(ddl)
+    seeds = common.mix(np.arange(1, ways + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.by_bytes(batches):
-            if long:
-                keys = [long_fingerprint(t, width) for t in texts]
-                fps = [int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            if ways:
+                rows = []
+                for doc, t in zip(ids, texts):
+                    hashes = shingle_hashes(t, width)
+                    words = long_fingerprint(hashes)
+                    minima = [int(common.mix(hashes ^ s).min().view(np.int64)) for s in seeds] if len(hashes) else []
+                    rows.append((doc, int.from_bytes(words[:8], "little", signed=True), hashlib.blake2b(words, digest_size=16).digest(), words, minima))
+                yield common.record_batch(rows, schema)
             else:
-                keys = fps = [_signed(fingerprint(t, width)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, schema.field("key").type)], schema=schema)
+                fps = [_signed(fingerprint(t, width)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(fps, pa.int64())], schema=schema)
 
     slim = common.short_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return slim.mapInArrow(run, ddl)
@@ -192,9 +205,13 @@ def _agree(radius: int, n: int) -> int:
 
 def links(distinct: DataFrame, radius: int, n: int, bound: int = 0) -> DataFrame:
     """Edges (a, b) between keys: a forest over distinct fingerprints (fp, key) that spans every pair that is linked."""
-    masks = _masks(radius, _agree(radius, n))
-    shards = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
-    placed = distinct.select("fp", "key", F.explode(shards).alias("s")).select("s.part", "s.value", F.lit(0).cast("long").alias("ring"), F.lit(True).alias("member"), "fp", "key")
+    first = [F.lit(0).cast("long").alias("ring"), F.lit(True).alias("member")]
+    if bound:
+        placed = distinct.select("fp", "key", "words", F.posexplode("minima").alias("part", "value")).select("part", "value", *first, "fp", "key", "words")
+    else:
+        masks = _masks(radius, _agree(radius, n))
+        shards = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
+        placed = distinct.select("fp", "key", F.explode(shards).alias("s")).select("s.part", "s.value", *first, "fp", "key")
     placed = _split(placed, radius)
     kind = dict(distinct.dtypes)["key"].replace("bigint", "long")
     ddl = f"a {kind}, b {kind}"
@@ -213,7 +230,7 @@ def links(distinct: DataFrame, radius: int, n: int, bound: int = 0) -> DataFrame
             if hi - lo > 1:
                 here = order[lo:hi]
                 own = key.take(pa.array(here))
-                words = np.frombuffer(b"".join(own.to_pylist()), "<u8").reshape(-1, LONG + 1)[:, 1:] if bound else None
+                words = np.frombuffer(b"".join(table.column("words").take(pa.array(here)).to_pylist()), "<u8").reshape(-1, LONG + 1)[:, 1:] if bound else None
                 a, b = forest(fp[here].view(np.uint64), radius, np.flatnonzero(member[here]), words, bound)
                 if len(a):
                     yield from pa.Table.from_arrays([own.take(pa.array(x)).cast(f.type) for x, f in zip((a, b), schema)], schema=schema).to_batches()
@@ -239,7 +256,7 @@ def _split(placed: DataFrame, radius: int) -> DataFrame:
         rings = counts.select(*shard, "d", F.floor(before / SHARD_POINTS).alias("ring_no")).groupBy(*shard, "ring_no").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
         own = F.col("d").between(F.col("lo"), F.col("hi"))
         split = far.join(rings, list(shard)).where((F.col("d") >= F.col("lo") - radius) & (F.col("d") <= F.col("hi") + radius))
-        split = split.select("part", "value", F.xxhash64("ring", "ring_no").alias("ring"), (F.col("member") & own).alias("member"), "fp", "key")
+        split = split.select("part", "value", F.xxhash64("ring", "ring_no").alias("ring"), (F.col("member") & own).alias("member"), *placed.columns[4:])
         placed = common.store(placed.join(large, list(shard), "left_anti").select(*split.columns).union(split), "rings")
     return placed
 
@@ -257,15 +274,18 @@ def bits_apart(similarity: float, bits: int) -> int:
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
-    Fingerprints link at `radius` differing bits or fewer. similarity: of these links only those stay whose long fingerprints
-    (256 bits) differ in at most bits_apart(similarity). A null or empty text has fingerprint zero and is linked like any
+    Fingerprints link at `radius` differing bits or fewer. similarity (under 1): of these links only those stay whose long
+    fingerprints (1024 bits) differ in at most bits_apart(similarity), and that share a minimum hash, which texts of that
+    similarity fail to do with a chance of MISSED. A null or empty text has fingerprint zero and is linked like any
     other. Repeated rows come back as often as they went in; a row with a null doc_id keeps its null and takes the component
     of the others with its fingerprint (null if there are none). Other columns are not read. An empty table gives no rows.
     """
     bound = bits_apart(similarity, 64 * (LONG + 1)) if similarity else 0
-    prints = common.store(fingerprints(df, id_col, text_col, width, bool(bound)), "fingerprints")
-    distinct = common.store(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = common.store(links(distinct.select("fp", "key"), radius, distinct.count(), bound), "links")
+    ways = math.ceil(round(math.log(MISSED) / math.log(1 - similarity), 9)) if similarity else 0
+    prints = common.store(fingerprints(df, id_col, text_col, width, ways), "fingerprints")
+    kept = [F.first(c).alias(c) for c in ("words", "minima") if ways]
+    distinct = common.store(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("rep"), *kept), "distinct")
+    edges = common.store(links(distinct.drop("rep"), radius, distinct.count(), bound), "links")
     member = connected(edges)
     linked = member.join(distinct.withColumnRenamed("key", "node"), "node")
     lowest = linked.groupBy("component").agg(F.min("rep").alias("low"))
@@ -278,11 +298,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
 
 
-def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 12, similarity: float | None = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 20, similarity: float | None = 0.8) -> DataFrame:
     """The rows of df, with all their columns, without those that share a component with a smaller doc_id.
 
-    By default texts of which five-word shingles are similar to 0.8 are near copies: fingerprints within 12 bits, which nine of
-    ten such texts are even at 0.8, and confirmed by the long fingerprints. Rows with equal ids are one document and stay or
+    By default texts of which five-word shingles are similar to 0.8 are near copies: fingerprints within 20 bits, and confirmed
+    by the long ones. Of texts of just that similarity 99 in 100 are so near. Rows with equal ids are one document and stay or
     go together; rows with a null id can't be chosen among and stay.
     """
     found = near_duplicates(df, id_col=id_col, text_col=text_col, width=width, radius=radius, similarity=similarity)

@@ -320,7 +320,21 @@ def _window_names(block: Block, is_open: np.ndarray) -> tuple[np.ndarray, np.nda
     return name[new], tail[new]
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte", size: int | None = None, first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def unhalved(piece: bytes, cut_before: bool, cut_after: bool) -> bytes:
+    """A piece of UTF-8 without the bytes of characters that cuts at its ends halved."""
+    lo, hi = 0, len(piece)
+    while cut_before and lo < hi and piece[lo] & 0xC0 == 0x80:
+        lo += 1
+    if cut_after:
+        lead = hi - 1
+        while lead >= lo and piece[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= lo and piece[lead] >= 0xC0 and hi - lead < (2 if piece[lead] < 0xE0 else 3 if piece[lead] < 0xF0 else 4):
+            hi = lead
+    return piece[lo:hi]
+
+
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte", size: int | None = None, first: bool = False, carry: tuple[str, ...] = (), whole_chars: bool = False) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes left) and removed (an array of [first, end) byte spans, one after the other).
 
     Texts are UTF-8 bytes, a null text is empty. With unit `byte`, a byte is removed if a string of `size` bytes (400) around
@@ -330,7 +344,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     document stay. Strings are judged on the input and never cross texts, so shorter texts keep all.
     Repeated rows are texts of their own, so both lose what they share (first: rows with equal ids are one document, and a
     null id is later than any other); a null doc_id stays null; other columns are not read, or those named in `carry` come
-    back in the struct `rest`; an empty table gives no rows.
+    back in the struct `rest`; an empty table gives no rows. whole_chars: bytes of UTF-8 characters that a cut halved go from
+    `kept` too.
     """
     size, gram = size or SIZE[unit], GRAM[unit]
     if size < gram + 8:
@@ -450,7 +465,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for lo, hi in spans:
                 kept.append(t[at:lo])
                 at = hi
-            rows.append((i, len(t), b"".join([*kept, t[at:]]), [x for s in spans for x in s]))
+            kept.append(t[at:])
+            if whole_chars:
+                last = len(kept) - 1
+                kept = [unhalved(x, j > 0, j < last) for j, x in enumerate(kept)]
+            rows.append((i, len(t), b"".join(kept), [x for s in spans for x in s]))
         out = pa.Table.from_batches([common.record_batch(rows, schema)])
         return out.append_column("rest", docs.column("rest")) if carry else out
 
@@ -462,11 +481,12 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte", size: int | None = None, first: bool = False) -> DataFrame:
     """df with the texts that remove_repeats leaves.
 
-    Characters that a cut halves go, and so do rows of which nothing but white space is left.
+    What is left of a character that a cut halved goes; all else stays as it is, U+FFFD of the input too. So do rows go of
+    which nothing but white space is left.
     """
     rest = tuple(c for c in df.columns if c != text_col)
-    left = remove_repeats(df, id_col=id_col, text_col=text_col, unit=unit, size=size, first=first, carry=rest)
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
+    left = remove_repeats(df, id_col=id_col, text_col=text_col, unit=unit, size=size, first=first, carry=rest, whole_chars=unit == "byte")
+    whole = F.col("kept").cast("string")
     out = left.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), whole.alias(text_col)).where(F.col(text_col).rlike("\\S"))
     return out.select(*df.columns)
 

@@ -223,10 +223,39 @@ def test_near_copies_go_and_others_stay(spark):
 
 def test_similar_components_are_the_plain_ones(spark):
     docs = [(k, plain.prose(k % 12, 150) if k < 12 else edited(k, plain.prose(k % 12, 150).split(), 0.005 * (k // 12))) for k in range(60)] + [(90, None), (91, "")]
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(small(spark, docs), width=5, radius=12, similarity=0.8).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(small(spark, docs), width=5, radius=20, similarity=0.8).collect()}
     fps = {i: plain.fingerprint(t, 5) for i, t in docs}
     more = {i: [plain.fingerprint(t, 5, k) for k in range(1, simhash.LONG + 1)] for i, t in docs}
-    assert got == plain.components(fps, 12, more, simhash.bits_apart(0.8, 256))
+    assert got == plain.components(fps, 20, more, simhash.bits_apart(0.8, 1024))
+
+
+def test_recall_of_similar_pairs(spark):
+    """Of all pairs of different texts with a five-word Jaccard similarity of 0.8 or more in the documents, 98 % are linked."""
+    docs = [(x["doc_id"], x["text"]) for x in common.documents(spark, plain.SF.replace("0.001", "0.01")).collect()]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(common.documents(spark, plain.SF.replace("0.001", "0.01")), width=5, radius=20, similarity=0.8).collect()}
+    sets, having = {}, {}
+    for i, t in docs:
+        sets[i] = frozenset(plain.shingles(t, 5))
+        for s in sets[i]:
+            having.setdefault(s, []).append(i)
+    pairs = {(a, b) for ids in having.values() if len(ids) < 200 for a in ids for b in ids if a < b}
+    alike = [(a, b) for a, b in pairs if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 5 and sum(got[a] == got[b] for a, b in alike) >= 0.98 * len(alike)
+    together = {}
+    for i, c in got.items():
+        together.setdefault(c, []).append(i)
+    for c, ids in together.items():  # and nothing else is merged: some member is similar to 0.6 at least
+        assert all(i == c or any(j != i and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) for j in ids) for i in ids)
+
+
+def test_the_input_keeps_its_replacement_characters(spark):
+    """Only what a cut leaves of a character goes."""
+    shared = "é" * 250
+    texts = ["plain \ufffd text without any repeat " * 3, "é" + shared + "\ufffdx", "ab" + shared + "y"]
+    got = {x["doc_id"]: x["text"] for x in suffixes.without_repeats(small(spark, list(enumerate(texts))), size=400).collect()}
+    assert got[0] == texts[0] and "\ufffdx" in got[1] and got[2] == "aby"
+    assert suffixes.unhalved(b"\xa9abc\xc3", True, True) == b"abc" and suffixes.unhalved("é\ufffd".encode(), True, True) == "é\ufffd".encode()
+    assert suffixes.unhalved(b"x\xf0\x9f\x98", False, True) == b"x" and suffixes.unhalved(b"\x9f\x98", True, True) == b""
 
 
 def test_every_close_pair_shares_a_shard():
