@@ -5,13 +5,16 @@ The greedy rules depend on order, so a plan is one kernel; plans are independent
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators import raster, sampling
-from cellweave.session import INF
+from cellweave.operators.neighbourhood import scatter
+from cellweave.session import INF, stored
 
 #: What a leg without a path counts while tours are compared.
 NO_PATH = 1_000_000
@@ -146,16 +149,57 @@ def adopt(robots: DataFrame, tours: DataFrame, near_goal: DataFrame, patience: i
 def fallback_goals(robots: DataFrame, viewpoints: DataFrame, cells: DataFrame, apart: int = 6) -> DataFrame:
     """map_id, robot_id, i, r, c: for each robot (r, c, goal_r, goal_c) the viewpoint to go to: in its own component, those not
     within `apart` of another robot's goal first, then the nearest by squared distance, then the first."""
-    comp = raster.components(cells, "observed").select("map_id", "r", "c", "comp")
-    at = robots.select("map_id", "robot_id", "r", "c").join(comp, ["map_id", "r", "c"]).withColumnRenamed("r", "rr").withColumnRenamed("c", "rc")
-    to = viewpoints.select("map_id", "i", "r", "c").join(comp, ["map_id", "r", "c"])
-    goals = robots.where("goal_r is not null").select("map_id", F.col("robot_id").alias("other"), "goal_r", "goal_c")
-    close = viewpoints.select("map_id", "i", "r", "c").join(goals, "map_id").where((F.abs(F.col("r") - F.col("goal_r")) <= apart) & (F.abs(F.col("c") - F.col("goal_c")) <= apart))
-    taken = close.groupBy("map_id", "i").agg(F.collect_set("other").alias("by"))
-    met = at.join(to, ["map_id", "comp"]).join(taken, ["map_id", "i"], "left")
-    shared = F.size(F.array_except(F.coalesce("by", F.array().cast("array<int>")), F.array("robot_id"))) > 0
-    d2 = (F.col("r") - F.col("rr")) * (F.col("r") - F.col("rr")) + (F.col("c") - F.col("rc")) * (F.col("c") - F.col("rc"))
-    return met.groupBy("map_id", "robot_id").agg(F.min(F.struct(shared.cast("int").alias("shared"), d2.alias("d2"), "i", "r", "c")).alias("m")).select("map_id", "robot_id", "m.i", "m.r", "m.c")
+    comp = stored(raster.components(cells, "observed").select("map_id", "r", "c", "comp"), "components")
+    at = robots.select("map_id", "robot_id", "r", "c").join(comp, ["map_id", "r", "c"])
+    box = tuple((a, b) for a in range(-apart, apart + 1) for b in range(-apart, apart + 1))
+    goals = robots.where("goal_r is not null").select("map_id", F.col("goal_r").alias("r"), F.col("goal_c").alias("c"), F.col("robot_id").alias("other"))
+    taken = scatter(goals, box, "other").groupBy("map_id", "r", "c").agg(F.min("other").alias("one"), F.max("other").alias("two"))
+    to = stored(viewpoints.select("map_id", "i", "r", "c").join(comp, ["map_id", "r", "c"]).join(taken, ["map_id", "r", "c"], "left"), "viewpoints")
+    key = ["map_id", "comp"]
+    free = nearest(at, to.where("one is null"), key, "robot_id")
+    own = at.join(to.where("one = two").withColumnsRenamed({"one": "robot_id", "r": "r2", "c": "c2"}), [*key, "robot_id"])
+    own = own.select("map_id", "robot_id", _d2("r", "c", "r2", "c2").alias("d2"), "i", F.col("r2").alias("r"), F.col("c2").alias("c"))
+    first = stored(free.unionByName(own), "unshared")
+    rest = at.join(first, ["map_id", "robot_id"], "left_anti")
+    found = first.withColumn("shared", F.lit(0)).unionByName(nearest(rest, to, key, "robot_id").withColumn("shared", F.lit(1)))
+    return found.groupBy("map_id", "robot_id").agg(F.min(F.struct("shared", "d2", "i", "r", "c")).alias("m")).select("map_id", "robot_id", "m.i", "m.r", "m.c")
+
+
+def _d2(r: str, c: str, r2: str, c2: str):
+    dr, dc = F.col(r).cast("long") - F.col(r2), F.col(c).cast("long") - F.col(c2)
+    return dr * dr + dc * dc
+
+
+#: Side of the squares in which the nearest are first looked for.
+NEAR = 32
+
+
+def nearest(points: DataFrame, others: DataFrame, key: list[str], id_col: str, side: int = NEAR) -> DataFrame:
+    """map_id, id_col, d2, i, r, c: of the others (key, i, r, c) with a point's key the nearest by squared distance, then the first i.
+
+    A point meets the others in the 3 x 3 squares around it; whoever is found within a square's side is settled, and the rest
+    look again in squares four times as wide, until one covers all. Points without any other have no row.
+    """
+    others = others.select(*key, "i", "r", "c")
+    every = points.select("r", "c").union(others.select("r", "c"))
+    reach = every.agg(F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c"))).first()[0] or 0
+    left, out = points.select(*key, id_col, "r", "c").join(others.select(*key).distinct(), key, "left_semi"), None
+    while True:
+        square = lambda x: F.floor(F.col(x) / side)
+        there = others.select(*key, square("r").alias("y"), square("c").alias("x"), "i", F.col("r").alias("r2"), F.col("c").alias("c2"))
+        here = left.select("*", square("r").alias("y0"), square("c").alias("x0")).withColumn("y", F.explode(F.array(*(F.col("y0") + k for k in (-1, 0, 1))))).withColumn("x", F.explode(F.array(*(F.col("x0") + k for k in (-1, 0, 1)))))
+        met = here.join(there, [*key, "y", "x"]).groupBy(*key, id_col, "r", "c").agg(F.min(F.struct(_d2("r", "c", "r2", "c2").alias("d2"), "i", F.col("r2").alias("r"), F.col("c2").alias("c"))).alias("m"))
+        last = side > reach  # the squares around a point hold all others
+        if not last:
+            met = stored(met.where(F.col("m.d2") <= side * side), "nearest")
+        rows = met.select("map_id", id_col, "m.d2", "m.i", "m.r", "m.c")
+        out = rows if out is None else out.unionByName(rows)
+        if last:
+            return out
+        left = stored(left.join(met, [*key, id_col], "left_anti"), "left")
+        if not left.head(1):
+            return out
+        side *= 4
 
 
 #: Cells within which a robot visits a target, and that lie between two targets at least.
@@ -172,9 +216,14 @@ def patrol_targets(cells: DataFrame, n: int, divisions: int = 4, seed: int = 0)
 
 def unvisited(targets: DataFrame, robots: DataFrame) -> DataFrame:
     """The targets (map_id, i, r, c) that no robot (map_id, r, c) has come within VISIT cells of."""
-    near = robots.select("map_id", F.col("r").alias("rr"), F.col("c").alias("rc"))
-    dr, dc = F.col("r") - F.col("rr"), F.col("c") - F.col("rc")
-    return targets.join(near, (targets["map_id"] == near["map_id"]) & (dr * dr + dc * dc <= VISIT * VISIT), "left_anti")
+    seen = scatter(robots, _disc(VISIT * VISIT)).select("map_id", "r", "c").distinct()
+    return targets.join(seen, ["map_id", "r", "c"], "left_anti")
+
+
+def _disc(d2: int) -> tuple[tuple[int, int], ...]:
+    """The offsets of cells within a squared distance."""
+    k = math.isqrt(d2)
+    return tuple((a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if a * a + b * b <= d2)
 
 
 def replenished(targets: DataFrame, cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -186,10 +235,8 @@ def replenished(targets: DataFrame, cells: DataFrame, n: int, seed: int = 0) ->
     ahead = n * (2 * APART - 1) ** 2
     kept = targets.select("map_id", "i", "r", "c")
     order = F.row_number().over(W.partitionBy("map_id").orderBy(sampling.shuffled(seed), "r", "c"))
-    old = kept.select("map_id", F.col("r").alias("tr"), F.col("c").alias("tc"))
-    dr, dc = F.col("r") - F.col("tr"), F.col("c") - F.col("tc")
-    free = cells.where("gt = 1").select("map_id", "r", "c")
-    free = free.join(old, (free["map_id"] == old["map_id"]) & (dr * dr + dc * dc < APART * APART), "left_anti")
+    around = scatter(kept, _disc(APART * APART - 1)).select("map_id", "r", "c").distinct()
+    free = cells.where("gt = 1").select("map_id", "r", "c").join(around, ["map_id", "r", "c"], "left_anti")
     rows = sampling.first_of_each_map(free, order, ahead).select("map_id", F.lit(1).alias("new"), "i", "r", "c").unionByName(kept.withColumn("new", F.lit(0)))
 
     def run(table: pa.Table) -> pa.Table:

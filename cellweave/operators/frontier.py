@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellweave.operators import raster, scans
 from cellweave.operators.neighbourhood import EIGHT, KEY, clearance, frontier_cells, scatter, square
+from cellweave.session import stored
 
 #: Cells up to which the exact medoid is taken; beyond it the cell nearest the centroid.
 EXACT = 128
@@ -19,41 +21,43 @@ def cluster_cells(cells: DataFrame, min_size: int = 2, max_size: int = 16) -> Da
     """map_id, cluster_id, ord, r, c, clr: frontier cells in 8-connected clusters, in the order a breadth-first visit meets them.
 
     Clusters are numbered by their first cell in row-major order, those that are dropped too: under min_size, or nowhere at
-    clearance 2. One over max_size (0: no limit) is cut along the visit into clusters that take the next numbers; a tail
+    clearance 2. A group is one component, found in squares; numbers come from a scan over components. One over max_size (0: no limit) is cut along the visit into clusters that take the next numbers; a tail
     under min_size is dropped.
     """
-    schema = pa.schema([("map_id", pa.string()), ("cluster_id", pa.int32()), ("ord", pa.int32()), ("r", pa.int32()), ("c", pa.int32()), ("clr", pa.int32())])
+    found = stored(frontier_cells(cells).select(F.col("map_id").cast("string").alias("map_id"), "r", "c", "clr"), "frontier")
+    whole = raster.linked(found, raster._largest(cells), diagonal=True)
+    schema = pa.schema([("map_id", pa.string()), ("label", pa.string()), ("part", pa.int32()), ("ord", pa.int32()), ("r", pa.int32()), ("c", pa.int32()), ("clr", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
+        """The parts of one component; part -1, a row of its first cell, stands for the component itself."""
         clr = {(r, c): x for r, c, x in zip(*(table.column(n).to_pylist() for n in ("r", "c", "clr")))}
-        left, out, number = set(clr), [], 0
-        for first in sorted(clr):
-            if first not in left:
-                continue
-            left.discard(first)
-            visit, queue = [], deque([first])
-            while queue:
-                r, c = queue.popleft()
-                visit.append((r, c))
-                for step in EIGHT:
-                    near = (r + step[0], c + step[1])
-                    if near in left:
-                        left.discard(near)
-                        queue.append(near)
-            own, number = number, number + 1
-            if len(visit) < min_size or max(clr[p] for p in visit) <= 1:
-                continue
+        first = min(clr)
+        left, visit, queue = set(clr) - {first}, [], deque([first])
+        while queue:
+            r, c = queue.popleft()
+            visit.append((r, c))
+            for step in EIGHT:
+                near = (r + step[0], c + step[1])
+                if near in left:
+                    left.discard(near)
+                    queue.append(near)
+        parts = []
+        if len(visit) >= min_size and max(clr.values()) > 1:
             parts = [visit]
             if 0 < max_size < len(visit):
                 parts = [p for k in range(0, len(visit), max_size) if len(p := visit[k : k + max_size]) >= min_size]
-                own, number = number, number + len(parts)
-            out += [(own + k, i, *p, clr[p]) for k, part in enumerate(parts) for i, p in enumerate(part)]
-        name = table.column("map_id")[0].as_py()
-        columns = list(zip(*out)) or [()] * 5
-        return pa.Table.from_arrays([pa.array([name] * len(out), pa.string()), *(pa.array(x, pa.int32()) for x in columns)], schema=schema)
-
-    found = frontier_cells(cells).select(F.col("map_id").cast("string").alias("map_id"), "r", "c", "clr")
-    return found.groupBy("map_id").applyInArrow(run, "map_id string, cluster_id int, ord int, r int, c int, clr int")
+        cut = len(parts) if 0 < max_size < len(visit) else 0
+        out = [(-1, cut, *first, 0)] + [(k, i, *p, clr[p]) for k, part in enumerate(parts) for i, p in enumerate(part)]
+        name, label = table.column("map_id")[0].as_py(), table.column("label")[0].as_py()
+        return pa.Table.from_arrays([pa.array([name] * len(out), pa.string()), pa.array([label] * len(out), pa.string()), *(pa.array(x, pa.int32()) for x in zip(*out))], schema=schema)
+
+    parts = whole.join(found, ["map_id", "r", "c"]).groupBy("map_id", "label").applyInArrow(run, "map_id string, label string, part int, ord int, r int, c int, clr int")
+    parts = stored(parts, "parts")
+    # a component takes one number, and its parts the next ones
+    taken = parts.where("part < 0").select("map_id", "label", (F.col("ord") + 1).alias("takes"), (F.col("ord") > 0).cast("int").alias("cut"))
+    taken = scans.running(taken, ["map_id"], [F.col("label").asc()], sums={"upto": F.col("takes")})
+    first = taken.select("map_id", "label", (F.col("upto") - F.col("takes") + F.col("cut")).alias("first"))
+    return parts.where("part >= 0").join(first, ["map_id", "label"]).select("map_id", (F.col("first") + F.col("part")).cast("int").alias("cluster_id"), "ord", "r", "c", "clr")
 
 
 def medoids(clustered: DataFrame) -> DataFrame:

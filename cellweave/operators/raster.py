@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellweave.operators import scans
 from cellweave.operators.components import connected
 from cellweave.session import INF, stored
 
@@ -21,20 +21,34 @@ def components(cells: DataFrame, layer: str = "gt") -> DataFrame:
     Cells are labelled in squares, a task each; labels that meet across the sides of squares are joined as a graph, so no task
     holds a large map.
     """
-    largest = cells.agg(F.greatest(F.max("rows"), F.max("cols"))).first()[0] or 0
-    labelled = _labelled(cells, layer)
-    if largest > SQUARE:
-        labelled = stored(labelled, "labels")
-        met = connected(_seams(labelled)).withColumnRenamed("component", "joined")
-        labelled = labelled.join(met, F.col("label") == F.col("node"), "left").select("map_id", "r", "c", F.coalesce("joined", "label").alias("label"))
+    labelled = linked(_passable(cells, layer), _largest(cells))
     sizes = labelled.groupBy("map_id", "label").agg(F.count("*").alias("size"))
-    number = F.row_number().over(W.partitionBy("map_id").orderBy("label")) - 1
-    numbered = sizes.withColumn("comp", number.cast("int"))
+    numbered = scans.running(sizes, ["map_id"], [F.col("label").asc()], sums={"number": F.lit(1)}).withColumn("comp", (F.col("number") - 1).cast("int"))
     return labelled.join(numbered, ["map_id", "label"]).select("map_id", "r", "c", "comp", "size")
 
 
-def _labelled(cells: DataFrame, layer: str) -> DataFrame:
-    """map_id, r, c, label of the passable cells: the map and the first cell of the component within its square, as text that sorts by them."""
+def _passable(cells: DataFrame, layer: str) -> DataFrame:
+    return cells.where((F.col(layer) == 1) & (F.col("weight") < INF))
+
+
+def _largest(cells: DataFrame) -> int:
+    return cells.agg(F.greatest(F.max("rows"), F.max("cols"))).first()[0] or 0
+
+
+def linked(points: DataFrame, largest: int, diagonal: bool = False) -> DataFrame:
+    """map_id, r, c, label of some cells: the map and the first cell of the component they are in, as text that sorts by them.
+
+    largest: side of the largest map, beyond SQUARE of which labels are joined across the sides of squares."""
+    labelled = _labelled(points, diagonal)
+    if largest <= SQUARE:
+        return labelled
+    labelled = stored(labelled, "labels")
+    met = connected(_seams(labelled, diagonal)).withColumnRenamed("component", "joined")
+    return labelled.join(met, F.col("label") == F.col("node"), "left").select("map_id", "r", "c", F.coalesce("joined", "label").alias("label"))
+
+
+def _labelled(points: DataFrame, diagonal: bool) -> DataFrame:
+    """The labels of components within squares."""
     schema = pa.schema([("map_id", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("label", pa.string())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -43,22 +57,30 @@ def _labelled(cells: DataFrame, layer: str) -> DataFrame:
         mask = np.zeros((int(r.max()) - top + 3) * width, bool)
         at = (r - top + 1) * width + c - left + 1
         mask[at] = True
-        label = labels(mask, width)[at]
+        label = labels(mask, width, diagonal)[at]
         name = table.column("map_id")[0].as_py()
         first = [f"{name}\u0001{x // width - 1 + top:010d}{x % width - 1 + left:010d}" for x in label.tolist()]
         return pa.Table.from_arrays([table.column("map_id"), pa.array(r), pa.array(c), pa.array(first)], schema=schema)
 
-    own = cells.where((F.col(layer) == 1) & (F.col("weight") < INF)).select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    own = points.select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
     square = lambda x: F.floor(F.col(x) / SQUARE)
     return own.groupBy("map_id", square("r").alias("sy"), square("c").alias("sx")).applyInArrow(run, "map_id string, r int, c int, label string")
 
 
-def _seams(labelled: DataFrame) -> DataFrame:
+def _seams(labelled: DataFrame, diagonal: bool = False) -> DataFrame:
     """Edges (a, b) between the labels of cells that touch across the sides of squares."""
-    below = labelled.where(F.col("r") % SQUARE == SQUARE - 1).select("map_id", (F.col("r") + 1).alias("r"), "c", F.col("label").alias("a"))
-    beside = labelled.where(F.col("c") % SQUARE == SQUARE - 1).select("map_id", "r", (F.col("c") + 1).alias("c"), F.col("label").alias("a"))
+    down, right = [(1, 0)], [(0, 1)]
+    if diagonal:
+        down, right = [(1, -1), (1, 0), (1, 1)], [(-1, 1), (0, 1), (1, 1)]
+    on = F.when(F.col("r") % SQUARE == SQUARE - 1, _steps(down)).otherwise(_steps([])), F.when(F.col("c") % SQUARE == SQUARE - 1, _steps(right)).otherwise(_steps([]))
+    out = labelled.withColumn("step", F.explode(F.concat(*on)))
+    out = out.select("map_id", (F.col("r") + F.col("step.dr")).alias("r"), (F.col("c") + F.col("step.dc")).alias("c"), F.col("label").alias("a"))
     over = labelled.select("map_id", "r", "c", F.col("label").alias("b"))
-    return below.unionByName(beside).join(over, ["map_id", "r", "c"]).select("a", "b").distinct()
+    return out.join(over, ["map_id", "r", "c"]).where("a <> b").select("a", "b").distinct()
+
+
+def _steps(offsets: list[tuple[int, int]]):
+    return F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets)).cast("array<struct<dr:int,dc:int>>")
 
 
 def labels(mask: np.ndarray, width: int, diagonal: bool = False) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Neighbourhoods, frontiers, samples, plans, statistics and records on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -336,3 +337,30 @@ def test_components_of_a_map_larger_than_a_square(spark, monkeypatch):
                 comp[q] = number
                 stack += [(q[0] + 1, q[1]), (q[0] - 1, q[1]), (q[0], q[1] + 1), (q[0], q[1] - 1)]
     assert {p: x[0] for p, x in got.items()} == comp
+
+
+def test_frontiers_over_squares(spark, monkeypatch):
+    """The same clusters, in the same visit and with the same numbers, when components reach over many squares."""
+    draw = random.Random(6)
+    states = [[0 if (r // 9 + c // 8) % 2 and draw.random() < 0.9 else 2 if draw.random() < 0.08 else 1 for c in range(60)] for r in range(50)]
+    cells = table(spark, states).union(table(spark, states[:20], name="n"))
+    key = lambda: sorted(map(tuple, frontier.cluster_cells(cells).collect()))
+    whole = key()
+    monkeypatch.setattr(raster, "SQUARE", 7)
+    assert len(whole) > 100 and key() == whole
+
+
+def test_nearest_by_rings(spark):
+    draw = random.Random(7)
+    points = [("m", 0, k, draw.randrange(500), draw.randrange(500)) for k in range(40)] + [("m", 1, 99, 3, 3), ("n", 0, 5, 1, 1)]
+    others = [("m", 0, i, draw.randrange(60), draw.randrange(60)) for i in range(30)] + [("m", 0, 31, 499, 499), ("m", 0, 32, 499, 499), ("n", 0, 1, 400, 2)]
+    a = spark.createDataFrame(points, "map_id string, comp int, robot_id int, r int, c int")
+    b = spark.createDataFrame(others, "map_id string, comp int, i int, r int, c int")
+    got = {(x["map_id"], x["robot_id"]): (x["d2"], x["i"]) for x in fleet.nearest(a, b, ["map_id", "comp"], "robot_id", 8).collect()}
+    want = {}
+    for m, k, n, r, c in points:
+        near = [((r - y) ** 2 + (c - x) ** 2, i) for m2, k2, i, y, x in others if (m2, k2) == (m, k)]
+        if near:
+            want[m, n] = min(near)
+    assert got == want
+    assert fleet.nearest(a, b.limit(0), ["map_id", "comp"], "robot_id").collect() == []
