@@ -158,13 +158,14 @@ def integer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with lines as (select cast(event_id // 100 as int) as r, cast(event_id % 100 as int) as c, case event_type when 'error' then '@' when 'signup' then 'G' when 'click' then 'S' when 'view' then '.' else 'T' end as ch from events)
   select r, c, cast(case when ch in ('.', 'G', 'S') then 1 else 2 end as int) as gt, cast(0 as int) as observed, cast(1 as int) as weight from lines""")
 def map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the text of a map file, read back as cells."""
+    """Events as the lines of a map file, read as cells."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_type") == "error", "@").when(F.col("event_type") == "signup", "G").when(F.col("event_type") == "click", "S").when(F.col("event_type") == "view", ".").otherwise("T")
     row = e.groupBy(F.expr("cast(event_id div 100 as int)").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", kind.alias("ch")))), lambda x: x["ch"]), "").alias("line"))
-    body = row.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n"))
-    text = body.select(F.lit("events").alias("map_id"), F.concat(F.lit("type octile\r\nheight "), F.col("n"), F.lit("\r\nwidth 100\r\nmap\n"), F.col("body"), F.lit("\n")).alias("text"))
-    return maps.parse_maps(text).select("r", "c", "gt", "observed", "weight")
+    rows = e.agg(F.max(F.expr("event_id div 100")) + 1).first()[0]
+    head = spark.createDataFrame([(0, "type octile\r"), (1, f"height {rows}\r"), (2, "width 100\r"), (3, "map")], "n int, line string")
+    lines = head.unionByName(row.select((F.col("r") + 4).alias("n"), "line")).select(F.lit("events").alias("map_id"), "n", "line")
+    return maps.parse_lines(lines).select("r", "c", "gt", "observed", "weight")
 
 
 @query(f"with {CELLS} select r, c, gt, gt as observed from cells")

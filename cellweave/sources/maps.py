@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.operators import scans
 from cellweave.sources.derived import CELLS
 
 #: The characters of a passable cell.
@@ -12,26 +13,38 @@ PASSABLE = (".", "G", "S")
 
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
-    """cells of all map files below a path or pattern; map_id is the file's name without its ending."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("map_id"), F.col("value").alias("text"))
-    return parse_maps(files)
+    """cells of all map files below a path or pattern; map_id is the file's name without its ending.
+
+    Files are read as lines, so one huge file is split among tasks by ranges of its bytes; lines are numbered by a scan.
+    """
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.option("lineSep", "\n").text(path).select(at[0].alias("map_id"), at[1].alias("block_start"), F.monotonically_increasing_id().alias("within"), F.col("value").alias("line"))
+    numbered = scans.running(lines, ["map_id"], [F.col("block_start").asc(), F.col("within").asc()], sums={"n": F.lit(1)})
+    name = F.regexp_extract(F.url_decode("map_id"), r"([^/]+?)(\.[^./]*)?$", 1)
+    return parse_lines(numbered.select("map_id", "n", "line")).withColumn("map_id", name)
 
 
 def parse_maps(files: DataFrame) -> DataFrame:
-    """cells of map texts (map_id, text): everything unknown, weight 1.
+    """cells of map texts (map_id, text); see parse_lines."""
+    return parse_lines(files.select("map_id", F.posexplode(F.split("text", "\n")).alias("n", "line")))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """cells of maps' lines (map_id, n: rising, one by one, line): everything unknown, weight 1.
 
     Header lines lose white space at their right; the first that starts with `height` and `width` and a number count, and
     the body begins after the line `map`. Cells that a short or missing line leaves out are obstacles, and more characters
     or lines than the header says are ignored. A text without a positive height and width, or without `map`, has no cells.
     """
-    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"[ \t\r]+$", ""))
-    start = F.array_position("trimmed", "map")
-    number = lambda key: F.try_element_at(F.filter(F.transform(F.slice("trimmed", 1, F.greatest(start - 1, F.lit(0))), lambda x: F.regexp_extract(x, rf"^{key}\s+(\d+)", 1)), lambda x: x != ""), F.lit(1)).try_cast("int")
-    head = files.select("map_id", F.split("text", "\n").alias("line"), lines.alias("trimmed")).withColumn("rows", number("height")).withColumn("cols", number("width")).withColumn("start", start)
-    good = head.where("rows > 0 and cols > 0 and start > 0").select("map_id", "rows", "cols", F.slice("line", F.col("start") + 1, F.col("rows")).alias("body"))
-    each = good.select("map_id", "rows", "cols", "body", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"))
-    each = each.select("map_id", "rows", "cols", "r", F.coalesce(F.try_element_at("body", F.col("r") + 1), F.lit("")).alias("line"))
-    cells = each.select("map_id", "rows", "cols", "r", "line", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+    trimmed = F.regexp_replace("line", r"[ \t\r]+$", "")
+    number = lambda key: F.regexp_extract(trimmed, rf"^{key}\s+(\d+)", 1).try_cast("int")
+    head = lines.where((trimmed == "map") | trimmed.rlike(r"^(height|width)\s+\d")).select("map_id", "n", (trimmed == "map").alias("map"), number("height").alias("rows"), number("width").alias("cols"))
+    start = head.where("map").groupBy("map_id").agg(F.min("n").alias("start"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
+    good = head.join(start, "map_id").where("n < start").groupBy("map_id", "start").agg(first("rows"), first("cols")).where("rows > 0 and cols > 0")
+    body = lines.join(good, "map_id").where("n > start and n <= start + rows").select("map_id", (F.col("n") - F.col("start") - 1).cast("int").alias("r"), "line")
+    each = good.select("map_id", "rows", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).join(body, ["map_id", "r"], "left")
+    cells = each.select("map_id", "rows", "cols", "r", F.coalesce("line", F.lit("")).alias("line"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
     free = F.substring("line", F.col("c") + 1, F.lit(1)).isin(*PASSABLE)
     return cells.select("map_id", "rows", "cols", "r", "c", F.when(free, 1).otherwise(2).alias("gt"), F.lit(0).alias("observed"), F.lit(1).alias("weight"))
 

@@ -364,3 +364,26 @@ def test_nearest_by_rings(spark):
             want[m, n] = min(near)
     assert got == want
     assert fleet.nearest(a, b.limit(0), ["map_id", "comp"], "robot_id").collect() == []
+
+
+def test_a_huge_map_file_is_split(spark, tmp_path):
+    """Lines of one file read by many tasks, and numbered over ranges, are the cells of the whole text."""
+    from cellweave.operators import scans
+
+    draw = random.Random(8)
+    body = ["".join(draw.choice(".GST@") for _ in range(draw.choice([40, 40, 30]))) for _ in range(300)]
+    text = "type octile\r\nheight 305 \nheight 7\nwidth 40\nmap\n" + "\n".join(body) + "\n"
+    (tmp_path / "a map.map").write_text(text)
+    (tmp_path / "b.map").write_text("height 2\nwidth 2\nmap\n.@\n")
+    (tmp_path / "none.map").write_text("height 2\nmap\n..\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    most = scans.MOST
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        scans.MOST = 0
+        got = {(x["map_id"], x["r"], x["c"]): x["gt"] for x in maps.read_maps(spark, f"{tmp_path}/*.map").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        scans.MOST = most
+    want = {("a map", r, c): 1 if r < 300 and body[r][c : c + 1] in (".", "G", "S") else 2 for r in range(305) for c in range(40)}
+    assert got == want | {("b", 0, 0): 1, ("b", 0, 1): 2, ("b", 1, 0): 2, ("b", 1, 1): 2}
