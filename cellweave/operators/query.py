@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import search
-from cellweave.operators.tiles import FAR, KEY, Index, border, branch, edge_weights, matrix_of, places
+from cellweave.operators.tiles import FAR, KEY, Index, border, branch, edge_weights, matrix_of, perimeter, places
 from cellweave.session import INF, stored
 
 POINT = ["map_id", "query_id", "i"]
@@ -243,6 +243,25 @@ class Answer:
         """map_id, query_id, i, lvl, X."""
         return _union(self.levels).where("X is not null").select(*POINT, "lvl", "X")
 
+    def ports(self) -> DataFrame:
+        """map_id, query_id, i, lvl, r, c, d: the lifts as finite distances to the ports' cells."""
+        side = self.index.config.side
+        tiles = self.index.at().select(*KEY, "E")
+        known = _union(self.levels).where("X is not null").join(tiles, KEY).select(*POINT, "lvl", "tx", "ty", "X", "E")
+        out = pa.schema([("map_id", pa.string()), ("query_id", pa.string()), ("i", pa.int32()), ("lvl", pa.int32()), ("r", pa.int32()), ("c", pa.int32()), ("d", pa.int32())])
+
+        def spell(batches):
+            for batch in batches:
+                for x in batch.to_pylist():
+                    d, at = np.frombuffer(x["X"], "<i4"), np.frombuffer(x["E"], "<i4")
+                    pr, pc = perimeter(side(x["lvl"]))
+                    on = np.flatnonzero(d < FAR)
+                    r, c = pr[at[on]] + x["tx"] * side(x["lvl"]), pc[at[on]] + x["ty"] * side(x["lvl"])
+                    head = [pa.array([x[k]] * len(on), out.field(k).type) for k in ("map_id", "query_id", "i", "lvl")]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(d[on])], schema=out)
+
+        return known.mapInArrow(spell, "map_id string, query_id string, i int, lvl int, r int, c int, d int")
+
     def matrix(self) -> DataFrame:
         """map_id, query_id, i, j, d: INF where there is no path, on the diagonal too if the viewpoint is impassable."""
         found = _union(self.levels).where("d is not null").select(*POINT, "j", "d")

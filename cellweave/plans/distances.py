@@ -183,6 +183,19 @@ def lifted_viewpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.ask(index, points).lifts().select("i", "lvl", (F.octet_length("X") / 4).cast("int").alias("ports"), F.crc32("X").alias("x_crc32"))
 
 
+@query(f"""with recursive {CELLS}, {_vp()}, {FOUR}, h as (select cast(ceil(log2(greatest(max(rows), max(cols)) / 8.0)) as int) as h from cells), lv as (select k, cast(8 * pow(2, k) as int) as s from range(0, 12) a(k), h where k <= h),
+  free as (select r, c, weight from cells where observed = 1),
+  edge as (select k, f.r, f.c, n.r as nr, n.c as nc, greatest(1, (f.weight + n.weight) // 2) as w from free f, four, free n, lv where n.r = f.r + dr and n.c = f.c + dc and n.r // s = f.r // s and n.c // s = f.c // s),
+  dist(k, i, r, c, d) using key (k, i, r, c) as (select k, vp.i, vp.r, vp.c, 0 from vp join free using (r, c), lv
+    union select q.* from (select dist.k, i, e.nr as r, e.nc as c, min(dist.d + e.w) as d from dist join edge e on e.k = dist.k and e.r = dist.r and e.c = dist.c group by all) q
+      left join recurring.dist old on old.k = q.k and old.i = q.i and old.r = q.r and old.c = q.c where old.d is null or q.d < old.d)
+  select cast(i as int) as i, cast(k as int) as lvl, r, c, cast(d as int) as d from dist join lv using (k) where r % s in (0, s - 1) or c % s in (0, s - 1)""")
+def lifted_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each viewpoint is from each port of its tile, by ways inside the tile, on every level."""
+    index, points = _index(spark, sf_dir)
+    return lifted.ask(index, points).ports().select("i", "lvl", "r", "c", "d")
+
+
 def _updated(spark: SparkSession, sf_dir: str) -> tuple[lifted.Answer, tiles.Index]:
     index, points = _index(spark, sf_dir)
     return lifted.ask(index, points), index.update(updates(spark, sf_dir))
