@@ -3,7 +3,8 @@
 A viewpoint is lifted level by level: its distances to the ports of its tile, then to those of the tile above, and so on. At
 every node two lifted viewpoints meet across the node's D; the least meeting over all levels is their distance, since a
 shortest path may leave their common tile. Each level is one grouped kernel, keyed by node, that gets the node's D and the
-lifts of the viewpoints inside; nothing is sent to all tasks.
+lifts of the viewpoints inside. A few viewpoints climb through all levels in one kernel a root instead, over the nodes that
+they pass.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ LIFT_DDL = "map_id string, lvl int, tx int, ty int, query_id string, i int, j in
 LIFT = pa.schema([("map_id", pa.string()), ("lvl", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), ("query_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("d", pa.int32()), ("X", pa.binary())])
 #: Products up to which two sides of a min-plus product are compared at once.
 BLOCK = 1 << 22
+#: Viewpoints that climb in one kernel, and bytes of the nodes that they pass, at most.
+FEW, MOST_BYTES = 256, 256 << 20
 
 
 def min_plus_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -284,6 +287,8 @@ def _levels(index: Index, viewpoints: DataFrame, before: list[DataFrame] | None
     config, rows = index.config, index.at()
     free = index.cells.where((F.col("observed") == 1) & (F.col("weight") < INF)).select(F.col("map_id").cast("string").alias("map_id"), "r", "c")
     points = viewpoints.select(F.col("map_id").cast("string").alias("map_id"), F.col("query_id").cast("string").alias("query_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).join(free, ["map_id", "r", "c"], "left_semi")
+    if before is None and (found := _climbed(index, viewpoints, points)) is not None:
+        return [found.where(F.col("lvl") == k) for k in range(index.height + 1)]
     out: list[DataFrame] = []
     for k in range(index.height + 1):
         own = rows.where(F.col("lvl") == k)
@@ -297,6 +302,62 @@ def _levels(index: Index, viewpoints: DataFrame, before: list[DataFrame] | None
     return out
 
 
+def _climbed(index: Index, viewpoints: DataFrame, points: DataFrame) -> DataFrame | None:
+    """The lifts of all levels from one kernel a root; None if the viewpoints are too many or pass too much."""
+    config, height = index.config, index.height
+    b, g = config.b, config.g
+    some = viewpoints.select(F.col("map_id").cast("string"), F.floor(F.col("r") / b).cast("int"), F.floor(F.col("c") / b).cast("int")).limit(FEW + 1).collect()
+    if not 0 < len(some) <= FEW:
+        return None
+    keys = index.branches({tuple(x) for x in some})
+    ports = F.when(F.col("lvl") == 0, F.lit(b * b)).otherwise(F.octet_length("A") / 4)
+    if (index.rows_of(keys, (ports * ports * 4).alias("n")).agg(F.sum("n")).first()[0] or 0) > MOST_BYTES:
+        return None
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return LIFT.empty_table()
+        name = left.column("map_id")[0].as_py()
+        at = {key: n for n, key in enumerate(zip(*(right.column(c).to_pylist() for c in ("lvl", "tx", "ty"))))}
+        ints = lambda key, c: np.frombuffer(right.column(c)[at[key]].as_buffer() or b"", "<i4")
+        square = lambda key: (lambda x: x.reshape(int(len(x) ** 0.5 + 0.5), -1))(ints(key, "D"))
+        queries, i, r, c = left.column("query_id").to_pylist(), *(left.column(x).to_numpy() for x in ("i", "r", "c"))
+        out, held = [], [(n, (0, x, y)) for n, (x, y) in enumerate(zip((r // b).tolist(), (c // b).tolist()))]
+        lifts: dict[int, np.ndarray] = {}
+        for k in range(height + 1):
+            groups: dict[tuple, list[int]] = {}
+            for n, key in held:
+                if key in at:
+                    groups.setdefault(key, []).append(n)
+            fresh = {}
+            for key, mine in groups.items():
+                dist = square(key)
+                if k == 0:
+                    place = (r[mine] % b) * b + c[mine] % b
+                    lifted, met = dist[np.ix_(place, _ports(b)[ints(key, "E")])], dist[np.ix_(place, place)]
+                else:
+                    side = config.side(k - 1)
+                    active = ints(key, "A")
+                    child, ext = active // (4 * side - 4), border(active, side, g)[1]
+                    a = np.full((len(mine), len(dist)), FAR, np.int32)
+                    for row, n in enumerate(mine):
+                        x, y = (z[n] // side for z in (r, c))
+                        a[row, child == (x % g) * g + y % g] = lifts[n]
+                    through = min_plus_dense(a, dist)
+                    lifted, met = through[:, ext], min_plus_dense(through, np.ascontiguousarray(a.T))
+                out.append(_emit((name, *key), [queries[n] for n in mine], i[mine], lifted, met))
+                fresh |= dict(zip(mine, lifted))
+            lifts = fresh
+            held = [(n, (k + 1, x // g, y // g)) for n, (_, x, y) in held if n in fresh]
+        return pa.concat_tables(out) if out else LIFT.empty_table()
+
+    top = index.config.side(height)
+    tile = [F.floor(F.col(x) / top).cast("int").alias(y) for x, y in (("r", "rx"), ("c", "ry"))]
+    nodes = index.rows_of(keys, "map_id", "rx", "ry", "lvl", "tx", "ty", "D", "E", "A")
+    by = ["map_id", "rx", "ry"]
+    return stored(points.select("*", *tile).groupBy(*by).cogroup(nodes.groupBy(*by)).applyInArrow(run, LIFT_DDL), "lifts")
+
+
 def ask(index: Index, viewpoints: DataFrame) -> Answer:
     return Answer(index, viewpoints, _levels(index, viewpoints))
 

@@ -523,6 +523,25 @@ class Index:
             current = stored(current, f"current-{ver}")
         return Index(cells, rows, current, config, height, ver, self.whole and height == self.height)
 
+    def branches(self, leaves: set[tuple[str, int, int]], around: bool = False) -> DataFrame:
+        """map_id, lvl, tx, ty, full, rx, ry of some leaves (map_id, tx, ty) and their ancestors, with their root; around: the
+        ancestors' other children too, whose `full` is false."""
+        g, height, keys = self.config.g, self.height, {}
+        for m, x, y in leaves:
+            keys[m, 0, x, y] = True
+            for k in range(1, height + 1):
+                x, y = x // g, y // g
+                keys[m, k, x, y] = True
+                for q in range(g * g if around else 0):
+                    keys.setdefault((m, k - 1, x * g + q // g, y * g + q % g), False)
+        rows = [(*key, full, *(z // g ** (height - key[1]) for z in key[2:])) for key, full in keys.items()]
+        return self.cells.sparkSession.createDataFrame(rows, "map_id string, lvl int, tx int, ty int, full boolean, rx int, ry int")
+
+    def rows_of(self, keys: DataFrame, *columns) -> DataFrame:
+        """The current rows of some tiles (KEY and more), few enough to send to all tasks."""
+        ends = keys.agg(F.collect_set("tx").alias("x"), F.collect_set("ty").alias("y")).first()
+        return self.at().where(F.col("tx").isin(sorted(ends["x"])) & F.col("ty").isin(sorted(ends["y"]))).join(F.broadcast(keys), KEY).select(*columns)
+
     def _narrow(self) -> bool:
         """Whether no opening can make a node wider than max_ports."""
         return self.height == 0 or self.config.g**2 * (4 * self.config.side(self.height - 1) - 4) <= self.config.max_ports
@@ -532,20 +551,11 @@ class Index:
         spark, config, height, old = self.cells.sparkSession, self.config, self.height, self.at()
         b, g = config.b, config.g
         leaves = {(m, r // b, c // b) for m, r, c in opened}
-        keys = {}
-        for m, x, y in leaves:
-            keys[m, 0, x, y] = True
-            for k in range(1, height + 1):
-                x, y = x // g, y // g
-                keys[m, k, x, y] = True
-                for q in range(g * g):
-                    keys.setdefault((m, k - 1, x * g + q // g, y * g + q % g), False)
-        root = lambda x, k: x // g ** (height - k)
-        wanted = spark.createDataFrame([(*key, full, root(key[2], key[1]), root(key[3], key[1])) for key, full in keys.items()], "map_id string, lvl int, tx int, ty int, full boolean, rx int, ry int")
+        root = lambda x: x // g**height
         blob = lambda c: F.when(F.col("full"), F.col(c)).alias(c)
-        tiles = old.where(F.col("tx").isin(sorted({k[2] for k in keys})) & F.col("ty").isin(sorted({k[3] for k in keys}))).join(F.broadcast(wanted), KEY).select("map_id", "rx", "ry", "lvl", "tx", "ty", "full", blob("D"), blob("A"), "P", "E")
+        tiles = self.rows_of(self.branches(leaves, around=True), "map_id", "rx", "ry", "lvl", "tx", "ty", "full", blob("D"), blob("A"), "P", "E")
         marks = spark.createDataFrame([(*p, True) for p in opened], "map_id string, r int, c int, mark boolean")
-        places = spark.createDataFrame([(m, x, y, root(x, 0), root(y, 0)) for m, x, y in leaves], "map_id string, tx int, ty int, rx int, ry int")
+        places = spark.createDataFrame([(m, x, y, root(x), root(y)) for m, x, y in leaves], "map_id string, tx int, ty int, rx int, ry int")
         own = self.cells.select(F.col("map_id").cast("string").alias("map_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "observed", "weight", F.floor(F.col("r") / b).cast("int").alias("tx"), F.floor(F.col("c") / b).cast("int").alias("ty"))
         own = own.where(F.col("tx").isin(sorted({x for _, x, _ in leaves})) & F.col("ty").isin(sorted({y for *_, y in leaves})) & (F.col("weight") < INF))
         near = own.join(F.broadcast(places), ["map_id", "tx", "ty"]).join(F.broadcast(marks), ["map_id", "r", "c"], "left").where("observed = 1 or mark")
