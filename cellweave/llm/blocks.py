@@ -1,8 +1,9 @@
 """Exchange of sorted name lists between blocks of documents and ranges of names.
 
 Documents are dealt into blocks of a few megabytes by a hash of their id. A block sends each name at most once, in one
-sorted list for each of RANGES equal ranges of names, so a phrase that every document has is one entry a block, no range
-grows with it, and the rows that move are as many as the blocks times a constant. A range merges its blocks' lists by binary
+sorted list for each of some equal ranges of names, so a phrase that every document has is one entry a block and no range
+grows with it. There are RANGES, or where that is more one for every BLOCKS blocks, so that a range's lists fit in a task
+whatever the input; a block's names in a range get fewer then, and no row is sent for none. A range merges its blocks' lists by binary
 search and answers each block with one bit an entry, and a value for each bit that is set. Names have 96 bits, a hash of 64
 by which they are sorted and a tail of 32 from another polynomial: 10**13 names collide with a chance of about 0.001.
 The blocks' exchange is the same subplan wherever documents are needed again, so Spark reuses it: texts move once.
@@ -21,8 +22,9 @@ from . import common
 
 #: Bytes of text of one block, about.
 BLOCK_BYTES = 4 << 20
-#: Ranges of names. They are dealt to tasks by number, several to a task where there are fewer shuffle partitions.
-RANGES = 256
+#: Ranges of names at least, and blocks for each range beyond. They are dealt to tasks by number, several to a task where there
+#: are fewer shuffle partitions.
+RANGES, BLOCKS = 256, 32
 
 U64 = np.uint64
 
@@ -32,16 +34,20 @@ def n_blocks(df: DataFrame, text_col: str) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
 
 
+def n_ranges(blocks: int) -> int:
+    return max(RANGES, -(-blocks // BLOCKS))
+
+
 def in_blocks(df: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text as bytes, block, and, where columns are to be carried along, those as the struct `rest`."""
     block: Column = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.crc32(F.substring(F.col(text_col).cast("binary"), 1, 64))), F.lit(n)).cast("int")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), block.alias("block"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []))
 
 
-def by_range(lists: DataFrame, judge: Callable[[pa.Table], list[tuple]], ddl: str) -> DataFrame:
-    """What judge returns for each range's rows, as a table of the columns in ddl."""
-    each = -(-RANGES // int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = -(-RANGES // each)
+def by_range(lists: DataFrame, judge: Callable[[pa.Table], list[tuple]], ddl: str, n: int) -> DataFrame:
+    """What judge returns for each of the n ranges' rows, as a table of the columns in ddl."""
+    each = -(-n // int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = -(-n // each)
     schema = common.arrow_schema(ddl)
 
     def run(table: pa.Table) -> pa.Table:
@@ -52,15 +58,15 @@ def by_range(lists: DataFrame, judge: Callable[[pa.Table], list[tuple]], ddl: st
     return lists.withColumn("part", F.col("range") % parts).repartitionById(parts, "part").groupBy("part").applyInArrow(run, ddl)
 
 
-def ranges(names: np.ndarray) -> np.ndarray:
-    """Where each of the equal ranges of 64-bit names begins in a sorted list, and its end."""
-    edges = np.arange(1, RANGES, dtype=U64) * U64((1 << 64) // RANGES)
+def ranges(names: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n equal ranges of 64-bit names begins in a sorted list, and its end."""
+    edges = np.arange(1, n, dtype=U64) * U64((1 << 64) // n)
     return np.concatenate(([0], np.searchsorted(names, edges), [len(names)]))
 
 
-def lists(block: int, names: np.ndarray, *more: np.ndarray | None) -> list[tuple]:
-    """Rows (range, block, names, more ...) of the non-empty ranges, as bytes; None makes an empty column."""
-    at = ranges(names)
+def lists(n: int, block: int, names: np.ndarray, *more: np.ndarray | None) -> list[tuple]:
+    """Rows (range, block, names, more ...) of those of n ranges that are not empty, as bytes; None makes an empty column."""
+    at = ranges(names, n)
     used = np.flatnonzero(np.diff(at)).tolist()
     return [(r, block, *(b"" if x is None else x[at[r] : at[r + 1]].tobytes() for x in (names, *more))) for r in used]
 
@@ -123,9 +129,9 @@ def answer(where: int, table: pa.Table, ends: np.ndarray, mask: np.ndarray, valu
     return out
 
 
-def answers(rows: list[tuple[int, bytes, bytes]], names: np.ndarray, none: int, some: int) -> np.ndarray:
+def answers(n: int, rows: list[tuple[int, bytes, bytes]], names: np.ndarray, none: int, some: int) -> np.ndarray:
     """The value of each entry that the block had sent, from rows (range, bits, values); without a bit: none; without a value: some."""
-    at = ranges(names)
+    at = ranges(names, n)
     out = np.full(len(names), none, np.int64)
     for r, bits, values in rows:
         on = at[r] + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[r + 1] - at[r])))

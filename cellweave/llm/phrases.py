@@ -96,13 +96,13 @@ def _anchors(table: pa.Table, size: int) -> tuple[np.ndarray, ...]:
     return _gathered(parts)
 
 
-def recurring(base: DataFrame, size: int) -> DataFrame:
-    """For each block the names of its phrases that start in an earlier document than its last one with them, and the first."""
+def recurring(base: DataFrame, size: int, n: int) -> DataFrame:
+    """By n ranges, for each block the names of its phrases that start in an earlier document than its last one with them, and the first."""
     anchor_schema, phrase_schema = common.arrow_schema(ANCHOR_DDL), common.arrow_schema(PHRASE_DDL)
 
     def anchors(table: pa.Table) -> pa.Table:
         names, _, low, high = _anchors(table, size)
-        return pa.Table.from_batches([common.record_batch(blocks.lists(table.column("block")[0].as_py(), names, low != high), anchor_schema)])
+        return pa.Table.from_batches([common.record_batch(blocks.lists(n, table.column("block")[0].as_py(), names, low != high), anchor_schema)])
 
     def shared(table: pa.Table) -> list[tuple]:
         names = blocks.column(table, "names", "<u8")
@@ -116,13 +116,13 @@ def recurring(base: DataFrame, size: int) -> DataFrame:
         if not docs.num_rows:
             return phrase_schema.empty_table()
         sent = _anchors(docs, size)[0]
-        known = sent[blocks.answers(list(zip(*(back.column(c).to_pylist() for c in ("range", "bits", "low")))), sent, 0, 1) > 0]
+        known = sent[blocks.answers(n, list(zip(*(back.column(c).to_pylist() for c in ("range", "bits", "low")))), sent, 0, 1) > 0]
         parts = []
         for b in _batches(docs, size):
             on = _among(b.anchors(), known)
             parts.append(_different(b.window[on], b.tails(b.at[on]), b.doc[on], b.doc[on]))
         names, tails, low, high = _gathered(parts)
-        return pa.Table.from_batches([common.record_batch(blocks.lists(docs.column("block")[0].as_py(), names, tails, low, low != high), phrase_schema)])
+        return pa.Table.from_batches([common.record_batch(blocks.lists(n, docs.column("block")[0].as_py(), names, tails, low, low != high), phrase_schema)])
 
     def earliest(table: pa.Table) -> list[tuple]:
         names, tails, low = (blocks.column(table, c, t) for c, t in (("names", "<u8"), ("tails", "<u4"), ("low", "<i8")))
@@ -139,9 +139,9 @@ def recurring(base: DataFrame, size: int) -> DataFrame:
                 rows.append((b, name[on].tobytes(), tail[on].tobytes(), least[lo:hi][on].tobytes()))
         return rows
 
-    shared_bits = blocks.by_range(base.groupBy("block").applyInArrow(anchors, ANCHOR_DDL), shared, BITS_DDL)
+    shared_bits = blocks.by_range(base.groupBy("block").applyInArrow(anchors, ANCHOR_DDL), shared, BITS_DDL, n)
     candidates = base.groupBy("block").cogroup(shared_bits.groupBy("block")).applyInArrow(phrases, PHRASE_DDL)
-    return blocks.by_range(candidates, earliest, FOUND_DDL)
+    return blocks.by_range(candidates, earliest, FOUND_DDL, n)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -247,8 +247,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keep all. Rows with equal ids are one document, none before the other; a null id is after all others. Other columns are
     not read, and an empty table gives no rows.
     """
-    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, blocks.n_blocks(df, text_col))
-    found = recurring(base, size)
+    n = blocks.n_blocks(df, text_col)
+    base = blocks.in_blocks(common.short_batches(df), id_col, text_col, n)
+    found = recurring(base, size, blocks.n_ranges(n))
     ddl = "doc_id long, n_words long, kept_text string, removed array<long>"
     schema = common.arrow_schema(ddl)
 

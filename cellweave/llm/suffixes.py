@@ -351,6 +351,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if size < gram + 8:
         raise ValueError(f"size must be {gram + 8} at least")
     n = blocks.n_blocks(df, text_col)
+    ranges = blocks.n_ranges(n)
     base = blocks.in_blocks(common.short_batches(df), id_col, text_col, n, carry)
     ddl = "doc_id long, n_bytes long, kept binary, removed array<long>"
     run_schema, window_schema, schema = (common.arrow_schema(x) for x in (RUN_DDL, WINDOW_DDL, ddl))
@@ -373,7 +374,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def runs(table: pa.Table) -> pa.Table:
         *_, block = read(table)
         several = block.low != block.high if first else block.count > 1
-        rows = blocks.lists(table.column("block")[0].as_py(), block.mark, block.name, block.tail, several, block.low if first else None)
+        rows = blocks.lists(ranges, table.column("block")[0].as_py(), block.mark, block.name, block.tail, several, block.low if first else None)
         return pa.Table.from_batches([common.record_batch(rows, run_schema)])
 
     def least(several: np.ndarray, low: list[np.ndarray], order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -411,7 +412,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def answered(back: pa.Table, which: int, names: np.ndarray, none: int) -> np.ndarray:
         rows = [(r, bits, low) for r, k, bits, low in zip(*(back.column(c).to_pylist() for c in ("range", "round", "bits", "low"))) if k == which]
-        return blocks.answers(rows, names, none, ALWAYS)
+        return blocks.answers(ranges, rows, names, none, ALWAYS)
 
     def windows(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -419,7 +420,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         *_, block = read(docs)
         whole = answered(back, 1, block.mark, NEVER) != NEVER
         names, tails, several, low = open_windows(block, answered(back, 2, block.mark, NEVER) != NEVER, whole, first)
-        rows = blocks.lists(docs.column("block")[0].as_py(), names, tails, several, low if first else None)
+        rows = blocks.lists(ranges, docs.column("block")[0].as_py(), names, tails, several, low if first else None)
         return pa.Table.from_batches([common.record_batch(rows, window_schema)])
 
     def judge_windows(table: pa.Table) -> list[tuple]:
@@ -473,8 +474,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         out = pa.Table.from_batches([common.record_batch(rows, schema)])
         return out.append_column("rest", docs.column("rest")) if carry else out
 
-    judged = blocks.by_range(base.groupBy("block").applyInArrow(runs, RUN_DDL), judge_runs, ANSWER_DDL)
-    late = blocks.by_range(base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(windows, WINDOW_DDL), judge_windows, ANSWER_DDL)
+    judged = blocks.by_range(base.groupBy("block").applyInArrow(runs, RUN_DDL), judge_runs, ANSWER_DDL, ranges)
+    late = blocks.by_range(base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(windows, WINDOW_DDL), judge_windows, ANSWER_DDL, ranges)
     return base.groupBy("block").cogroup(judged.union(late).groupBy("block")).applyInArrow(cut, ddl)
 
 

@@ -319,3 +319,17 @@ def test_words_are_those_of_the_pattern():
     texts = ["a\x0bb\x0cc\td\r\ne f", "", " x ", "\x1c\x85 é"]
     words = common.Words([t.encode() for t in texts])
     assert words.count.tolist() == [len(plain.WORD.findall(t)) for t in texts]
+
+
+@pytest.mark.parametrize("n", [256, 1000])
+def test_more_ranges_give_the_same(spark, monkeypatch, n):
+    """Ranges grow with the blocks; nothing depends on their number."""
+    texts = [(k, plain.prose(k, 60) + " " + plain.prose(900 + k % 3, 70)) for k in range(12)]
+    df = small(spark, texts)
+    want = {i: (w, r, h) for i, w, r, h in plain.cut_phrases(texts)}
+    monkeypatch.setattr(blocks, "RANGES", n)
+    got = {x["doc_id"]: (x["n_words"], sum(x["removed"][1::2]) - sum(x["removed"][::2]), hashlib.sha256(x["kept_text"].encode()).hexdigest()) for x in phrases.remove_repeats(df).collect()}
+    assert got == want
+    kept = [bytes(x["kept"]) for x in suffixes.remove_repeats(df, size=100).orderBy("doc_id").collect()]
+    assert kept == [t for t, _ in plain.cut_bytes([t.encode() for _, t in texts], 100)]
+    assert blocks.n_ranges(32 * n + 1) == n + 1 and blocks.n_ranges(5) == n

@@ -287,3 +287,16 @@ def test_script_is_of_the_whole_text():
     assert fertility.script("MIT License https://example.org/ " * 5 + "съешь же ещё этих мягких булок " * 50) == "cyrillic"
     assert fertility.script("съешь " * 15 + "plain words " * 100) == "latin"
     assert fertility.script("αβγ abc") == "greek" and fertility.script("αβγδ abc") == "greek" and fertility.script("12 !") == "none"
+
+
+def test_letters_beyond_16_bits_stay_apart():
+    from cellweave.llm import langid
+
+    text = "a\U00020000b \U0001D400\U00010400 x\U0001f600"
+    letters = text.lower()
+    s = langid.symbols(text)
+    words = bytes(s.astype("<u2")).decode("utf-16-le", "surrogatepass").split("\0")
+    assert [w for w in words if w] == ["a\U00020000b", letters.split()[1], "x"]
+    assert langid.grams([text])[2].tolist() == [6]
+    every = [c for c in map(chr, range(0x110000)) if c.isalpha() and c.lower() == c]
+    assert len({langid.symbols(c).tobytes() for c in every[::37]}) == len(every[::37])
