@@ -320,7 +320,6 @@ def _climbed(index: Index, viewpoints: DataFrame, points: DataFrame) -> DataFram
         name = left.column("map_id")[0].as_py()
         at = {key: n for n, key in enumerate(zip(*(right.column(c).to_pylist() for c in ("lvl", "tx", "ty"))))}
         ints = lambda key, c: np.frombuffer(right.column(c)[at[key]].as_buffer() or b"", "<i4")
-        square = lambda key: (lambda x: x.reshape(int(len(x) ** 0.5 + 0.5), -1))(ints(key, "D"))
         queries, i, r, c = left.column("query_id").to_pylist(), *(left.column(x).to_numpy() for x in ("i", "r", "c"))
         out, held = [], [(n, (0, x, y)) for n, (x, y) in enumerate(zip((r // b).tolist(), (c // b).tolist()))]
         lifts: dict[int, np.ndarray] = {}
@@ -331,7 +330,7 @@ def _climbed(index: Index, viewpoints: DataFrame, points: DataFrame) -> DataFram
                     groups.setdefault(key, []).append(n)
             fresh = {}
             for key, mine in groups.items():
-                dist = square(key)
+                dist = matrix_of(right.column("D")[at[key]].as_py())
                 if k == 0:
                     place = (r[mine] % b) * b + c[mine] % b
                     lifted, met = dist[np.ix_(place, _ports(b)[ints(key, "E")])], dist[np.ix_(place, place)]
