@@ -23,5 +23,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array": sql.REPEATED_BYTES,
     "op3_phrases": sql.REPEATED_WORDS,
+    "op11_signature_trees": sql.SIMILAR_SETS,
     "op13_prefix_trie": sql.PREFIX_TRIE,
 }

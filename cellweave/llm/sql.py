@@ -1,7 +1,7 @@
 """SQL with the rows of the queries that it can express on whole tables.
 
-The removal of repeated bytes and words can be said with windows, groups and islands, the trie with lists of prefixes;
-fingerprints, token ids, models, edit distances and packing cannot.
+The removal of repeated bytes and words can be said with windows, groups and islands, the trie with lists of prefixes,
+similar sets with a join of shingles and a recursion over links; fingerprints, token ids, models, edit distances and packing cannot.
 """
 
 REPEATED_BYTES = r"""with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
@@ -34,3 +34,11 @@ PREFIX_TRIE = r"""with t as (select conv_id as c, coalesce(role, '') as role, co
   below as (select a.node, sum((n.n_convs - 1) * n.bytes) as saved, count(*) filter (kids.n is null) as leaves from nodes n join pre a on a.c = n.conv_id and a.d <= n.d left join kids on kids.node = n.node group by 1)
 select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children, b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
   from nodes n join below b using (node) left join kids k using (node) left join nodes p on p.node = n.up and n.d > 0"""
+
+SIMILAR_SETS = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+  sh as materialized (select distinct doc_id, hash(array_to_string(ws[i:i + 2], ' ')) as g from w, unnest(range(1, greatest(2, len(ws) - 1))) t(i) where len(ws) > 0),
+  n as (select doc_id, count(*) as n from sh group by 1),
+  link as materialized (select a.doc_id as a, b.doc_id as b from sh a join sh b using (g) join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id where a.doc_id <> b.doc_id group by 1, 2, na.n, nb.n having 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+  comp(doc_id, low) using key (doc_id) as (select doc_id, doc_id from n
+    union select q.* from (select link.b as doc_id, min(comp.low) as low from comp join link on link.a = comp.doc_id group by 1) q join recurring.comp old on old.doc_id = q.doc_id where q.low < old.low)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.low, w.doc_id) as component_id from w left join n using (doc_id) left join comp using (doc_id)"""
